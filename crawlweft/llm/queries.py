@@ -4,16 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import minhash
+from . import chat, minhash, mixing, quality, sharding
 from .runtime import load
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "labels", "doc_id", "quality")).drop("text")
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents", "doc_id", "text"), words=2, percent=80)
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    rows = rows.unionByName(extra).withColumn("parts", chat.text_parts(F.col("text")))
+    return chat.digest(chat.format_chat(rows))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(load(spark, sf_dir, "documents", "doc_id", "source", "text"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    store = sharding.Store(spark)
+    store.append(docs)
+    version = store.compact()
+    store.expire()
+    return store.read(version, docs.schema).select("doc_id", F.col("_shard").alias("shard"), F.col("_shard_bytes").alias("shard_bytes"), F.lit(version).alias("version"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
