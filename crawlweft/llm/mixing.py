@@ -127,10 +127,10 @@ def mixed(docs: DataFrame, *, levels: int = LEVELS, seed: int = SEED) -> DataFra
     return out.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "source", "times", "shards")
 
 
-def draw(docs: DataFrame, *, levels: int = LEVELS, seed: int = SEED) -> DataFrame:
-    """The mix itself: each row of docs once for every copy, with _shard and _order_key appended (order rows of a shard by it)."""
+def draw(docs: DataFrame, *, levels: int = LEVELS, seed: int = SEED, placed: bool = False) -> DataFrame:
+    """The mix itself: each row of docs once for every copy; placed: with _shard and _order_key (order rows of a shard by it)."""
     _, blocks = plan(docs, levels=levels, seed=seed)
-    names = [F.col(f"row.{c}").alias(c) for c in docs.columns]
     rows = docs.select(F.struct(*docs.columns).alias("row"), "source", place(F.col("doc_id"), seed).alias("place"))
     out = _with_draws(rows, blocks).select("row", F.posexplode("shards").alias("_copy", "_shard"))
-    return out.select(*names, "_shard", F.xxhash64("row.doc_id", "_copy", F.lit(seed + 1)).alias("_order_key"))
+    key = F.xxhash64("row.doc_id", "_copy", F.lit(seed + 1))
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns), *([F.col("_shard"), key.alias("_order_key")] if placed else []))
