@@ -1 +1,73 @@
+"""Declarative plans: named SQL over the crawl tables, resolved into one statement with common table expressions."""
 
+from __future__ import annotations
+
+import re
+import uuid
+from collections.abc import Iterable, Mapping
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Tables that a plan may read directly; everything else in braces is another plan.
+BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+CRAWL = ("urls", "fetches", "html_features", "links", "resources", "page_resources", "redirect_chains", "sitemap_urls")
+_NAME = re.compile(r"\{([A-Za-z_]\w*)\}")
+#: Words whose spelling differs between Spark SQL and DuckDB.
+DIALECT = {"RX(": ("regexp_like(", "regexp_matches("), "BLEN(": ("octet_length(", "strlen("), "RXALL(": ("regexp_replace(", "regexp_replace("), "EACH(": ("explode(", "unnest("), "TEXT": ("string", "varchar"), "PARTS(": ("split(", "string_split("), "SIZE(": ("size(", "len("), "SEQ(": ("sequence(", "generate_series("), "CHARS(": ("char_length(", "length(")}
+
+
+def spelled(sql: str, spark: bool) -> str:
+    """JOINED(x, sep, by) and the words of DIALECT in one engine's spelling; GALL(s, re, to) replaces all matches."""
+    side = 0 if spark else 1
+    for word, names in DIALECT.items():
+        sql = re.sub(rf"(?<!\w){re.escape(word)}" + ("" if word.endswith("(") else r"(?!\w)"), names[side], sql)
+    sql = re.sub(r"JOINED\(([^;]*?);([^;]*?);([^;)]*?)\)", r"listagg(\1,\2) within group (order by \3)" if spark else r"string_agg(\1,\2 order by \3)", sql)
+    return re.sub(r"GALL\(([^;]*?);([^;]*?);([^;)]*?)\)", r"regexp_replace(\1,\2,\3)" if spark else r"regexp_replace(\1,\2,\3,'g')", sql)
+
+
+class Catalog:
+    """Plans by name. A plan's SQL names what it reads in braces."""
+
+    def __init__(self, plans: Mapping[str, str]) -> None:
+        self.plans = dict(plans)
+
+    def _needs(self, name: str, given: Iterable[str]) -> list[str]:
+        order: list[str] = []
+
+        def visit(x: str, trail: tuple[str, ...]) -> None:
+            if x in given or x in order:
+                return
+            if x in trail:
+                raise ValueError(f"plan {x} depends on itself")
+            for y in _NAME.findall(self.plans[x]):
+                visit(y, (*trail, x))
+            order.append(x)
+
+        visit(name, ())
+        return order
+
+    def statement(self, name: str, given: Iterable[str] = BASE, *, spark: bool = False) -> str:
+        """One statement: every plan that `name` needs as a common table expression over the given tables."""
+        given = set(given)
+        *before, last = self._needs(name, given)
+        sql = lambda x: _NAME.sub(lambda m: m[1], spelled(self.plans[x], spark))
+        head = ", ".join(f"{x} AS ({sql(x)})" for x in before)
+        return (f"WITH {head} " if head else "") + sql(last)
+
+    def run(self, spark: SparkSession, name: str, tables: Mapping[str, DataFrame]) -> DataFrame:
+        """The plan over the given tables (of crawl tables or of what they are derived from)."""
+        given = {**tables}
+        *before, last = self._needs(name, given)
+        text = {x: spelled(self.plans[x], True) for x in (*before, last)}
+        used = {t for s in text.values() for t in _NAME.findall(s) if t in given}
+        # views of this one statement: analysis resolves them, then they go
+        views = {t: f"{t}_{uuid.uuid4().hex}" for t in used}
+        for t, view in views.items():
+            given[t].createOrReplaceTempView(view)
+        try:
+            inner = lambda x: _NAME.sub(lambda m: views.get(m[1], m[1]), text[x])
+            head = ", ".join(f"{x} AS ({inner(x)})" for x in before)
+            return spark.sql((f"WITH {head} " if head else "") + inner(last))
+        finally:
+            for view in views.values():
+                spark.catalog.dropTempView(view)
