@@ -1,12 +1,14 @@
 """MinHash near-duplicate detection with HyperMinHash sketches.
 
 A sketch has REGISTERS buckets; each keeps, of the smallest hash that falls into it, the leading-zero count and
-MANTISSA bits after the leading one. Bands of compressed registers give candidates, the collision-corrected estimate
+MANTISSA bits after the leading one; an empty bucket takes the register of another that a hash of its number picks. Bands of compressed registers give candidates, the collision-corrected estimate
 thins them, and full shingle sets confirm every link.
 
 How a group stays linear: equal shingle sets collapse to one representative by an aggregation; in each band bucket the
-representative that shares most buckets (the hub) is paired with the others (a star, never all pairs); what stars leave
-apart is then compared exactly: every candidate pair of one bucket whose ends are in different components.
+representative that shares most buckets (the hub) is paired with the others (a star, never all pairs). Of what stars
+leave apart, a pair x, y of one bucket with hub h has at most min(|x & h|, |y & h|) shingles of h in common, and the
+others only among those outside h. So the pairs left to verify, exactly, are those that this bound alone allows and
+those that share a shingle outside h; both across components only.
 
 Defined cases: null text counts as empty; an empty set (no words) is linked with nothing; a text with fewer words than
 a shingle has its whole sequence as one shingle; rows repeated under one doc_id are each placed by their own text; a null doc_id is
@@ -25,9 +27,11 @@ from .graph import components
 from .kernels import U64, chunks, mix, shingles
 from .runtime import materialize
 
-REGISTERS, MANTISSA, BAND = 128, 10, 4
+REGISTERS, MANTISSA, BAND = 512, 10, 8
 #: A pair is dropped before verification only if its estimate is this far below the threshold: over six standard deviations of the sketch.
-SLACK = 0.22
+SLACK = 0.16
+#: Below so many shingles the estimate is not asked.
+FEW = 256
 
 
 def registers(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -40,7 +44,22 @@ def registers(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     mantissa = np.where(shift >= 0, low >> np.maximum(shift, 0).astype(U64), low << np.maximum(-shift, 0).astype(U64)) & U64((1 << MANTISSA) - 1)
     out = ((53 - exponent) << MANTISSA) | mantissa.astype(np.int64)
     out[empty] = 0
-    return out.astype(np.uint16).reshape(n, REGISTERS)
+    out = out.astype(np.uint16).reshape(n, REGISTERS)
+    # densify: empty buckets borrow from the first filled one in a fixed random sequence, at last from the next filled one
+    row, col = np.nonzero((out == 0) & out.any(axis=1)[:, None])
+    dense = out.copy()
+    for t in range(1, 17):
+        if not len(row):
+            break
+        from_ = (mix(col.astype(U64) * U64(64) + U64(t)) % U64(REGISTERS)).astype(np.int64)
+        got = out[row, from_]
+        dense[row, col] = got
+        row, col = row[got == 0], col[got == 0]
+    for r in np.unique(row).tolist():
+        filled = np.flatnonzero(out[r])
+        mine = col[row == r]
+        dense[r, mine] = out[r, filled[np.searchsorted(filled, mine) % len(filled)]]
+    return dense
 
 
 def band_hashes(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +112,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
                 continue
             a, b = (np.frombuffer(b"".join(t[k].to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in ("k_a", "k_b"))
             n, m = (np.asarray(t[k]).astype(float) for k in ("n_a", "n_b"))
-            keep = (estimate(a, b, n, m) >= threshold - SLACK) & (np.minimum(n, m) >= threshold * np.maximum(n, m))
+            keep = ((estimate(a, b, n, m) >= threshold - SLACK) | (np.minimum(n, m) < FEW)) & (np.minimum(n, m) >= threshold * np.maximum(n, m))
             yield t.select(["a", "b"]).filter(pa.array(keep))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "k_a", "k_b").mapInArrow(run, "a long, b long")
@@ -120,6 +139,60 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _against_hubs(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """For pairs (rep, hub): the set sizes, the intersection and the shingles of rep outside hub."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in chunks(iter([batch]), "text_rep"):
+                h, o, _ = shingles(t["text_rep"], words)
+                k, q, _ = shingles(t["text_hub"], words)
+                every, owner = np.concatenate((h, k)), np.concatenate((o, q))
+                mine = np.arange(len(every)) < len(h)
+                order = np.lexsort((~mine, every, owner))
+                e, w = every[order], owner[order]
+                twin = np.concatenate(((e[1:] == e[:-1]) & (w[1:] == w[:-1]), [False])) if len(e) else np.zeros(0, bool)
+                outside = mine[order] & ~twin
+                both = np.bincount(w[twin], minlength=t.num_rows)
+                size, other = (np.bincount(x, minlength=t.num_rows) for x in (o, q))
+                edge = np.concatenate(([0], np.cumsum(np.bincount(w[outside], minlength=t.num_rows)))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [t["rep"], t["hub"], pa.array(size), pa.array(other), pa.array(both), pa.ListArray.from_arrays(edge, pa.array(e[outside].view(np.int64)))],
+                    ["rep", "hub", "n", "n_hub", "i", "outside"],
+                )
+
+    side = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    both = pairs.join(side("rep"), "rep").join(side("hub"), "hub").select("rep", "hub", "text_rep", "text_hub")
+    return both.mapInArrow(run, "rep long, hub long, n long, n_hub long, i long, outside array<long>").dropDuplicates(["rep", "hub"])
+
+
+def _across(open_: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """open_: (band, rep, hub, c) of buckets with several components. Pairs (a, b) of different components that may be linked."""
+    measured = materialize(_against_hubs(open_.where("rep <> hub").select("rep", "hub").distinct(), docs, words), "measured")
+    own = measured.select(F.col("hub").alias("rep"), "hub", F.col("n_hub").alias("n"), F.col("n_hub").alias("i")).distinct()
+    info = measured.select("rep", "hub", "n", "i").unionByName(own)
+    enough = lambda most, sizes: F.lit(100 + percent) * most >= F.lit(percent) * sizes
+    # pairs that need no shingle outside the hub
+    members = open_.join(info, ["rep", "hub"])
+    least = members.groupBy("band").agg(F.min("n").alias("least"))
+    able = members.join(least, "band").where(enough(F.col("i"), F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100)))).select("band", "rep", "c", "n", "i")
+    able = materialize(able, "able")
+    mixed = able.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
+    able = able.join(mixed, "band")
+    side = lambda d, x: d.select(*(c for c in d.columns if c not in ("rep", "c", "n", "i")), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "c", "n", "i") if c in d.columns))
+    first = side(able, "a").join(side(able, "b"), "band").where((F.col("rep_a") < F.col("rep_b")) & (F.col("c_a") != F.col("c_b")) & enough(F.least("i_a", "i_b"), F.col("n_a") + F.col("n_b")))
+    # pairs that share a shingle outside the hub
+    place = open_.select("rep", "c").distinct()
+    outside = materialize(measured.select("rep", "hub", F.explode("outside").alias("t")).join(place, "rep"), "outside")
+    spread = outside.groupBy("hub", "t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("hub", "t")
+    outside = outside.join(spread, ["hub", "t"])
+    shared = side(outside, "a").join(side(outside, "b"), ["hub", "t"]).where((F.col("rep_a") < F.col("rep_b")) & (F.col("c_a") != F.col("c_b"))).groupBy("hub", "rep_a", "rep_b").agg(F.count("*").alias("s"))
+    ends = lambda x: info.select("hub", F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}"), F.col("i").alias(f"i_{x}"))
+    second = shared.join(ends("a"), ["hub", "rep_a"]).join(ends("b"), ["hub", "rep_b"]).where(enough(F.least("i_a", "i_b") + F.col("s"), F.col("n_a") + F.col("n_b")))
+    both = first.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).unionByName(second.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+    return both.distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked doc_id), kept. docs needs doc_id and text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -137,19 +210,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # the hub of a bucket is the member that meets most others over all its buckets
     reach = banded.groupBy("rep").agg(F.sum("size").alias("reach"))
     members = materialize(banded.join(reach, "rep").select("band", "rep", "reach"), "members")
-    hubs = members.groupBy("band").agg(F.max_by("rep", F.struct("reach", -F.col("rep"))).alias("hub"))
-    stars = members.join(hubs, "band").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    hubs = materialize(members.groupBy("band").agg(F.max_by("rep", F.struct("reach", -F.col("rep"))).alias("hub")), "hubs")
+    members = materialize(members.join(hubs, "band").select("band", "rep", "hub"), "members")
+    stars = members.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     threshold = percent / 100
     links = materialize(_verified(_estimated(stars, reps, threshold), docs, words, percent).distinct(), "links")
     part = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")
-    # buckets that still hold several components: all pairs across components, none within one
-    placed = members.select("band", "rep").join(part.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
+    placed = members.join(part.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", "hub", F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
     open_ = materialize(placed.join(mixed, "band"), "open")
     if not open_.isEmpty():
-        x, y = open_.select("band", F.col("rep").alias("a"), F.col("c").alias("ca")), open_.select("band", F.col("rep").alias("b"), F.col("c").alias("cb"))
-        across = x.join(y, "band").where("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-        more = _verified(_estimated(across, reps, threshold), docs, words, percent)
+        more = _verified(_estimated(_across(open_, docs, words, percent), reps, threshold), docs, words, percent)
         links = materialize(links.unionByName(more).distinct(), "links")
         part = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")
     # a component's id is the smallest representative, and a representative is the smallest id of its class

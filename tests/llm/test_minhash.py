@@ -44,3 +44,26 @@ def test_edges_chain_nulls_and_extra_columns(spark):
     again = near_duplicates(docs.unionByName(docs), 2).collect()
     assert len(again) == 2 * len(rows) and {(r.doc_id, r.component_id) for r in again} == {(i, v[1]) for i, v in got.items()}
     assert near_duplicates(docs.limit(0), 2).collect() == []
+
+
+def test_group_of_near_copies_with_links_away_from_the_hub(spark):
+    import random
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    base = [word() for _ in range(120)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.randint(0, 18)):
+            w[r.randrange(len(w))] = r.choice(base) if r.random() < 0.5 else word()
+        rows.append(w)
+        if i % 7 == 0:
+            v = list(w)
+            v[r.randrange(len(v))] = word()
+            rows.append(v[: r.randint(100, 120)])
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (2, 5):
+        got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in near_duplicates(docs, n).collect()}
+        assert got == brute(rows, n)

@@ -22,7 +22,7 @@ def plain_base(text):
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
         found.append((m.start(), 0, "email", m.end()))
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
-        if all(int(p) <= 255 for p in m[0].split(".")):
+        if all(int(p[-5000:][-4000:].lstrip("0")[:5] or 0) <= 255 for p in m[0].split(".")):
             found.append((m.start(), 1, "ip", m.end()))
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         d = [int(c) for c in digits(m[0])][::-1]
