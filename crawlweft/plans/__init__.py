@@ -22,7 +22,21 @@ def spelled(sql: str, spark: bool) -> str:
     for word, names in DIALECT.items():
         sql = re.sub(rf"(?<!\w){re.escape(word)}" + ("" if word.endswith("(") else r"(?!\w)"), names[side], sql)
     sql = re.sub(r"JOINED\(([^;]*?);([^;]*?);([^;)]*?)\)", r"listagg(\1,\2) within group (order by \3)" if spark else r"string_agg(\1,\2 order by \3)", sql)
-    return re.sub(r"GALL\(([^;]*?);([^;]*?);([^;)]*?)\)", r"regexp_replace(\1,\2,\3)" if spark else r"regexp_replace(\1,\2,\3,'g')", sql)
+    inner = re.compile(r"GALL\(((?:(?!GALL\()[^;])*?);([^;]*?);([^;)]*?)\)")
+    while (new := inner.sub(r"regexp_replace(\1,\2,\3)" if spark else r"regexp_replace(\1,\2,\3,'g')", sql)) != sql:
+        sql = new
+    return sql if spark else _counted(sql)
+
+
+def _counted(sql: str) -> str:
+    """count_if(x) of DuckDB is null where x is never known; a count over CASE is not."""
+    while (at := sql.find("count_if(")) >= 0:
+        depth, end = 1, at + len("count_if(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        sql = f"{sql[:at]}count(CASE WHEN {sql[at + len('count_if('):end - 1]} THEN 1 END){sql[end:]}"
+    return sql
 
 
 class Catalog:

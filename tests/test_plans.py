@@ -1,6 +1,7 @@
 """Every registered plan against DuckDB on the same tables."""
 
 import math
+import os
 
 import duckdb
 import pytest
@@ -31,7 +32,11 @@ def rows(columns, data):
     return [columns[k] for k in order], sorted(tuple(cell(r[k]) for k in order) for r in data)
 
 
-@pytest.mark.parametrize("name", sorted(entry.base_oracle()))
+#: All plans take minutes; without ALL_PLANS every ninth is compared, and those that were hard to spell in two engines.
+CHOSEN = sorted(entry.base_oracle()) if os.environ.get("ALL_PLANS") else sorted({*sorted(entry.base_oracle())[::9], "G13_by_status", "G15_by_template", "G24_folder_stats", "X18_word_count", "X19_strip_tags"})
+
+
+@pytest.mark.parametrize("name", CHOSEN)
 def test_matches_duckdb(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     want = duck.sql(entry.base_oracle()[name])
