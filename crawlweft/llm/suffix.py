@@ -378,8 +378,10 @@ def repeat_marks(docs: DataFrame) -> DataFrame:
     """(doc, start, n): n windows from start on that also start earlier. docs: doc, base, text."""
     spark = docs.sparkSession
     size = total_bytes(docs)
-    buckets = max(shuffle_partitions(spark), -(-size // SEGMENT_TEXT))
-    hot = _hot_cells(docs, 64 * buckets, buckets)
+    full = max(32, -(-size // SEGMENT_TEXT))
+    buckets = max(shuffle_partitions(spark), full)
+    # cells follow the input's size alone, not how many partitions it is dealt over
+    hot = _hot_cells(docs, 64 * full, full)
     rows = _segment_rows(docs, hot, buckets).withColumn("key", F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket")))
     schema = "doc long, start long, n long, kind int, anchor long"
     decided = materialize(rows.repartition(buckets, "key").groupBy("key").applyInArrow(_decide, schema), "decided")
