@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .graph import components
 from .kernels import U64, chunks, mix, shingles
@@ -181,14 +181,16 @@ def _across(open_: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     able = able.join(mixed, "band")
     side = lambda d, x: d.select(*(c for c in d.columns if c not in ("rep", "c", "n", "i")), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "c", "n", "i") if c in d.columns))
     first = side(able, "a").join(side(able, "b"), "band").where((F.col("rep_a") < F.col("rep_b")) & (F.col("c_a") != F.col("c_b")) & enough(F.least("i_a", "i_b"), F.col("n_a") + F.col("n_b")))
-    # pairs that share a shingle outside the hub
+    # pairs that share a shingle outside the hub: prefix filter, rarest first. A partner needs percent of n in common, at
+    # most i of it in the hub, so one of the first (outside - needed + 1) shingles is shared, and enough follow the first
     place = open_.select("rep", "c").distinct()
-    outside = materialize(measured.select("rep", "hub", F.explode("outside").alias("t")).join(place, "rep"), "outside")
-    spread = outside.groupBy("hub", "t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("hub", "t")
-    outside = outside.join(spread, ["hub", "t"])
-    shared = side(outside, "a").join(side(outside, "b"), ["hub", "t"]).where((F.col("rep_a") < F.col("rep_b")) & (F.col("c_a") != F.col("c_b"))).groupBy("hub", "rep_a", "rep_b").agg(F.count("*").alias("s"))
-    ends = lambda x: info.select("hub", F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}"), F.col("i").alias(f"i_{x}"))
-    second = shared.join(ends("a"), ["hub", "rep_a"]).join(ends("b"), ["hub", "rep_b"]).where(enough(F.least("i_a", "i_b") + F.col("s"), F.col("n_a") + F.col("n_b")))
+    outside = materialize(measured.select("rep", "hub", "n", "i", F.explode("outside").alias("t")).join(place, "rep"), "outside")
+    spread = outside.groupBy("hub", "t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("f")).where("lo <> hi").select("hub", "t", "f")
+    own = Window.partitionBy("hub", "rep")
+    ranked = outside.join(spread, ["hub", "t"]).withColumn("left", F.count("*").over(own) - F.row_number().over(own.orderBy("f", "t")))
+    prefix = materialize(ranked.where(F.col("left") + 1 >= F.ceil(F.col("n") * percent / 100) - F.col("i")).drop("f"), "prefix")
+    ends = lambda x: prefix.select("hub", "t", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "c", "n", "i", "left")))
+    second = ends("a").join(ends("b"), ["hub", "t"]).where((F.col("rep_a") < F.col("rep_b")) & (F.col("c_a") != F.col("c_b")) & enough(F.least("i_a", "i_b") + F.least("left_a", "left_b") + 1, F.col("n_a") + F.col("n_b")))
     both = first.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).unionByName(second.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
     return both.distinct()
 
