@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .graph import components
 from .kernels import U64, chunks, mix, shingles
-from .runtime import materialize
+from .runtime import drop_tables, materialize
 
 REGISTERS, MANTISSA, BAND = 512, 10, 8
 #: A pair is dropped before verification only if its estimate is this far below the threshold: over six standard deviations of the sketch.
@@ -206,6 +206,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     keyed = of.join(classes.select("s1", "s2", "n_shingles", F.col("rep")), ["s1", "s2", "n_shingles"])
     reps = keyed.where("doc_id = rep").select("rep", "n_shingles", "sketch", "bands").dropDuplicates(["rep"])
     reps = materialize(reps, "representatives")
+    full, sig = sig, materialize(sig.select("doc_id", "s1", "s2", "n_shingles"), "keys")
+    sets = sig.where("n_shingles > 0 and doc_id is not null")
+    drop_tables(full)
     banded = reps.select("rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     banded = materialize(banded.join(shared, "band"), "bands")
