@@ -15,7 +15,9 @@ own; an empty table gives an empty file. Columns beside doc_id and text are not
 
 from __future__ import annotations
 
+import ctypes
 import struct
+import threading
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +30,8 @@ from .runtime import scratch_path
 END, SHARD, CHUNK, LEVEL = 2, 1 << 19, 1 << 16, 3
 #: Words kept with their ids in a worker process.
 MEMORY = 600_000
+#: Seconds without a task after which a worker process gives its encoder's memory back; other operators use the same workers.
+IDLE = 10
 _NULL = -(1 << 63)
 _HEAD = struct.Struct("<4sIIIQ")
 _ONES = 0xFFFFFFFF
@@ -128,11 +132,29 @@ class WordEncoder:
         return [b"".join(map(get, words)) for words in split]
 
 
-#: One encoder for each worker process, which serves many tasks.
+#: One encoder for each worker process, which serves many tasks, and the timer that will release it.
 _ENCODERS: dict[int, WordEncoder] = {}
+_TIMERS: list[threading.Timer] = []
+
+
+def _release() -> None:
+    _ENCODERS.clear()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
+    if trim:
+        trim(0)
+
+
+def release_later() -> None:
+    """Call at the end of a task: the encoder goes unless another task asks for it within IDLE seconds."""
+    timer = threading.Timer(IDLE, _release)
+    timer.daemon = True
+    _TIMERS.append(timer)
+    timer.start()
 
 
 def encoder_for(vocabulary: bytes) -> WordEncoder:
+    while _TIMERS:
+        _TIMERS.pop().cancel()
     key = zlib.crc32(vocabulary)
     if key not in _ENCODERS:
         _ENCODERS[key] = WordEncoder(vocabulary)
@@ -168,6 +190,8 @@ def write(docs: DataFrame, vocabulary: str, path: str) -> None:
                 size += n
         if held:
             yield image()
+        del encoder
+        release_later()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
