@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .runtime import scratch_path
+from .runtime import scratch_path, small_batches
 
 END, SHARD, CHUNK, LEVEL = 2, 1 << 19, 1 << 16, 3
 #: Words kept with their ids in a worker process.
@@ -195,7 +195,8 @@ def write(docs: DataFrame, vocabulary: str, path: str) -> None:
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    ordered.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(run, SCHEMA).write.parquet(path)
+    with small_batches(spark):
+        ordered.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(run, SCHEMA).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
