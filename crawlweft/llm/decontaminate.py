@@ -133,12 +133,16 @@ class Index:
                 m, k = int(sizes[i]), budget(int(sizes[i]))
                 middle = min(max(low + m // 2 + span // 2, 0), len(data) - 1)
                 for t in sorted({min(int(np.searchsorted(starts, x, "right")) - 1, len(plain) - 1) for x in (max(low, 0), middle, max(low + span, 0), max(low + span + m - 1, 0))}):
-                    a, b = max(int(starts[t]), low - k), min(int(starts[t]) + len(plain[t]), low + span + m + k)
-                    if b - a >= m - k:
+                    # item bytes missing at the start of a document put its diagonals up to k below that start; the window
+                    # has a zero for each byte before it, which no normal form holds: it costs as much as skipping an item byte
+                    first = int(starts[t])
+                    a, b = max(first, low) - k, min(first + len(plain[t]), low + span + m + k)
+                    before = max(first - a, 0)
+                    if b - a - before >= m - k:
                         # the band of the window that starts at a: all diagonals of the bucket and the budget on both sides
-                        got = aligned(self.items[i][1], data[a:b], span + 2 * k + 1, k)
+                        got = aligned(self.items[i][1], np.append(np.zeros(before, np.uint8), data[a + before : b]), span + 2 * k + 1, k)
                         if got:
-                            yield t, i, got[0], a + got[1] - int(starts[t]), a + got[2] - int(starts[t])
+                            yield t, i, got[0], max(a + got[1] - first, 0), a + got[2] - first
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -133,3 +133,24 @@ def test_lemma_loses_no_occurrence_within_the_budget(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id) for r in decontaminate.contaminated(docs, bench).collect()} <= {3}
     assert decontaminate.contaminated(docs, bench.limit(0)).collect() == [] and decontaminate.clean(docs.limit(0), bench).collect() == []
+
+
+def test_items_at_the_start_of_a_document_with_deleted_words():
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 9)))
+    items = [" ".join(word() for _ in range(rng.integers(12, 45))) for _ in range(30)]
+    index = decontaminate.Index([(i, t.encode()) for i, t in enumerate(items)])
+    texts, want = [], set()
+    for i, t in enumerate(items):
+        words = t.split()
+        for gone in (0, 1, len(words) // 2, len(words) - 1):
+            for head, tail in (("", ""), ("", " ".join(word() for _ in range(30))), ("q", "")):
+                texts.append(" ".join([head, *words[:gone], *words[gone + 1 :], tail]).encode())
+                item = decontaminate.normal(t.encode())
+                if semi_global(item, decontaminate.normal(texts[-1])) <= decontaminate.budget(len(item)):
+                    want.add((len(texts) - 1, i))
+    got = list(index.matches(texts))
+    assert want <= {g[:2] for g in got} and len(want) > 200
+    for t, i, edits, start, end in got:
+        item, text = (decontaminate.normal(x) for x in (items[i].encode(), texts[t]))
+        assert 0 <= start <= end <= len(text) and semi_global(item, text) <= edits <= decontaminate.budget(len(item))
