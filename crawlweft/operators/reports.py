@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions.url import normalized
+
 _SEVERITY = "CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END"
 _STATUS_TEXT = "CASE status_code WHEN 200 THEN 'OK' WHEN 301 THEN 'Moved Permanently' WHEN 404 THEN 'Not Found' WHEN 500 THEN 'Internal Server Error' ELSE 'Other' END"
 
@@ -21,7 +23,7 @@ REPORTS = {
     "S05_all_resources": "SELECT * FROM {resources}",
     "S06_all_issues": "SELECT * FROM {issues}",
     "S07_redirect_chains": "SELECT c.id, s.id AS start_id, c.start_url, t.id AS final_id, c.final_url, c.length, c.has_loop FROM {redirect_chains} c LEFT JOIN {urls} s ON s.url = c.start_url LEFT JOIN {urls} t ON t.url = c.final_url",
-    "S08_lookup_urls": "SELECT l.id AS link_id, u.id AS url_id FROM {links} l JOIN {urls} u ON u.normalized_url = lower(l.to_url)",
+    "S08_lookup_urls": f"SELECT l.link_id, u.id AS url_id FROM ({normalized('SELECT id AS link_id, to_url FROM {links}', 'to_url')}) l JOIN {{urls}} u ON u.normalized_url = l.normalized_url",
     "S09_features_of": "SELECT u.id, h.title, h.word_count FROM {urls} u LEFT JOIN {html_features} h ON h.url_id = u.id",
     "S10_latest_fetch": "SELECT * FROM {latest_fetch}",
     "S11_inlinks_outlinks": "SELECT u.id, coalesce(i.n, 0) AS inlinks, coalesce(o.n, 0) AS outlinks FROM {urls} u LEFT JOIN (SELECT to_url_id, count(*) AS n FROM {links} GROUP BY to_url_id) i ON i.to_url_id = u.id LEFT JOIN (SELECT from_url_id, count(*) AS n FROM {links} GROUP BY from_url_id) o ON o.from_url_id = u.id",

@@ -13,7 +13,10 @@ BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"
 CRAWL = ("urls", "fetches", "html_features", "links", "resources", "page_resources", "redirect_chains", "sitemap_urls")
 _NAME = re.compile(r"\{([A-Za-z_]\w*)\}")
 #: Words whose spelling differs between Spark SQL and DuckDB.
-DIALECT = {"RX(": ("regexp_like(", "regexp_matches("), "BLEN(": ("octet_length(", "strlen("), "RXALL(": ("regexp_replace(", "regexp_replace("), "EACH(": ("explode(", "unnest("), "TEXT": ("string", "varchar"), "PARTS(": ("split(", "string_split("), "SIZE(": ("size(", "len("), "SEQ(": ("sequence(", "generate_series("), "CHARS(": ("char_length(", "length(")}
+DIALECT = {"RX(": ("regexp_like(", "regexp_matches("), "BLEN(": ("octet_length(", "strlen("), "RXALL(": ("regexp_replace(", "regexp_replace("), "EACH(": ("explode(", "unnest("), "TEXT": ("string", "varchar"), "PARTS(": ("split(", "string_split("), "SIZE(": ("size(", "len("), "SEQ(": ("sequence(", "generate_series("), "CHARS(": ("char_length(", "length("),
+           "KEPT(": ("filter(", "list_filter("), "MAPPED(": ("transform(", "list_transform("), "SORTED(": ("array_sort(", "list_sort("), "GLUED(": ("array_join(", "array_to_string("), "PAIR(": ("array(", "list_value("), "ITEM(": ("element_at(", "list_extract("),
+           # FOLDED(list FROM_EMPTY lambda) starts from the empty string
+           "FOLDED(": ("aggregate(", "list_reduce(list_concat([''], "), "FROM_EMPTY": (", '',", "),"), "UNESCAPED(": ("try_url_decode(", "url_decode(")}
 
 
 def spelled(sql: str, spark: bool) -> str:
@@ -25,7 +28,7 @@ def spelled(sql: str, spark: bool) -> str:
     inner = re.compile(r"GALL\(((?:(?!GALL\()[^;])*?);([^;]*?);([^;)]*?)\)")
     while (new := inner.sub(r"regexp_replace(\1,\2,\3)" if spark else r"regexp_replace(\1,\2,\3,'g')", sql)) != sql:
         sql = new
-    return sql if spark else _counted(sql)
+    return sql if spark else _counted(re.sub(r"\(?\b([a-z](?:, [a-z])*)\)? -> ", r"lambda \1: ", sql))
 
 
 def _counted(sql: str) -> str:

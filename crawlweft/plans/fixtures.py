@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from ..functions.url import normalized
+
 FIXTURES = {
     "n_pages": "SELECT count(*) AS n FROM {pages}",
-    "urls": """SELECT page_id AS id, url, lower(url) AS normalized_url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path,
+    "urls": f"""SELECT page_id AS id, url, normalized_url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path,
         CASE WHEN page_id = 0 THEN NULL ELSE cast(floor(page_id / 7) AS bigint) END AS discovered_from,
         CASE WHEN page_id = 0 THEN 0 WHEN page_id < 6 THEN 1 WHEN page_id < 40 THEN 2 ELSE 3 END AS depth,
         CASE WHEN page_id % 25 = 24 THEN 'failed' WHEN page_id % 25 = 23 THEN 'pending' ELSE 'crawled' END AS crawl_status,
-        page_id % 10 <> 9 AS is_internal, page_id % 3 = 0 AS in_sitemap FROM {pages}""",
+        page_id % 10 <> 9 AS is_internal, page_id % 3 = 0 AS in_sitemap FROM ({normalized("SELECT page_id, url FROM {pages}")}) p""",
     "fetches": """SELECT event_id AS id, user_id AS url_id, CASE event_type WHEN 'view' THEN 200 WHEN 'click' THEN 200 WHEN 'signup' THEN 301 WHEN 'purchase' THEN 404 WHEN 'error' THEN 500 END AS status_code,
         CASE event_id % 4 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'text/html' WHEN 2 THEN 'application/pdf' ELSE '' END AS content_type,
         cast(floor(value * 10) AS bigint) AS response_time_ms, ts AS fetched_at, CASE WHEN event_id % 13 = 0 THEN 'noindex' ELSE '' END AS x_robots
