@@ -120,12 +120,13 @@ SEGMENTS = {k: f"SELECT {expr} AS segment, {_METRICS} FROM {{wide}} WHERE is_int
 SEGMENTS["G18_by_host"] = f"SELECT host AS segment, {_METRICS} FROM {{wide}} GROUP BY host"
 SEGMENTS["G20_all_segments"] = " UNION ALL ".join(f"SELECT '{k}' AS kind, segment, n FROM {{{k}}}" for k in _KEYS)
 
-_PREFIXES = "SELECT u.id, u.path, u.depth, k FROM {urls} u CROSS JOIN (SELECT EACH(SEQ(1, 12)) AS k) ks WHERE u.is_internal AND k <= CHARS(trim(BOTH '/' FROM u.path)) - CHARS(replace(trim(BOTH '/' FROM u.path), '/', '')) + 1"
+#: Non-empty segments of internal paths.
+_SEGMENTS = "SELECT id, depth, KEPT(PARTS(path, '/'), p -> (p <> '')) AS segments FROM {urls} WHERE is_internal"
 GRAPH = {
-    "prefixes": "SELECT x.id, x.depth, x.k, regexp_extract(x.path, '^((/[^/]+){1,1})', 1) AS top, CASE x.k " + " ".join(f"WHEN {k} THEN regexp_extract(x.path, '^((/[^/]+){{{k}}})', 1)" for k in range(1, 13)) + f" END AS prefix FROM ({_PREFIXES}) x",
+    "prefixes": f"SELECT x.id, x.depth, x.k, '/' || GLUED(FIRST_OF(x.segments, 1, x.k), '/') AS prefix FROM (SELECT id, depth, segments, EACH(SEQ(1, SIZE(segments))) AS k FROM ({_SEGMENTS}) s WHERE SIZE(segments) > 0) x",
     "T01_path_tree": "SELECT prefix AS full_path, cast(max(k) AS bigint) AS level, count(*) AS url_count FROM {prefixes} WHERE prefix <> '' GROUP BY prefix",
     "T02_flatten": "SELECT full_path, cast(row_number() OVER (ORDER BY full_path) AS bigint) AS preorder FROM {T01_path_tree}",
-    "G21_depth_distribution": "SELECT d.depth, coalesce(c.n, 0) AS n FROM (SELECT EACH(SEQ(0, 5)) AS depth) d LEFT JOIN (SELECT depth, count(*) AS n FROM {urls} GROUP BY depth) c ON c.depth = d.depth CROSS JOIN (SELECT max(depth) AS top FROM {urls}) m WHERE d.depth <= m.top",
+    "G21_depth_distribution": "SELECT d.depth, coalesce(c.n, 0) AS n, CASE WHEN d.total = 0 THEN 0.0e0 ELSE 100.0e0 * coalesce(c.n, 0) / d.total END AS percent FROM (SELECT total, EACH(SEQ(0, top)) AS depth FROM (SELECT coalesce(max(depth), 0) AS top, count(*) AS total FROM {urls} WHERE is_internal) m) d LEFT JOIN (SELECT depth, count(*) AS n FROM {urls} WHERE is_internal GROUP BY depth) c ON c.depth = d.depth",
     "G22_status_distribution": f"SELECT status_code, {_STATUS_TEXT} AS text, n, 100.0e0 * n / sum(n) OVER () AS percent FROM (SELECT status_code, count(*) AS n FROM {{fetches}} GROUP BY status_code) x",
     "G24_folder_stats": "SELECT p.prefix, count(*) AS n, cast(sum(p.depth) AS double) / count(*) AS avg_depth, count_if(f.status_code BETWEEN 200 AND 299) AS ok, count_if(f.status_code >= 400) AS errors, count_if(f.status_code BETWEEN 300 AND 399) AS redirects FROM {prefixes} p LEFT JOIN {latest_fetch} f ON f.url_id = p.id WHERE p.prefix <> '' GROUP BY p.prefix",
     "N01_nodes": "SELECT w.url_id, w.url, w.depth, w.status_code, coalesce(i.n, 0) AS in_links, coalesce(o.n, 0) AS out_links FROM {wide} w LEFT JOIN (SELECT to_url_id, count(*) AS n FROM {links} GROUP BY to_url_id) i ON i.to_url_id = w.url_id LEFT JOIN (SELECT from_url_id, count(*) AS n FROM {links} GROUP BY from_url_id) o ON o.from_url_id = w.url_id WHERE w.is_internal AND (w.status_code IS NULL OR w.status_code BETWEEN 0 AND 599)",

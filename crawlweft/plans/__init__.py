@@ -14,7 +14,7 @@ CRAWL = ("urls", "fetches", "html_features", "links", "resources", "page_resourc
 _NAME = re.compile(r"\{([A-Za-z_]\w*)\}")
 #: Words whose spelling differs between Spark SQL and DuckDB.
 DIALECT = {"RX(": ("regexp_like(", "regexp_matches("), "BLEN(": ("octet_length(", "strlen("), "RXALL(": ("regexp_replace(", "regexp_replace("), "EACH(": ("explode(", "unnest("), "TEXT": ("string", "varchar"), "PARTS(": ("split(", "string_split("), "SIZE(": ("size(", "len("), "SEQ(": ("sequence(", "generate_series("), "CHARS(": ("char_length(", "length("),
-           "KEPT(": ("filter(", "list_filter("), "MAPPED(": ("transform(", "list_transform("), "SORTED(": ("array_sort(", "list_sort("), "GLUED(": ("array_join(", "array_to_string("), "PAIR(": ("array(", "list_value("), "ITEM(": ("element_at(", "list_extract("),
+           "KEPT(": ("filter(", "list_filter("), "MAPPED(": ("transform(", "list_transform("), "SORTED(": ("array_sort(", "list_sort("), "GLUED(": ("array_join(", "array_to_string("), "PAIR(": ("array(", "list_value("), "FIRST_OF(": ("slice(", "list_slice("), "ITEM(": ("element_at(", "list_extract("),
            # FOLDED(list FROM_EMPTY lambda) starts from the empty string
            "FOLDED(": ("aggregate(", "list_reduce(list_concat([''], "), "FROM_EMPTY": (", '',", "),"), "UNESCAPED(": ("try_url_decode(", "url_decode(")}
 
