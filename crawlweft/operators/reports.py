@@ -5,7 +5,10 @@ from __future__ import annotations
 from ..functions.url import normalized
 
 _SEVERITY = "CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END"
-_STATUS_TEXT = "CASE status_code WHEN 200 THEN 'OK' WHEN 301 THEN 'Moved Permanently' WHEN 404 THEN 'Not Found' WHEN 500 THEN 'Internal Server Error' ELSE 'Other' END"
+_TEXTS = {200: "OK", 201: "Created", 204: "No Content", 301: "Moved Permanently", 302: "Found", 304: "Not Modified", 307: "Temporary Redirect", 308: "Permanent Redirect", 400: "Bad Request", 401: "Unauthorized", 403: "Forbidden", 404: "Not Found", 410: "Gone", 500: "Internal Server Error", 502: "Bad Gateway", 503: "Service Unavailable"}
+_STATUS_TEXT = f"CASE {' '.join(f"WHEN status_code = {k} THEN '{v}'" for k, v in _TEXTS.items())} WHEN status_code BETWEEN 200 AND 299 THEN 'Success' WHEN status_code BETWEEN 300 AND 399 THEN 'Redirect' WHEN status_code BETWEEN 400 AND 499 THEN 'Client Error' WHEN status_code >= 500 THEN 'Server Error' ELSE 'Unknown' END"
+#: Extensions that a crawl leaves out by default.
+_EXTENSIONS = "pdf doc docx xls xlsx ppt pptx zip rar tar gz 7z mp3 mp4 avi mov wmv flv jpg jpeg png gif bmp ico svg webp css js woff woff2 ttf eot".split()
 
 
 def _missing(column: str, *extra: str) -> str:
@@ -161,7 +164,7 @@ SCALARS = {
     "X25_progress": "SELECT crawl_status, count(*) AS n, 100.0e0 * count(*) / sum(count(*)) OVER () AS percent FROM {urls} GROUP BY crawl_status",
     "F03_text_search": "SELECT url_id, url, title FROM {wide} WHERE lower(coalesce(title, '') || ' ' || url) LIKE '%the%'",
     "F05_include_exclude": "SELECT id, url FROM {urls} WHERE NOT RX(url, '[?]utm_') AND (RX(url, '/[a-z]') OR RX(url, '^https'))",
-    "F06_extensions": "SELECT id, url FROM {urls} WHERE lower(regexp_extract(path, '[.]([A-Za-z0-9]+)$', 1)) NOT IN ('jpg', 'jpeg', 'png', 'gif', 'pdf', 'zip', 'css', 'js')",
+    "F06_extensions": f"SELECT id, url FROM {{urls}} WHERE lower(regexp_extract(path, '[.]([A-Za-z0-9]+)$', 1)) NOT IN ({', '.join(map(repr, _EXTENSIONS))})",
     "F10_response_classes": "SELECT id, status_code BETWEEN 200 AND 299 AS ok, status_code BETWEEN 300 AND 399 AS redirect, status_code BETWEEN 400 AND 499 AS client_error, status_code >= 500 AS server_error, content_type LIKE 'text/html%' AS is_html FROM {fetches}",
     "Q01_search_text": "SELECT page_id, cast((CHARS(lower(html)) - CHARS(replace(lower(html), 'the', ''))) / 3 AS bigint) AS matches FROM {pages}",
     "Q02_search_contains": "SELECT page_id, html LIKE '%<nav%' AS has_match FROM {pages}",
