@@ -9,7 +9,8 @@ Kinds: email, ip, card, phone (base and learnt), secret and ssn (learnt only).
 
 Defined cases: null text counts as empty; no spans give empty strings; repeated rows are searched each; columns beside
 doc_id and text are not read. Offsets are code points, ends exclusive. A window of any length is decoded in pieces of
-at most PIECE tokens, cut between lines or words.
+PIECE tokens with MARGIN more on both sides, so that no span is cut and all see the words around; a span belongs to the
+piece in which it starts, and the earlier one stays where two pieces disagree.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from .kernels import chunks
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS, "secret", "ssn")
 LONGEST, PIECE, AROUND = 14, 400, 48
+MARGIN = 4 * LONGEST
 _RANK = {k: i for i, k in enumerate(LABELS)}
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -310,7 +312,7 @@ def trained(n: int = 500, seed: int = 5) -> Field:
 
 
 def windows(text: str) -> Iterator[Window]:
-    """Merged surroundings of all triggers, cut at white space, in pieces of at most PIECE tokens."""
+    """Merged surroundings of all triggers, cut at white space, in overlapping pieces; `own` holds the starts that are a piece's own."""
     n, end = len(text), -1
     spans: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
@@ -329,13 +331,22 @@ def windows(text: str) -> Iterator[Window]:
     for a, b in spans:
         at = [m.start() for m in _TOKEN.finditer(text, a, b)]
         for k in range(0, len(at), PIECE):
-            yield Window(text, at[k], at[k + PIECE] if k + PIECE < len(at) else b)
+            ends = k + PIECE + MARGIN
+            piece = Window(text, at[max(k - MARGIN, 0)], at[ends] if ends < len(at) else b)
+            piece.own = (at[k], at[k + PIECE] if k + PIECE < len(at) else b)
+            yield piece
 
 
 def all_spans(text: str, field: Field) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, base and learnt spans), each by start, then kind."""
     base = base_spans(text)
-    extra = [s for w in windows(text) for s in field.decode(w) if not any(s[0] < b and a < s[1] for a, b, _ in base)] if _TRIGGER.search(text) else []
+    extra, end = [], 0
+    for w in windows(text):
+        for s in sorted(field.decode(w)):
+            if w.own[0] <= s[0] < w.own[1] and s[0] >= end:
+                end = s[1]
+                if not any(s[0] < b and a < end for a, b, _ in base):
+                    extra.append(s)
     return base, sorted(base + extra, key=lambda s: (s[0], _RANK[s[2]]))
 
 

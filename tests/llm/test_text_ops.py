@@ -154,3 +154,13 @@ def test_items_at_the_start_of_a_document_with_deleted_words():
     for t, i, edits, start, end in got:
         item, text = (decontaminate.normal(x) for x in (items[i].encode(), texts[t]))
         assert 0 <= start <= end <= len(text) and semi_global(item, text) <= edits <= decontaminate.budget(len(item))
+
+
+def test_pii_spans_across_the_ends_of_pieces():
+    field, line = pii.trained(), "mail er at mail dot com or call (441) 555-3597\n"
+    short = pii.all_spans(line, field)[1]
+    assert [s[2] for s in short] == ["email", "phone"]
+    for n in range(pii.PIECE - 22, pii.PIECE + 2):
+        head = "7\n" * (n // 2) + "7 " * (n % 2)
+        got = pii.all_spans(head + line + "7\n" * 200, field)[1]
+        assert [(a - len(head), b - len(head), k) for a, b, k in got if a >= len(head)] == short, n
