@@ -16,7 +16,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+#: Bytes hashed at once.
+PIECE = 1 << 20
+_POWERS: list[np.ndarray] = []
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -29,18 +31,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, grown on demand."""
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, base, U64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
+def _powers() -> list[np.ndarray]:
+    """2 * PIECE powers of the base and of its inverse modulo 2**64, made once."""
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)) if not _POWERS else ():
+        p = np.full(2 * PIECE + 1, base, U64)
+        p[0] = 1
+        _POWERS.append(np.multiply.accumulate(p))
     return _POWERS
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `limit` bytes of text each; one longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
@@ -73,10 +73,22 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans by a polynomial prefix sum."""
-    power, inverse = _powers(len(data) + 1)
-    total = np.concatenate((np.zeros(1, U64), np.cumsum(_TABLE[data] * power[: len(data)], dtype=U64)))
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U64))
+    """64-bit hashes of byte spans, given by ascending starts, by polynomial prefix sums over two pieces of the data at a time."""
+    power, inverse = _powers()
+    out = np.zeros(len(starts), U64)
+    for a in range(0, len(data), PIECE):
+        i, j = np.searchsorted(starts, (a, a + PIECE))
+        if i == j:
+            continue
+        part = data[a : a + 2 * PIECE]
+        total = np.concatenate((np.zeros(1, U64), np.cumsum(_TABLE[part] * power[: len(part)], dtype=U64)))
+        s = starts[i:j] - a
+        out[i:j] = (total[np.minimum(ends[i:j] - a, len(part))] - total[s]) * inverse[s]
+        for k in (i + np.flatnonzero(ends[i:j] > a + len(part))).tolist():  # longer than a piece
+            for at in range(a + len(part), int(ends[k]), PIECE):
+                rest = data[at : min(at + PIECE, int(ends[k]))]
+                out[k] += (_TABLE[rest] * power[: len(rest)]).sum(dtype=U64) * U64(pow(_BASE, at - int(starts[k]), 1 << 64))
+    return mix(out + (ends - starts).astype(U64))
 
 
 def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

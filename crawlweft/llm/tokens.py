@@ -1,23 +1,21 @@
 """Token-id output in a bit-plane shuffled binary format.
 
-A text is tokenised word by word (the tokeniser drops white space and no token spans it), each known word once per
-worker. Ids, with END after each document, are packed in ascending doc_id order into self-contained shard images of about
-SHARD ids: header, document index, chunk index, then chunks of CHUNK ids. A chunk is transposed into 32 bit planes, or 4
-byte planes where that is smaller, each plane compressed with zstandard on its own; planes of one value take no bytes.
+Texts become ids by encoder.py. Ids, with END after each document, are packed in ascending doc_id order into self-contained shard images of about SHARD ids:
+header, document index, chunk index, then chunks of CHUNK ids. A chunk is transposed into 32 bit planes or 4 byte planes,
+whichever is smaller on the image's first chunk, each plane compressed with zstandard on its own; planes of one value take no bytes.
 
-Image, little-endian: magic 'BPS1', version u32, n_docs u32, n_chunks u32, n_ids u64; per document doc_id i64 and id count
-u64; per chunk n_ids u32, n_planes u32, then one u32 stored length for each plane (0: all bits 0; 0xFFFFFFFF: all bits 1); then the planes.
+Image, little-endian: magic 'BPS2', version u32, n_docs u32, n_null u32, n_chunks u32, n_ids u64; per document doc_id i64
+(the first n_null have none) and id count u64; per chunk n_ids u32, n_planes u32, then one u32 stored length for each plane
+(0: all bits 0; 0xFFFFFFFF: all bits 1); then the planes.
 
 Defined cases: null or empty text is END alone; rows repeated under a doc_id follow each other (ordered by text) and are
-written each; a null doc_id comes first, stored as the smallest long; a document larger than a shard is a shard of its
-own; an empty table gives an empty file. Columns beside doc_id and text are not read.
+written each; null doc_ids come first and read back as null; a document larger than a shard is a shard of its own; an
+empty table gives an empty file. Columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations
 
-import ctypes
 import struct
-import threading
 import zlib
 from collections.abc import Iterator
 
@@ -25,28 +23,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .runtime import scratch_path, small_batches
+from .encoder import encoder_for
+from .runtime import scratch_path, shuffle_partitions, small_batches, total_bytes
 
 END, SHARD, CHUNK, LEVEL = 2, 1 << 19, 1 << 16, 3
-#: Words kept with their ids in a worker process.
-MEMORY = 600_000
-#: Seconds without a task after which a worker process gives its encoder's memory back; other operators use the same workers.
-IDLE = 10
-_NULL = -(1 << 63)
-_HEAD = struct.Struct("<4sIIIQ")
+#: Text for each task of the writer.
+TASK = 128 << 20
+_HEAD = struct.Struct("<4sIIIIQ")
 _ONES = 0xFFFFFFFF
 SCHEMA = "part int, seq long, first_doc long, n_docs long, n_ids long, image binary"
 
 
-def encode_chunk(ids: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Stored lengths and bodies of the planes of one chunk: the smaller of bit and byte planes."""
+def encode_chunk(ids: np.ndarray, widths: tuple[int, ...] = (4, 32)) -> tuple[list[int], list[bytes]]:
+    """Stored lengths and bodies of the planes of one chunk: the smaller of bit (32) and byte (4) planes, or the one asked for."""
     import zstandard
 
     press = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True)
     raw = np.ascontiguousarray(ids.astype("<u4")).view(np.uint8).reshape(-1, 4)
     found = []
-    for planes in (raw.T, np.unpackbits(raw, axis=1, bitorder="little").T):
-        bit = len(planes) == 32
+    for width in widths:
+        bit = width == 32
+        planes = np.unpackbits(raw, axis=1, bitorder="little").T if bit else raw.T
         sizes, bodies = [], []
         for p in planes:
             p = np.ascontiguousarray(p)
@@ -78,20 +75,25 @@ def decode_chunk(n: int, sizes: list[int], body: memoryview) -> np.ndarray:
     return np.ascontiguousarray(raw).view("<u4").reshape(-1)
 
 
-def encode_image(doc_ids: list[int], counts: list[int], ids: np.ndarray) -> bytes:
-    chunks = [(min(CHUNK, len(ids) - a), *encode_chunk(ids[a : a + CHUNK])) for a in range(0, len(ids), CHUNK)]
-    out = [_HEAD.pack(b"BPS1", 1, len(doc_ids), len(chunks), len(ids)), np.array(doc_ids, "<i8").tobytes(), np.array(counts, "<u8").tobytes()]
+def encode_image(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
+    """Null doc_ids come first."""
+    chunks, widths = [], (4, 32)
+    for at in range(0, len(ids), CHUNK):
+        part = ids[at : at + CHUNK]
+        chunks.append((len(part), *encode_chunk(part, widths)))
+        widths = (len(chunks[0][1]),)
+    out = [_HEAD.pack(b"BPS2", 2, len(doc_ids), sum(d is None for d in doc_ids), len(chunks), len(ids)), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array(counts, "<u8").tobytes()]
     out += [struct.pack(f"<II{len(s)}I", n, len(s), *s) for n, s, _ in chunks]
     return b"".join([*out, *(b for _, _, bodies in chunks for b in bodies)])
 
 
-def decode_image(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def decode_image(image: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """doc_ids, id counts and all ids of an image."""
-    magic, version, n_docs, n_chunks, n_ids = _HEAD.unpack_from(image)
-    if magic != b"BPS1" or version != 1:
+    magic, version, n_docs, n_null, n_chunks, n_ids = _HEAD.unpack_from(image)
+    if magic != b"BPS2" or version != 2:
         raise ValueError("not a bit-plane shard image")
     at = _HEAD.size
-    doc_ids = np.frombuffer(image, "<i8", n_docs, at)
+    doc_ids = pa.array(np.frombuffer(image, "<i8", n_docs, at), mask=np.arange(n_docs) < n_null)
     counts = np.frombuffer(image, "<u8", n_docs, at + 8 * n_docs).astype(np.int64)
     at += 16 * n_docs
     index = []
@@ -109,91 +111,38 @@ def decode_image(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc_ids, counts, ids
 
 
-class WordEncoder:
-    """Little-endian u32 ids of whole texts, from those of their words. Words met once MEMORY are known are not kept."""
-
-    def __init__(self, vocabulary: bytes) -> None:
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_buffer(vocabulary)
-        self._known: dict[bytes, bytes] = {}
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        known, extra = self._known, {}
-        split = [t.split() for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        if new:
-            into = known if len(known) < MEMORY else extra
-            for w, e in zip(new, self._tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                into[w] = np.array(e.ids, "<u4").tobytes()
-        if extra:
-            return [b"".join([known[w] if w in known else extra[w] for w in words]) for words in split]
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-
-#: One encoder for each worker process, which serves many tasks, and the timer that will release it.
-_ENCODERS: dict[int, WordEncoder] = {}
-_TIMERS: list[threading.Timer] = []
-
-
-def _release() -> None:
-    _ENCODERS.clear()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
-    if trim:
-        trim(0)
-
-
-def release_later() -> None:
-    """Call at the end of a task: the encoder goes unless another task asks for it within IDLE seconds."""
-    timer = threading.Timer(IDLE, _release)
-    timer.daemon = True
-    _TIMERS.append(timer)
-    timer.start()
-
-
-def encoder_for(vocabulary: bytes) -> WordEncoder:
-    while _TIMERS:
-        _TIMERS.pop().cancel()
-    key = zlib.crc32(vocabulary)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(vocabulary)
-    return _ENCODERS[key]
-
-
 def write(docs: DataFrame, vocabulary: str, path: str) -> None:
     """Writes shard images of docs to path, in ascending doc_id order of (part, seq)."""
     spark = docs.sparkSession
     # the vocabulary is one file of fixed size
     data = spark.sparkContext.broadcast(open(vocabulary, "rb").read())
-    end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .kernels import chunks
 
         encoder, seq, held = encoder_for(data.value), 0, []
+        end = np.array([END], encoder.kind)
 
         def image() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(x[1] for x in held), "<u4")
-            row = [held[0][2], seq, held[0][0], len(held), len(ids), encode_image([x[0] for x in held], [len(x[1]) // 4 for x in held], ids)]
+            ids = np.concatenate([x for h in held for x in (h[1], end)])
+            row = [held[0][2], seq, held[0][0], len(held), len(ids), encode_image([h[0] for h in held], [len(h[1]) + 1 for h in held], ids)]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "seq", "first_doc", "n_docs", "n_ids", "image"])
 
         size = 0
         for batch in chunks(batches, "text"):
-            texts = [t or b"" for t in batch["text"].cast(pa.large_binary()).to_pylist()]
-            for doc, part, ids in zip(batch["doc_id"].to_pylist(), batch["part"].to_pylist(), encoder(texts), strict=True):
-                n = len(ids) // 4 + 1
+            every, counts = encoder([t or b"" for t in batch["text"].cast(pa.large_binary()).to_pylist()])
+            for doc, part, ids in zip(batch["doc_id"].to_pylist(), batch["part"].to_pylist(), np.split(every, np.cumsum(counts)[:-1]), strict=True):
+                n = len(ids) + 1
                 if held and size + n > SHARD:
                     yield image()
                     held, size, seq = [], 0, seq + 1
-                held.append((_NULL if doc is None else doc, ids + end, part))
+                held.append((doc, ids, part))
                 size += n
         if held:
             yield image()
-        del encoder
-        release_later()
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # tasks hold about TASK bytes of text at any input size
+    n = max(shuffle_partitions(spark), -(-total_bytes(docs) // TASK))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     with small_batches(spark):
         ordered.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(run, SCHEMA).write.parquet(path)
@@ -217,7 +166,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
                 n = len(doc_ids)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int64()), pa.array(doc_ids, mask=doc_ids == _NULL), pa.array(edge[:-1]), pa.array(counts), pa.array(crc, pa.int64())],
+                    [pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int64()), doc_ids, pa.array(edge[:-1]), pa.array(counts), pa.array(crc, pa.int64())],
                     ["part", "seq", "doc_id", "local", "n_tokens", "ids_crc32"],
                 )
 

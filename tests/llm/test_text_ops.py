@@ -1,4 +1,5 @@
 import hashlib
+import json
 import re
 import zlib
 
@@ -7,6 +8,7 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 
 from crawlweft.llm import decontaminate, pii, tokens
+from crawlweft.llm.encoder import Encoder, drops_space
 from crawlweft.llm.queries import op7_pii, op8_token_planes, op9_decontaminate, vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -62,6 +64,30 @@ def test_pii_field_on_held_out_sentences():
     assert right > 0.95 * made and wrong < 0.03 * made
 
 
+ODD_TOKENS = "it's DON'T 'Sx <|endoftext|>hello x<|startoftext|>y <|x É́é ﬁ İstanbul ΣΑΣ ²½ª ſ ŉ \x85a\xa0b   c\x1cd\x00 e\u200bf 漢字 १२ \"'s .'s ''s 'Door we'LL they'vet 'l 'r <|startoftext|> "
+
+
+def test_ids_of_any_text_are_the_tokenisers():
+    from hypothesis import given, settings, strategies as st
+
+    encoder, tk = Encoder(open(vocabulary(), "rb").read()), Tokenizer.from_file(vocabulary())
+    alphabet = st.one_of(st.sampled_from(list("aAbz'sStTmMdDlLrReEvV019 .,!?-é\n\t<|²İßſ\xa0\xad")), st.characters(codec="utf-8"))
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.text(alphabet, max_size=60), min_size=1, max_size=6))
+    def check(texts):
+        ids, n = encoder([t.encode() for t in texts])
+        edge = np.concatenate(([0], np.cumsum(n)))
+        for t, a, b in zip(texts, edge[:-1], edge[1:], strict=True):
+            assert ids[a:b].tolist() == tk.encode(t, add_special_tokens=False).ids
+
+    check()
+    spec = json.loads(tk.to_str())
+    spec["normalizer"]["normalizers"].pop()
+    other = json.dumps(spec)
+    assert not drops_space(spec) and Encoder(other.encode())(["A b".encode(), b""])[0].tolist() == Tokenizer.from_str(other).encode("A b", add_special_tokens=False).ids
+
+
 def test_tokens_round_trip(spark):
     tk = Tokenizer.from_file(vocabulary())
     rows = [(i, t) for i, t in documents(spark).items()] + [(-5, None), (10**6, ""), (10**6 + 1, "é ß  x <|endoftext|> İ" * 30), (10**6 + 2, "a" * 9000)]
@@ -74,7 +100,10 @@ def test_tokens_round_trip(spark):
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in tokens.round_trip(docs, vocabulary()).collect()}
     assert got == want
     twice = tokens.round_trip(docs.unionByName(docs), vocabulary()).collect()
-    assert len(twice) == 2 * len(rows) and sorted(r.start for r in twice)[-1] + 1 + 0 * at <= 2 * at
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in twice) == sorted((i, *v[1:]) for i, v in want.items() for _ in (0, 1))
+    assert sorted(r.start for r in twice) == sorted(np.cumsum([0, *(want[i][1] for i in sorted(want) for _ in (0, 1))])[:-1].tolist())
+    nameless = spark.createDataFrame([(None, "b b"), (None, "a"), (3, "c")], "doc_id long, text string")
+    assert sorted((r.doc_id is None, r.start, r.n_tokens) for r in tokens.round_trip(nameless, vocabulary()).collect()) == [(False, 5, 2), (True, 0, 2), (True, 2, 3)]
     assert tokens.round_trip(docs.limit(0), vocabulary()).collect() == []
     assert op8_token_planes(spark, SF).count() == 200
 
@@ -82,8 +111,8 @@ def test_tokens_round_trip(spark):
 def test_images_of_any_ids():
     rng = np.random.default_rng(0)
     for ids in (np.zeros(0, np.uint32), np.array([2], np.uint32), rng.integers(0, 2**32, 200_001, dtype=np.uint32), np.full(70_000, 2**32 - 1, np.uint32)):
-        d, n, back = tokens.decode_image(tokens.encode_image([7, tokens._NULL], [0, len(ids)], ids))
-        assert (back == ids).all() and d.tolist() == [7, tokens._NULL] and n.tolist() == [0, len(ids)]
+        d, n, back = tokens.decode_image(tokens.encode_image([None, -(1 << 63)], [0, len(ids)], ids))
+        assert (back == ids).all() and d.to_pylist() == [None, -(1 << 63)] and n.tolist() == [0, len(ids)]
 
 
 def test_decontamination_finds_what_contains_finds_and_edited_passages(spark):
