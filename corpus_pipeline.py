@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crawlweft.llm import decontaminate, minhash, mixing, quality, tokens
 from crawlweft.llm.queries import vocabulary
-from crawlweft.llm.runtime import load
+from crawlweft.llm.runtime import drop_tables, load, materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """Every stage's rows are written once and read by the next; the ones before them are deleted."""
+    docs, last = load(spark, sf_dir, "documents"), len(STAGES) - 1
+    for k, (name, stage) in enumerate(STAGES):
+        before, docs = docs, stage(spark, docs, sf_dir)
+        if k < last:
+            docs = materialize(docs, name)
+        if k:
+            drop_tables(before)
     return docs
