@@ -5,15 +5,17 @@ normalised bytes may occur in a document with at most k = ceil(m * ERRORS) edits
 shares at least m + 1 - q - k * q of its q-grams with the item, on diagonals that differ by at most k. Hits of a
 document's q-grams in the index of all items are therefore counted in overlapping bands of diagonals, each 2 * k + 1
 wide or more and each diagonal in two bands; bands at the bound are verified by an alignment restricted to the band.
-q is chosen for each item as the largest of SIZES that leaves a bound of at least MINIMUM hits; an item too short for
-any (normal form below LEAST bytes) is skipped: it would match by chance.
+q is chosen for each item as the largest of SIZES that leaves a bound of at least MINIMUM hits. Shorter items (normal form
+below LEAST bytes) are searched too, without edits and from word to word, by hashes of as many words as they have.
+Longer ones than twice LONG are searched by their pieces of LONG bytes or a little more, each with its own budget: by the pigeonhole
+principle one of them is within it wherever the whole is.
 
-Benchmarks are split by sets of items of at most INDEX bytes, so that no index outgrows a task's memory: each set is
-broadcast and all documents pass it.
+An index covers items of at most INDEX bytes. A larger benchmark has several, built one after the other in each task
+against HELD bytes of documents at a time, so the corpus is read once and a task's memory does not grow with the benchmark.
 
 Defined cases: null or empty texts and items match nothing; equal items each give rows; a document that holds an item
-twice gives one row with the best occurrence; repeated documents give a row each; columns beside doc_id, text and
-item_id, text are not read.
+twice gives one row with the best occurrence (of a long item, of its best piece; item_chars is the piece's); repeated documents give a row each, also without a doc_id; items and texts
+may be of any length; columns beside doc_id, text and item_id, text are not read (clean() passes them on).
 """
 
 from __future__ import annotations
@@ -22,13 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .kernels import U64, chunks, words_at
-from .runtime import materialize
+from .kernels import U64, chunks, mix, span_hashes, word_spans, words_at
+from .runtime import drop_tables, materialize
 
 ERRORS, SIZES, MINIMUM, LEAST, INDEX = 0.1, (8, 6, 4), 8, 40, 4 << 20
+#: Text held for one index after the other, where there are several; q-gram hits gathered before they are counted.
+HELD, HITS = 32 << 20, 1 << 21
+LONG = 1 << 10
 _DROP = bytes(b for b in range(128) if not chr(b).isalnum())
+_MARKS = bytes(b for b in _DROP if b != 32 and not 9 <= b <= 13)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -36,6 +43,11 @@ def normal(text: bytes | None) -> bytes:
     return (text or b"").translate(_LOWER, _DROP)
 
 
+def words(text: bytes | None) -> bytes:
+    """The normal form with a space between words."""
+    return b" ".join((text or b"").translate(_LOWER, _MARKS).split())
+
+
 def budget(m: int) -> int:
     return int(np.ceil(m * ERRORS))
 
@@ -78,18 +90,44 @@ def aligned(item: np.ndarray, text: np.ndarray, band: int, k: int) -> tuple[int,
     return (int(cost[best]), int(start[best]), m + best) if cost[best] <= k else None
 
 
+def _runs(data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first bytes and ends of all runs of n words in data, which ends in a space."""
+    first, end = word_spans(data)
+    h = span_hashes(data, first, end)
+    size = max(len(h) - n + 1, 0)
+    acc = np.zeros(size, U64)
+    for j in range(n if size else 0):
+        acc = acc * U64(0x9E3779B97F4A7C15) + h[j : size + j]
+    return mix(acc + U64(n)), first[:size], end[n - 1 :][:size]
+
+
 class Index:
-    """All q-grams of a set of items: for each q a sorted array, a bitmap for a first look, and where each occurs."""
+    """All q-grams of a set of items: for each q a sorted array, a bitmap for a first look, and where each occurs; short items by word counts."""
 
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
-        self.items = [(i, np.frombuffer(n, np.uint8)) for i, t in items if gram_size(len(n := normal(t)))]
-        self.tables = {}
+        self.items, self.whole = [], []  # (item_id, piece), and which of the given items it is of
+        given = [(i, t, n) for i, t in items if (n := normal(t))]
+        for k, (i, _, n) in enumerate(given):
+            cuts = [*range(0, len(n) - LONG + 1, LONG), len(n)] if len(n) >= 2 * LONG else [0, len(n)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                self.items.append((i, np.frombuffer(n[a:b], np.uint8)))
+                self.whole.append(k)
+        self.sizes = np.array([len(n) for _, n in self.items], np.int64)
+        self.budgets = np.array([budget(int(m)) for m in self.sizes], np.int64)
+        self.tables, self.short = {}, {}
+        size = [gram_size(int(m)) for m in self.sizes]
+        for k, of in enumerate(self.whole):
+            if size[k] is None:
+                text = words(given[of][1])
+                data = np.frombuffer(text + b" ", np.uint8)
+                n = text.count(b" ") + 1
+                self.short.setdefault(n, {}).setdefault(int(_runs(data, n)[0][0]), []).append((k, text))
         for q in SIZES:
-            of = [k for k, (_, n) in enumerate(self.items) if gram_size(len(n)) == q]
+            of = [k for k, s in enumerate(size) if s == q]
             if of:
                 value = np.concatenate([grams(np.append(self.items[k][1], np.zeros(8, np.uint8)), q) for k in of])
-                owner = np.concatenate([np.full(len(self.items[k][1]) - q + 1, k) for k in of])
-                place = np.concatenate([np.arange(len(self.items[k][1]) - q + 1) for k in of])
+                owner = np.concatenate([np.full(len(self.items[k][1]) - q + 1, k, np.int32) for k in of])
+                place = np.concatenate([np.arange(len(self.items[k][1]) - q + 1, dtype=np.int32) for k in of])
                 order = np.argsort(value, kind="stable")
                 value, owner, place = value[order], owner[order], place[order]
                 bits = max(16, int(np.ceil(np.log2(16 * len(value) + 1))))
@@ -102,35 +140,69 @@ class Index:
     def slot(value: np.ndarray, bits: int) -> np.ndarray:
         return (value * U64(0x9E3779B97F4A7C15) >> U64(64 - bits)).astype(np.int64)
 
+    def _short_matches(self, texts: list[bytes | None]) -> Iterator[tuple[int, int, int, int, int]]:
+        if not self.short:
+            return
+        forms = [words(t) for t in texts]
+        starts = np.concatenate(([0], np.cumsum([len(f) + 1 for f in forms])))
+        whole = b" ".join([*forms, b""])
+        data = np.frombuffer(whole, np.uint8)
+        gaps = np.concatenate(([0], np.cumsum(data == 32)))
+        for n, known in self.short.items():
+            h, first, end = _runs(data, n)
+            hit = np.flatnonzero(np.isin(h, np.fromiter(known, U64, len(known))))
+            for x in hit.tolist():
+                a, b = int(first[x]), int(end[x])
+                t = int(np.searchsorted(starts, a, "right")) - 1
+                if b < starts[t + 1]:
+                    for k, text in known[int(h[x])]:
+                        if whole[a:b] == text:
+                            low = a - int(starts[t]) - int(gaps[a] - gaps[starts[t]])
+                            yield t, k, 0, low, low + len(self.items[k][1])
+
+    def _bands(self, data: np.ndarray, q: int) -> set[tuple[int, int, int]]:
+        """(item, first diagonal, span) of the bands at the lemma's bound."""
+        bits, seen, values, edge, owner, place = self.tables[q]
+        g = grams(data, q)
+        at = np.flatnonzero(seen[self.slot(g, bits)])
+        k = np.searchsorted(values, g[at])
+        hit = values[np.minimum(k, len(values) - 1)] == g[at]
+        at, k = at[hit], k[hit]
+        n = edge[k + 1] - edge[k]
+        width = 2 * self.budgets + 1
+        need = self.sizes + 1 - q - self.budgets * q
+        base = 2 * (len(data) // int(width.min()) + 4)
+        # the place of a gram in its item counts once in a band: hits are reduced to that part by part
+        part = np.cumsum(n) // HITS
+        kept: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+        for p in np.unique(part).tolist():
+            some = part == p
+            m = n[some]
+            flat = np.repeat(edge[k[some]] - np.concatenate(([0], np.cumsum(m)))[:-1], m) + np.arange(m.sum())
+            item, where = owner[flat].astype(np.int64), place[flat].astype(np.int64)
+            diagonal = np.repeat(at[some], m) - where
+            for shift in (0, 1):
+                key = item * base + (diagonal + self.sizes[item] + shift * width[item]) // (2 * width[item])
+                kept[shift].append(_distinct(key, where))
+        found = set()
+        for shift, parts in enumerate(kept):
+            if parts:
+                key, _ = _distinct(*(np.concatenate(x) for x in zip(*parts, strict=True))) if len(parts) > 1 else parts[0]
+                keys, count = np.unique(key, return_counts=True)
+                for x in keys[count >= need[keys // base]].tolist():
+                    i, b = divmod(x, base)
+                    found.add((i, b * 2 * int(width[i]) - int(self.sizes[i]) - shift * int(width[i]), 2 * int(width[i])))
+        return found
+
     def matches(self, texts: list[bytes | None]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text index, item index, edits, start, end in the normal form)."""
+        yield from self._short_matches(texts)
         plain = [normal(t) for t in texts]
         starts = np.concatenate(([0], np.cumsum([len(p) + 1 for p in plain])))
         data = np.frombuffer(b"\n".join([*plain, b"\0" * 8]), np.uint8)
-        for q, (bits, seen, values, edge, owner, place) in self.tables.items():
-            g = grams(data, q)
-            at = np.flatnonzero(seen[self.slot(g, bits)])
-            k = np.searchsorted(values, g[at])
-            hit = values[np.minimum(k, len(values) - 1)] == g[at]
-            at, k = at[hit], k[hit]
-            n = edge[k + 1] - edge[k]
-            flat = np.repeat(edge[k] - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(n.sum())
-            item, diagonal = owner[flat], np.repeat(at, n) - place[flat]
-            sizes = np.array([len(x[1]) for x in self.items])
-            width = 2 * np.array([budget(m) for m in sizes]) + 1
-            need = sizes + 1 - q - np.array([budget(m) for m in sizes]) * q
-            base = len(data) // int(width.min()) + 4
-            found: set[tuple[int, int, int]] = set()
-            for shift in (0, 1):
-                band = (diagonal + sizes[item] + shift * width[item]) // (2 * width[item])
-                keys, inverse = np.unique(item * base * 2 + band, return_inverse=True)
-                distinct = np.unique(inverse * np.int64(1 << 20) + place[flat])
-                enough = np.bincount(distinct >> 20, minlength=len(keys))
-                for key in keys[enough >= need[keys // (base * 2)]].tolist():
-                    i, b = divmod(key, base * 2)
-                    found.add((i, b * 2 * int(width[i]) - int(sizes[i]) - shift * int(width[i]), 2 * int(width[i])))
-            for i, low, span in sorted(found):
-                m, k = int(sizes[i]), budget(int(sizes[i]))
+        for q in self.tables:
+            for i, low, span in sorted(self._bands(data, q)):
+                m, k = int(self.sizes[i]), int(self.budgets[i])
                 middle = min(max(low + m // 2 + span // 2, 0), len(data) - 1)
                 for t in sorted({min(int(np.searchsorted(starts, x, "right")) - 1, len(plain) - 1) for x in (max(low, 0), middle, max(low + span, 0), max(low + span + m - 1, 0))}):
                     # item bytes missing at the start of a document put its diagonals up to k below that start; the window
@@ -145,37 +217,82 @@ class Index:
                             yield t, i, got[0], max(a + got[1] - first, 0), a + got[2] - first
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, edits, item_chars, start, end) for every document that holds an item; offsets in the normal form."""
+def _distinct(key: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((where, key))
+    key, where = key[order], where[order]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (where[1:] != where[:-1])))[: len(key)]
+    return key[new], where[new]
+
+
+def _item_sets(docs: DataFrame, benchmark: DataFrame) -> list[Broadcast]:
+    """The items in sets of at most INDEX bytes (one larger item alone), each broadcast; the driver holds one set at a time."""
     items = benchmark.where("text is not null").select("item_id", F.col("text").cast("binary").alias("text"))
     total = F.sum(F.octet_length("text")).over(W.partitionBy("g").orderBy("item_id", "text"))
-    # sets of at most INDEX bytes: sums within 64 groups, so that no task sees all items
+    # sums within 64 groups, so that no task sees all items
     sets = materialize(items.withColumn("g", F.pmod(F.xxhash64("item_id"), F.lit(64))).withColumn("s", F.floor(total / INDEX)), "items")
     bytes_ = sets.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    where = [F.lit(True)] if bytes_ <= INDEX else [(F.col("g") == r.g) & (F.col("s") == r.s) for r in sets.select("g", "s").distinct().collect()]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, item_id long, edits long, item_chars long, start long, end long"
-    out = None
-    for of in where:
-        held = docs.sparkSession.sparkContext.broadcast([(r.item_id, bytes(r.text)) for r in sets.where(of).orderBy("item_id", "text").collect()])
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = Index(held.value)
-            for batch in chunks(batches, "text"):
-                best: dict[tuple[int, int], tuple] = {}
-                for t, i, *rest in index.matches(batch["text"].cast(pa.large_binary()).to_pylist()):
-                    if (t, i) not in best or tuple(rest) < best[t, i]:
-                        best[t, i] = tuple(rest)
-                ids = batch["doc_id"].to_pylist()
-                got = [(ids[t], index.items[i][0], e, len(index.items[i][1]), a, b) for (t, i), (e, a, b) in sorted(best.items())]
-                yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], pa.int64()) for c in range(6)], ["doc_id", "item_id", "edits", "item_chars", "start", "end"])
-
-        part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
+    where = [F.lit(True)] if bytes_ <= INDEX else [(F.col("g") == r.g) & (F.col("s") == r.s) for r in sets.select("g", "s").distinct().orderBy("g", "s").collect()]
+    out = [docs.sparkSession.sparkContext.broadcast([(r.item_id, bytes(r.text)) for r in sets.where(of).orderBy("item_id", "text").collect()]) for of in where]
+    drop_tables(sets)
     return out
 
 
+def _scanned(batches: Iterator[pa.RecordBatch], sets: list[Broadcast]) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+    """Batches with their hits (row, item_id, edits, item_chars, start, end), the best for each row and item."""
+
+    def hits(index: Index, batch: pa.RecordBatch) -> list[tuple]:
+        best: dict[tuple[int, int], tuple] = {}
+        for t, i, e, a, b in index.matches(batch["text"].cast(pa.large_binary()).to_pylist()):
+            key, found = (t, index.whole[i]), (e, a, b, index.items[i][0], len(index.items[i][1]))
+            best[key] = min(best.get(key, found), found)
+        return [(t, item, e, m, a, b) for (t, _), (e, a, b, item, m) in best.items()]
+
+    if len(sets) == 1:
+        index = Index(sets[0].value)
+        for batch in chunks(batches, "text"):
+            yield batch, sorted(hits(index, batch))
+        return
+    held, size = [], 0
+
+    def flush() -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+        found: list[list[tuple]] = [[] for _ in held]
+        for of in sets:
+            index = Index(of.value)
+            for k, batch in enumerate(held):
+                found[k] += hits(index, batch)
+        yield from ((b, sorted(f)) for b, f in zip(held, found, strict=True))
+
+    for batch in chunks(batches, "text"):
+        held.append(batch)
+        size += batch.nbytes
+        if size >= HELD:
+            yield from flush()
+            held, size = [], 0
+    if held:
+        yield from flush()
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, edits, item_chars, start, end) for every document that holds an item; offsets in the normal form."""
+    sets = _item_sets(docs, benchmark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, got in _scanned(batches, sets):
+            ids = batch["doc_id"].to_pylist()
+            rows = [(ids[t], *rest) for t, *rest in got]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(6)], ["doc_id", "item_id", "edits", "item_chars", "start", "end"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, edits long, item_chars long, start long, end long")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold an item; rows and columns otherwise as they are."""
-    bad = materialize(contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    """docs without the rows whose text holds an item; rows and columns otherwise as they are."""
+    sets = _item_sets(docs, benchmark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, got in _scanned(batches, sets):
+            keep = np.ones(batch.num_rows, bool)
+            keep[[t for t, *_ in got]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

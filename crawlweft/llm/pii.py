@@ -351,7 +351,7 @@ def all_spans(text: str, field: Field) -> tuple[list[tuple[int, int, str]], list
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans (all), n_added."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans (all), n_added, n_spans (all)."""
     field = docs.sparkSession.sparkContext.broadcast(trained())
     show = lambda spans: ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
@@ -361,10 +361,10 @@ def find(docs: DataFrame) -> DataFrame:
             for text in batch["text"].to_pylist():
                 base, every = all_spans(text or "", field.value)
                 count = [sum(k == kind for _, _, k in base) for kind in KINDS]
-                rows.append((*count, hashlib.sha256(show(base).encode()).hexdigest(), show(every), len(every) - len(base)))
+                rows.append((*count, hashlib.sha256(show(base).encode()).hexdigest(), show(every), len(every) - len(base), len(every)))
             columns = list(zip(*rows, strict=True))
-            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"])
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

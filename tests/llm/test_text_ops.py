@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from crawlweft.llm import decontaminate, pii, tokens
@@ -141,7 +142,7 @@ def semi_global(item, text):
 def test_lemma_loses_no_occurrence_within_the_budget(spark):
     rng = np.random.default_rng(5)
     letter = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
-    items = [(i, letter(rng.integers(40, 260))) for i in range(40)] + [(99, "short"), (98, None), (97, "")]
+    items = [(i, letter(rng.integers(40, 260))) for i in range(40)] + [(98, None), (97, "")]
     index = decontaminate.Index([(i, (t or "").encode()) for i, t in items])
     texts, want = [], set()
     for k, (i, t) in enumerate(items[:40] * 3):
@@ -164,6 +165,29 @@ def test_lemma_loses_no_occurrence_within_the_budget(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).collect() == [] and decontaminate.clean(docs.limit(0), bench).collect() == []
 
 
+def test_short_items_long_items_many_sets_and_rows_without_id(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    long = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(6_000))  # over 40,000 normalised bytes
+    items = [(1, "What is the capital of Australia?"), (2, "yes."), (3, "What is the capital of Australia?"), (4, "..."), (5, long)]
+    texts = ["he asked: what is the CAPITAL, of Australia? no", "eyes yesterday", "Yes", "what is the capital of Austria", "x " + long[:20_000] + long[20_008:] + " y", ""]
+    index = decontaminate.Index([(i, t.encode()) for i, t in items])
+    found = lambda: {(t, index.items[i][0], e) for t, i, e, *_ in index.matches([x.encode() for x in texts])}
+    want = {(0, 1, 0), (0, 3, 0), (2, 2, 0), (4, 5, 0)}
+    assert {(t, i) for t, i, _ in found()} == {(t, i) for t, i, _ in want} and want <= found() and max(map(len, (n for _, n in index.items))) <= 2 * decontaminate.LONG
+    at = next(m for m in index.matches([texts[0].encode()]))
+    assert decontaminate.normal(texts[0].encode())[at[3] : at[4]] == decontaminate.normal(items[0][1].encode())
+    monkeypatch.setattr(decontaminate, "HITS", 1000)
+    assert {(t, i) for t, i, _ in found()} == {(t, i) for t, i, _ in want}
+    monkeypatch.setattr(decontaminate, "INDEX", 40)
+    monkeypatch.setattr(decontaminate, "HELD", 50)
+    docs = spark.createDataFrame([(None if k % 2 else k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, item_id int")
+    bench = spark.createDataFrame(items[:4], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()) == [(0, 1), (0, 3), (2, 2)]
+    again = docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    kept = decontaminate.clean(again, bench)
+    assert kept.columns == docs.columns and sorted(r.item_id for r in kept.collect()) == [1, 1, 3, 3, 4, 4, 5, 5]
+
+
 def test_items_at_the_start_of_a_document_with_deleted_words():
     rng = np.random.default_rng(11)
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 9)))
