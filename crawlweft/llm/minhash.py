@@ -11,8 +11,10 @@ others only among those outside h. So the pairs left to verify, exactly, are tho
 those that share a shingle outside h; both across components only.
 
 Defined cases: null text counts as empty; an empty set (no words) is linked with nothing; a text with fewer words than
-a shingle has its whole sequence as one shingle; rows repeated under one doc_id are each placed by their own text; a null doc_id is
-its own component (null) and is kept; columns beside doc_id and text are not read.
+a shingle has its whole sequence as one shingle; rows repeated under one doc_id are each placed by their own text (tables
+with such rows are worked on by row, then given the smallest doc_id of each component); a null doc_id is its own component
+(null) and is kept by near_duplicates(), while one_of_each() places its text like any other; columns beside doc_id and
+text are not read.
 """
 
 from __future__ import annotations
@@ -28,10 +30,8 @@ from .kernels import U64, chunks, mix, shingles
 from .runtime import drop_tables, materialize
 
 REGISTERS, MANTISSA, BAND = 512, 10, 8
-#: A pair is dropped before verification only if its estimate is this far below the threshold: over six standard deviations of the sketch.
-SLACK = 0.16
-#: Below so many shingles the estimate is not asked.
-FEW = 256
+#: A pair is dropped before verification only if its estimate is so many standard deviations of the sketch below the threshold.
+DEVIATIONS = 6
 
 
 def registers(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -81,6 +81,12 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return np.clip((equal.sum(axis=1) - chance * both) / np.maximum(used.sum(axis=1), 1), 0, 1)
 
 
+def slack(n: np.ndarray, threshold: float) -> np.ndarray:
+    """How far an estimate may lie below the threshold; a set of n shingles fills that many registers of its own, the others are borrowed."""
+    own = REGISTERS * -np.expm1(-n / REGISTERS)
+    return DEVIATIONS * np.sqrt(threshold * (1 - threshold) / np.maximum(own, 1))
+
+
 def sketch(docs: DataFrame, words: int) -> DataFrame:
     """One row per document: n_shingles, a 128-bit digest of the set (s1, s2), the sketch and its band hashes."""
 
@@ -112,7 +118,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
                 continue
             a, b = (np.frombuffer(b"".join(t[k].to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in ("k_a", "k_b"))
             n, m = (np.asarray(t[k]).astype(float) for k in ("n_a", "n_b"))
-            keep = ((estimate(a, b, n, m) >= threshold - SLACK) | (np.minimum(n, m) < FEW)) & (np.minimum(n, m) >= threshold * np.maximum(n, m))
+            keep = (estimate(a, b, n, m) >= threshold - slack(np.minimum(n, m), threshold)) & (np.minimum(n, m) >= threshold * np.maximum(n, m))
             yield t.select(["a", "b"]).filter(pa.array(keep))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "k_a", "k_b").mapInArrow(run, "a long, b long")
@@ -198,6 +204,33 @@ def _across(open_: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked doc_id), kept. docs needs doc_id and text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _placed(docs, words, percent)
+    rows = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = materialize(_placed(rows.where("doc_id is not null").select(F.col("row").alias("doc_id"), "text"), words, percent).withColumnRenamed("doc_id", "row"), "placed")
+    ids = rows.select("row", "doc_id")
+    least = found.join(ids, "row").groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    named = found.join(least, "component_id").join(ids, "row").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+    nameless = _placed(rows.where("doc_id is null").select("doc_id", "text"), words, percent).drop("kept")
+    return named.unionByName(nameless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, any columns, of which each component keeps one: of the smallest doc_id; nulls last, then by a hash of the row."""
+    doc_id = F.col("doc_id").cast("long")
+    if docs.groupBy(doc_id.alias("id")).count().where("id is null or count > 1").isEmpty():
+        kept = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias("_kept"))
+        return docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left_semi")
+    rows = materialize(docs.select(F.struct(*docs.columns).alias("of"), F.monotonically_increasing_id().alias("row")), "rows")
+    found = _placed(rows.select(F.col("row").alias("doc_id"), "of.text"), words, percent).select(F.col("doc_id").alias("row"), "component_id")
+    plain = [F.col("of")[f.name] for f in docs.schema.fields if not f.dataType.simpleString().startswith(("map", "variant"))]
+    order = F.struct(F.col("of.doc_id").isNull(), F.col("of.doc_id").cast("long"), F.xxhash64(*plain), F.col("row"))
+    first = rows.select("row", order.alias("order")).join(found, "row").groupBy("component_id").agg(F.min_by("row", "order").alias("row")).select("row")
+    return rows.join(first, "row", "left_semi").select(*(F.col("of")[c].alias(c) for c in docs.columns))
+
+
+def _placed(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """near_duplicates() of (doc_id long, text) where rows of one doc_id are of one text."""
     sig = materialize(sketch(docs, words), "sketches")
     sets = sig.where("n_shingles > 0 and doc_id is not null")
     # an exact class keeps its smallest id; the bands and the sketch are the same for all its members

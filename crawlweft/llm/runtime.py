@@ -15,10 +15,13 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, only where that is unset, a folder of our own."""
+    """The folder all executors share: spark.checkpoint.dir, or, only where that is unset and executors are threads of the driver, a folder of our own."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="crawlweft-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)

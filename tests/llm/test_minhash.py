@@ -1,6 +1,6 @@
 import re
 
-from crawlweft.llm.minhash import near_duplicates
+from crawlweft.llm.minhash import near_duplicates, one_of_each
 
 
 def brute(rows, n, percent=80):
@@ -67,3 +67,23 @@ def test_group_of_near_copies_with_links_away_from_the_hub(spark):
     for n in (2, 5):
         got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in near_duplicates(docs, n).collect()}
         assert got == brute(rows, n)
+
+
+def test_whole_table_of_a_thousand_rows_with_recall(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs, 2).collect()}
+    assert got == brute([tuple(r) for r in docs.collect()], 2)
+
+
+def test_one_id_with_two_texts_and_rows_without_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    near = lambda t: t + " end"
+    rows = [(1, a, "p"), (1, b, "q"), (2, near(a), "r"), (3, near(b), "s"), (4, c, "t"), (4, c, "t"), (None, near(c), "u"), (None, "x y", "v"), (None, "z w", "w"), (None, None, "n"), (9, "", "e"), (9, "", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    got = sorted((r.doc_id is None, r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs, 2).collect() if r.doc_id is not None)
+    assert got == sorted([(False, 1, 1, True)] * 2 + [(False, 2, 1, False), (False, 3, 1, False)] + [(False, 4, 4, True)] * 2 + [(False, 9, 9, True)] * 2)
+    assert [(r.component_id, r.kept) for r in near_duplicates(docs, 2).collect() if r.doc_id is None] == [(None, True)] * 4
+    kept = one_of_each(docs, 2)
+    assert kept.columns == docs.columns and sorted(r._row for r in kept.collect()) == ["e", "f", "n", "p", "q", "t", "v", "w"]
+    single = docs.where("doc_id in (2, 3) or _row = 't'").dropDuplicates()
+    assert sorted(r._row for r in one_of_each(single, 2).collect()) == ["r", "s", "t"]
