@@ -4,10 +4,11 @@ Every source is permuted by a seeded hash of doc_id and cut into blocks of that
 its size and a rest gives every block e times and, for the rest, a prefix of the permuted order: whole blocks, and a
 hash cut inside one. The drawn blocks of all sources are the tree's quotas: at each node half of the node's blocks,
 drawn without replacement, go left, so that the sources' counts on the left follow a multivariate hypergeometric law;
-leaves are output shards. Blocks of a source, in permuted order, fill its leaf quotas, disjointly; inside a shard rows are
-ordered by another hash (order_key).
+leaves are output shards. Blocks of a source, in permuted order, fill its leaf quotas, disjointly. What a document gives is
+what the leaves drew of its block: a copy for each leaf that holds one; draw() orders the rows of each task by shard and by another hash (order_key).
 
-The tree has at most BLOCKS blocks plus a few per source and copy, at any input size: blocks grow with the input, the tree does not.
+The tree has at most BLOCKS blocks plus a few per source and copy, at any input size: blocks grow with the input, the tree
+does not, but for two blocks a source. Tables by source or block are broadcast only while they have at most BROADCAST rows.
 
 Defined cases: sizes count words `[^\\x20\\x09-\\x0D]+`, null text 0; sources rank by code point, null last, as one
 source; a source of size 0 has target 0; rows repeated under a doc_id are drawn together; an empty table gives no rows;
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .runtime import materialize
 
 WEIGHTS, LIMIT, BLOCKS, LEVELS, SEED = (5, 2, 1), 3, 1024, 4, 17
+BROADCAST = 1 << 16
 _FINE = 1 << 12
 _SPAN = 1 << 40
 
@@ -109,28 +111,33 @@ def plan(docs: DataFrame, *, levels: int = LEVELS, seed: int = SEED) -> tuple[Da
     return sizes, materialize(block, "draws")
 
 
+def _bounded(table: DataFrame) -> DataFrame:
+    """With the hint to broadcast it if it is small; else the join is left to its measured size."""
+    return F.broadcast(table) if table.limit(BROADCAST + 1).count() <= BROADCAST else table
+
+
 def _with_draws(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """rows have source and place. Adds source_size, target, times (copies drawn of the row) and shards (one for each copy)."""
+    """rows have source and place. Adds source_size, target and shards: the shard of each copy drawn of the row."""
     known = blocks.select("source", "blocks").distinct().select(F.col("source").alias("ks"), F.col("blocks").alias("k"))
-    rows = rows.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("ks"))).withColumn("b", F.floor(F.col("place") * F.col("k") / F.lit(_SPAN)))
-    # at most BLOCKS blocks and two for each source
+    rows = rows.join(_bounded(known), F.col("source").eqNullSafe(F.col("ks"))).withColumn("b", F.floor(F.col("place") * F.col("k") / F.lit(_SPAN)))
     draws = blocks.select(F.col("source").alias("ds"), F.col("block").alias("db"), "source_size", "target", "copies", "cut", "block_shards")
-    rows = rows.join(F.broadcast(draws), F.col("source").eqNullSafe(F.col("ds")) & (F.col("b") == F.col("db")))
-    rows = rows.withColumn("times", (F.col("copies") + F.when(F.col("place") <= F.col("cut"), 1).otherwise(0)).cast("int"))
-    return rows.withColumn("shards", F.slice(F.coalesce("block_shards", F.array().cast("array<int>")), F.lit(1), F.col("times"))).drop("ks", "k", "b", "ds", "db", "copies", "cut", "block_shards")
+    rows = rows.join(_bounded(draws), F.col("source").eqNullSafe(F.col("ds")) & (F.col("b") == F.col("db")))
+    # the last copy of the block at the cut is drawn up to there
+    drawn = F.slice(F.coalesce("block_shards", F.array().cast("array<int>")), F.lit(1), (F.col("copies") + F.when(F.col("place") <= F.col("cut"), 1).otherwise(0)).cast("int"))
+    return rows.withColumn("shards", drawn).drop("ks", "k", "b", "ds", "db", "copies", "cut", "block_shards")
 
 
 def mixed(docs: DataFrame, *, levels: int = LEVELS, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, source, times, shards."""
+    """One row per document: doc_id, size, source_size, target, taken (words in all shards that drew it), source, times, shards."""
     sizes, blocks = plan(docs, levels=levels, seed=seed)
-    out = _with_draws(sizes, blocks)
+    out = _with_draws(sizes, blocks).withColumn("times", F.size("shards"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "source", "times", "shards")
 
 
 def draw(docs: DataFrame, *, levels: int = LEVELS, seed: int = SEED, placed: bool = False) -> DataFrame:
-    """The mix itself: each row of docs once for every copy; placed: with _shard and _order_key (order rows of a shard by it)."""
+    """The mix itself: each row of docs once for every copy, shuffled within each task; placed: with _shard and _order_key (order rows of a shard by it)."""
     _, blocks = plan(docs, levels=levels, seed=seed)
     rows = docs.select(F.struct(*docs.columns).alias("row"), "source", place(F.col("doc_id"), seed).alias("place"))
     out = _with_draws(rows, blocks).select("row", F.posexplode("shards").alias("_copy", "_shard"))
-    key = F.xxhash64("row.doc_id", "_copy", F.lit(seed + 1))
-    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns), *([F.col("_shard"), key.alias("_order_key")] if placed else []))
+    out = out.withColumn("_order_key", F.xxhash64("row.doc_id", "_copy", F.lit(seed + 1))).sortWithinPartitions("_shard", "_order_key")
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns), *(["_shard", "_order_key"] if placed else []))

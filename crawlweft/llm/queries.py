@@ -57,9 +57,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    store = sharding.Store(spark)
-    store.append(docs)
+    docs, store = load(spark, sf_dir, "documents"), sharding.Store(spark)
+    # arrivals of three sizes, that is of several tiers
+    turn = F.pmod(F.xxhash64("doc_id"), F.lit(8))
+    for part in (turn < 5, turn.isin(5, 6), turn == 7):
+        store.append(docs.where(part))
     version = store.compact()
     store.expire()
     return store.read(version, docs.schema).select("doc_id", F.col("_shard").alias("shard"), F.col("_shard_bytes").alias("shard_bytes"), F.lit(version).alias("version"))

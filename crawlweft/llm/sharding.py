@@ -4,21 +4,25 @@ append() writes arrivals as small immutable shards and commits a manifest versio
 shards into tiers of similar size, merges every tier of at least FANOUT shards into files of about TARGET bytes (a scan
 of that tier's files, coalesced: no shuffle), and commits the next version. A version is a folder that appears by one
 atomic rename which fails if it exists: of two writers one wins and the other gets an error, its files unreferenced.
-Shards are never changed; expire() deletes those that the newest version doesn't list.
+Shards are never changed. expire() drops old versions, then the shards that only they listed; files that no version lists
+may be those of a writer about to commit and go only when they are older than `grace` seconds.
 
 Defined cases: an empty table commits a version without shards and reads as no rows; nulls, repeated rows and any extra
-columns are stored as they are; a row larger than a shard is a shard. The driver holds the list of shards, never rows.
+columns are stored as they are; a row larger than a shard is a shard; where the input has a column _shard or _shard_bytes,
+read() puts underscores before its own until they differ. The driver holds the list of shards (one path for each TARGET
+bytes, which reading them needs there), never rows.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .runtime import scratch_path, total_bytes
+from .runtime import scratch_path
 
-SMALL, TARGET, FANOUT = 4 << 20, 64 << 20, 4
+SMALL, TARGET, FANOUT, GRACE = 4 << 20, 64 << 20, 4, 24 * 3600
 MANIFEST = "shard string, tier int, rows long, bytes long"
 
 
@@ -63,8 +67,9 @@ class Store:
         """New shards of about SMALL bytes of text, in the layout of the input's own partitions; returns the version."""
         version = max(self.versions(), default=0) + 1
         batch = f"a-{uuid.uuid4().hex}"
-        sized = docs.agg(F.count("*").alias("n")).first().n
-        per = max(1, int(sized * SMALL // max(total_bytes(docs), 1))) if "text" in docs.columns else 10_000
+        text = F.sum(F.octet_length("text").cast("long")) if "text" in docs.columns else F.lit(None)
+        sized = docs.agg(F.count("*").alias("n"), text.alias("bytes")).first()
+        per = max(1, int(sized.n * SMALL // max(sized.bytes or 0, 1))) if "text" in docs.columns else 10_000
         docs.write.option("maxRecordsPerFile", per).option("compression", "zstd").parquet(f"{self.root}/shards/{batch}")
         return self._commit(self.manifest().unionByName(self._written(batch)), version)
 
@@ -84,22 +89,32 @@ class Store:
         return self._commit(after, version + 1) if tiers else version
 
     def read(self, version: int | None = None, schema=None) -> DataFrame:
-        """All rows of a version, with _shard, _tier and _shard_bytes."""
+        """All rows of a version, then _shard and _shard_bytes."""
         shards = self.manifest(version)
         names = [r.shard for r in shards.where("rows > 0").select("shard").toLocalIterator()]
+        rows = self.spark.read.parquet(*(f"{self.root}/shards/{s}" for s in names)) if names else self.spark.createDataFrame([], schema or "doc_id long")
+        mark = "_shard"
+        while {mark, f"{mark}_bytes"} & set(rows.columns):
+            mark = f"_{mark}"
         if not names:
-            return self.spark.createDataFrame([], schema or "doc_id long").selectExpr("*", "cast(null as string) _shard", "cast(null as long) _shard_bytes")
-        rows = self.spark.read.parquet(*(f"{self.root}/shards/{s}" for s in names))
+            return rows.select("*", F.lit(None).cast("string").alias(mark), F.lit(None).cast("long").alias(f"{mark}_bytes"))
         at = F.split(F.col("_metadata.file_path"), "/")
-        return rows.select("*", F.concat_ws("/", F.element_at(at, -2), F.element_at(at, -1)).alias("_shard"), F.col("_metadata.file_size").alias("_shard_bytes"))
-
-    def expire(self) -> None:
-        """Deletes shards that the newest version doesn't list."""
-        listed = {r.shard for r in self.manifest().select("shard").toLocalIterator()}
+        return rows.select("*", F.concat_ws("/", F.element_at(at, -2), F.element_at(at, -1)).alias(mark), F.col("_metadata.file_size").alias(f"{mark}_bytes"))
+
+    def expire(self, keep: int = 1, grace: float = GRACE) -> None:
+        """Drops all but the newest `keep` versions and the shards that only they listed, then unlisted files older than `grace` seconds."""
+        versions = self.versions()
+        old, new = versions[: len(versions) - keep], versions[len(versions) - keep :]
+        listed = lambda of: {r.shard for v in of for r in self.manifest(v).select("shard").toLocalIterator()}
+        kept = listed(new)
+        gone = listed(old) - kept
         top = self._path("shards")
         fs = top.getFileSystem(self._conf)
+        for v in old:
+            fs.delete(self._path(f"manifests/v{v:08d}"), True)
         for batch in fs.listStatus(top) if fs.exists(top) else []:
             for f in fs.listStatus(batch.getPath()):
-                name = f.getPath().getName()
-                if name.startswith("part-") and f"{batch.getPath().getName()}/{name}" not in listed:
+                name = f"{batch.getPath().getName()}/{f.getPath().getName()}"
+                late = time.time() - f.getModificationTime() / 1000 > grace
+                if "/part-" in name and name not in kept and (name in gone or late):
                     fs.delete(f.getPath(), False)

@@ -45,6 +45,17 @@ def test_chat_escapes_are_reversible_and_parts_become_placeholders(spark):
     assert r.formatted == "<|start|>user<|body|>see <^|image|><|image|><|audio|><|document|><|end|>"
     assert [tuple(a) for a in r.attachments] == [("image", "a.png", 512), ("audio", "b.wav", 25), ("document", "c.pdf", 2400)]
     assert chat.format_chat(typed.limit(0)).collect() == []
+    text = lambda t: ("text", t, None, 0)
+    halves = [[text("hi <"), text("|end|>"), text("^"), text("^\x01")], [text("[IN"), ("image", None, "a", 1), text("ST]"), text(None), text("<|image|>\x02^\x02")], [], None]
+    split = spark.createDataFrame([(None, i, "assistant", p) for i, p in enumerate(halves)] + [(None, 0, None, [text("two at turn 0")])], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    out = chat.format_chat(split)
+    d = chat.digest(out).first()
+    bodies = ["hi <|end|>^^\x01", "[IN<|image|>ST]<|image|>\x02^\x02", "", ""]
+    assert d.n_turns == 5 and d.loss_sha256 == hashlib.sha256("".join(bodies).encode()).hexdigest()
+    assert d.turns_sha256 == hashlib.sha256("".join(f"{r}\n{b}\n" for r, b in [("", "two at turn 0"), *(("assistant", b) for b in bodies)]).encode()).hexdigest()
+    one = out.first()
+    wrong = out.withColumn("loss_runs", F.transform("loss_runs", lambda r: F.struct(r["n_chars"], (~r["loss"]).alias("loss"))))
+    assert [a.type for a in one.attachments] == ["image"] and chat.digest(wrong).first().loss_sha256 != d.loss_sha256
 
 
 def brute_targets(sizes):
@@ -100,8 +111,22 @@ def test_sharding_keeps_every_row_and_commits_once(spark, monkeypatch):
     assert sorted(map(tuple, store.read().drop("_shard", "_shard_bytes").collect())) == want
     with pytest.raises(Exception, match="FileAlreadyExists"):
         store._commit(store.manifest(), 3)
+    # a writer that has written and not committed keeps its files, and an expired version goes as a whole
+    docs.limit(9).write.parquet(f"{store.root}/shards/late")
+    late = store._written("late")
+    store.expire(keep=2)
+    assert store.versions() == [2, 3] and store.read(2).count() == store.read().count() == len(want)
     store.expire()
-    assert store.read().count() == len(want)
+    assert store.versions() == [3] and store.read().count() == len(want)
+    store._commit(store.manifest().unionByName(late), 4)
+    assert store.read().count() == len(want) + 9
+    docs.limit(5).write.parquet(f"{store.root}/shards/dead")
+    store.expire(grace=-1)
+    assert not spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{store.root}/shards").where("path like '%/dead/%'").count() and store.read().count() == len(want) + 9
+    clash = sharding.Store(spark)
+    rows = spark.createDataFrame([(None, None, 1), (1, "x", 2), (1, "x", 2)], "doc_id long, text string, _shard int")
+    clash.append(rows)
+    assert clash.read().columns == [*rows.columns, "__shard", "__shard_bytes"] and clash.read().select("_shard").count() == 3
     empty = sharding.Store(spark)
     empty.append(docs.limit(0))
     assert empty.compact() == 1 and empty.read(schema=docs.schema).count() == 0
