@@ -1,8 +1,8 @@
 """Corpus pipeline: quality rules, near-dedup, decontamination, mixing, token output.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. Documents whose text is null are
-empty ones: the quality rules reject them. Extra columns of docs pass through every stage but the last. Rows repeated
-under one doc_id are copies of each other: the near-dedup stage keeps one row for each id.
+empty ones: the quality rules reject them. Extra columns of docs pass through every stage but the last. Every row is
+judged by its own text, also where doc_ids are null or repeat: of equal or near texts one row stays, different texts all do.
 """
 
 from __future__ import annotations
@@ -22,10 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8 or more stays: the smallest id."""
-    kept = minhash.near_duplicates(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id"])
+    return minhash.one_of_each(docs, words=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
