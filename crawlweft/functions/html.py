@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from urllib.parse import urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -17,6 +17,37 @@ PAGE = (
 _SKIPPED = ("javascript:", "mailto:", "tel:", "#")
 
 
+def _without_dots(path: str) -> str:
+    """'.' and '..' resolved; empty segments stay."""
+    out: list[str] = []
+    parts = path.split("/")
+    for k, part in enumerate(parts):
+        if part == "..":
+            out = out[:-1] if len(out) > 1 else out
+        elif part != ".":
+            out.append(part)
+            continue
+        if k == len(parts) - 1:
+            out.append("")
+    return "/".join(out)
+
+
+def resolve(base: str, href: str) -> str:
+    """A reference against its base by RFC 3986; what cannot be parsed stays as it is."""
+    try:
+        b, r = urlsplit(base), urlsplit(href)
+    except ValueError:
+        return href
+    if r.scheme:
+        return href
+    if r.netloc:
+        return urlunsplit((b.scheme, r.netloc, _without_dots(r.path), r.query, r.fragment))
+    if not r.path:
+        return urlunsplit((b.scheme, b.netloc, b.path, r.query or ("" if href.startswith("?") else b.query), r.fragment))
+    path = r.path if r.path.startswith("/") else (b.path[: b.path.rfind("/") + 1] or ("/" if b.netloc else "")) + r.path
+    return urlunsplit((b.scheme, b.netloc, _without_dots(path), r.query, r.fragment))
+
+
 class _Page(HTMLParser):
     def __init__(self, url: str) -> None:
         super().__init__(convert_charrefs=True)
@@ -24,10 +55,7 @@ class _Page(HTMLParser):
         self.row = {"title": "", "meta_description": "", "meta_robots": "", "canonical": "", "language": "", "base_url": url, "h1": [], "h2": [], "h3": [], "links": [], "images": [], "scripts": [], "stylesheets": [], "hreflangs": [], "meta_tags": {}}
 
     def resolve(self, href: str) -> str:
-        try:
-            return urljoin(self.base, href)
-        except ValueError:
-            return href
+        return resolve(self.base, href)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a, row = {k: v or "" for k, v in attrs}, self.row
@@ -100,7 +128,7 @@ def _pages(url: pd.Series, html: pd.Series) -> pd.DataFrame:
 
 
 def _resolved(base: pd.Series, href: pd.Series) -> pd.Series:
-    return pd.Series([urljoin(b or "", h or "") for b, h in zip(base, href, strict=True)])
+    return pd.Series([resolve(b or "", h or "") for b, h in zip(base, href, strict=True)])
 
 
 def parsed_page(url: Column | str, html: Column | str) -> Column:

@@ -2,39 +2,76 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .operators.analyzers import ANALYZERS, FILTER_PLANS, ISSUE_PLANS, filtered
+from .operators.analyzers import ANALYZERS, COLUMNS, FILTER_PLANS, ISSUE_PLANS, filtered
+from .operators.crawl import STATEFUL
+from .operators.documents import FUNCTIONS
 from .operators.reports import GRAPH, REPORTS, SCALARS, SEGMENTS
-from .plans import BASE, Catalog
-from .plans.fixtures import FIXTURES
+from .plans import CRAWL, Catalog
+from .plans.oracles import DUCK
 
-CATALOG = Catalog(FIXTURES | ANALYZERS | FILTER_PLANS | ISSUE_PLANS | REPORTS | SEGMENTS | GRAPH | SCALARS)
-#: Plans that stand for an operator; the others are their parts.
-OPERATORS = [*(a for a in ANALYZERS if a not in ("wide",)), *FILTER_PLANS, *ISSUE_PLANS, *(k for k in (*REPORTS, *SEGMENTS, *GRAPH, *SCALARS) if not k.startswith(("step", "prefixes", "J11_graph_edges_full", "overview", "first_inlink")))]
+PLANS = ANALYZERS | FILTER_PLANS | ISSUE_PLANS | REPORTS | SEGMENTS | GRAPH | SCALARS
+COMPUTED = FUNCTIONS | STATEFUL
+CATALOG = Catalog(PLANS, DUCK)
+#: Plans and computed tables that stand for an operator; the others are their parts.
+PARTS = ("wide", "url_parts", "url_flags", "amp_links", "a11y_tags", "page_state", "overview", "first_inlink", "prefixes", "node_ids", "structured_items", "templates", "hops")
+OPERATORS = [k for k in (*PLANS, *COMPUTED) if k not in PARTS]
+
+
+class Folder(Mapping):
+    """Parquet tables of a folder by name, each opened when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str, names: tuple[str, ...]) -> None:
+        self._spark, self._folder, self._names, self._open = spark, folder, names, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._names:
+            raise KeyError(name)
+        if name not in self._open:
+            self._open[name] = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return self._open[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._names)
+
+    def __len__(self) -> int:
+        return len(self._names)
 
 
 class Site:
     """Named operators over one crawl. tables: crawl tables by name (urls, fetches, html_features, links, ...)."""
 
-    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame]) -> None:
-        self.spark, self.tables = spark, dict(tables)
+    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], catalog: Catalog = CATALOG) -> None:
+        self.spark, self.tables, self.catalog = spark, tables, catalog
 
     @classmethod
-    def open(cls, spark: SparkSession, folder: str, names: tuple[str, ...] = BASE) -> Site:
-        """The tables of a folder of Parquet files, read as they are needed."""
-        return cls(spark, {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names})
+    def open(cls, spark: SparkSession, folder: str, names: tuple[str, ...] = CRAWL, catalog: Catalog = CATALOG) -> Site:
+        """A folder with {table}.parquet for the crawl tables; only those that an operator needs have to be there."""
+        return cls(spark, Folder(spark, folder, names), catalog)
+
+    def table(self, name: str) -> DataFrame:
+        """A given table, or an operator's rows."""
+        return self.tables[name] if name in self.tables else self.run(name)
 
     def run(self, name: str) -> DataFrame:
-        needed = {t for x in CATALOG._needs(name, self.tables) for t in self.tables if f"{{{t}}}" in CATALOG.plans[x]}
-        return CATALOG.run(self.spark, name, {t: self.tables[t] for t in needed})
+        if name in COMPUTED:
+            return COMPUTED[name](self.table)
+        given = {*self.tables, *COMPUTED}
+        needed = {t for x in self.catalog._needs(name, given) for t in given if f"{{{t}}}" in self.catalog.plans[x]}
+        return self.catalog.run(self.spark, name, {t: self.table(t) for t in needed})
 
     def analyze(self, analyzer: str, filter_id: str | None = None) -> DataFrame:
         """An analyzer's rows, all or those that a named filter keeps (an unknown filter keeps all)."""
         name = f"{analyzer}__{filter_id}"
-        return self.run(name if filter_id and name in CATALOG.plans else analyzer)
+        return self.run(name if filter_id and name in self.catalog.plans else analyzer)
+
+    def shown(self, analyzer: str, filter_id: str | None = None) -> DataFrame:
+        """An analyzer's rows under its display titles."""
+        rows = self.analyze(analyzer, filter_id)
+        return rows.select(*((F.col(key) if key in rows.columns else F.lit(None).cast("string")).alias(title) for title, key in COLUMNS[analyzer].items()))
 
     def where(self, name: str, column: str, value: object) -> DataFrame:
         return self.run(name).where(F.col(column) == value)

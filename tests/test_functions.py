@@ -1,8 +1,10 @@
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from crawlweft.functions.html import parse, parsed_page
 from crawlweft.functions.robots import allowed, meta_robots, rules_of
 from crawlweft.operators.sinks import write_csv
+from crawlweft.plans import BASE
 from crawlweft.site import Site
 from crawlweft.streaming.fetches import error_rates, first_seen
 
@@ -31,7 +33,7 @@ def test_robots(spark):
 
 
 def test_site_front_and_csv(spark, tmp_path):
-    site = Site.open(spark, SF)
+    site = Site.open(spark, SF, BASE, entry.CATALOG)
     assert site.analyze("page_titles", "no_such_filter").count() == site.analyze("page_titles").count() == 50
     assert site.search("page_titles", "THE").count() <= 50
     write_csv(site.where("G05_status_histogram", "status_code", 200), str(tmp_path / "c"))
@@ -45,4 +47,7 @@ def test_streams(spark):
         q = df.writeStream.format("memory").queryName(name).outputMode("append").start()
         q.processAllAvailable()
         q.stop()
+    rates = {r.start: (r.n, r.errors, r.error_rate) for r in spark.table("rates").collect()}
+    hours = {r.hour_: (r.n, r.errors) for r in spark.sql(f"SELECT date_trunc('hour', cast(ts AS timestamp)) hour_, count(*) n, count_if(event_type = 'error') errors FROM parquet.`{SF}/events.parquet` GROUP BY 1").collect()}
+    assert rates and all(hours[h] == v[:2] and abs(v[2] - v[1] / v[0]) < 1e-12 for h, v in rates.items())
     assert spark.table("seen").count() == spark.table("seen").select("user_id").distinct().count() > 0

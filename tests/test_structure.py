@@ -16,7 +16,7 @@ def test_paths_and_depths_have_no_ceiling(spark):
     tree = {r.full_path: (r.level, r.url_count) for r in s.run("T01_path_tree").collect()}
     prefix = lambda n: "/" + "/".join(f"d{k}" for k in range(1, n + 1))
     assert tree == {prefix(n): (n, 3 if n < 3 else 2) for n in range(1, 21)} | {prefix(20) + "/page": (21, 1)}
-    assert [r.full_path for r in s.run("T02_flatten").orderBy("preorder").collect()] == sorted(tree)
+    assert [r.full_path for r in s.run("T02_flatten").collect()] == sorted(tree)
     folders = {r.prefix: (r.n, r.errors) for r in s.run("G24_folder_stats").collect()}
     assert folders == {p: (n, 1) for p, (_, n) in tree.items()}
     depths = [(r.depth, r.n, r.percent) for r in s.run("G21_depth_distribution").orderBy("depth").collect()]

@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from crawlweft.functions.url import IGNORED, normalized
-from crawlweft.plans import spelled
+from crawlweft.plans import BASE, spelled
 from crawlweft.site import Site
 
 URLS = [
@@ -50,7 +50,7 @@ def plain(url):
 def test_duplicate_urls_of_the_given_pages(spark, sf):
     folder = f"/root/testdata/{sf}"
     groups = {}
-    for r in spark.read.parquet(f"{folder}/pages.parquet").collect():
+    for r in Site.open(spark, folder, BASE, entry.CATALOG).table("site_pages").collect():
         groups.setdefault(plain(r.url), []).append(r.page_id)
     got = {(r.normalized_url, r.id) for r in entry.queries()["U02_dedupe"](spark, folder).collect()}
     assert got == {(n, min(ids)) for n, ids in groups.items()}
