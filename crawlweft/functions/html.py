@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from urllib.parse import urlsplit, urlunsplit
 
@@ -10,10 +11,29 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 PAGE = (
-    "title string, meta_description string, meta_robots string, canonical string, language string, base_url string, h1 array<string>, h2 array<string>, h3 array<string>, "
-    "links array<struct<url:string,text:string,rel:string,nofollow:boolean>>, images array<struct<src:string,alt:string>>, scripts array<struct<url:string,type:string,async:boolean,defer:boolean>>, "
-    "stylesheets array<string>, hreflangs array<struct<hreflang:string,url:string>>, meta_tags map<string,string>, word_count int"
+    "title string, meta_description string, meta_keywords string, meta_robots string, canonical string, language string, base_url string, h1 array<string>, h2 array<string>, h3 array<string>, "
+    "links array<struct<url:string,text:string,rel:string,nofollow:boolean>>, images array<struct<src:string,alt:string,title:string,width:int,height:int,loading:string>>, scripts array<struct<url:string,type:string,async:boolean,defer:boolean>>, "
+    "stylesheets array<string>, hreflangs array<struct<hreflang:string,url:string>>, open_graph map<string,string>, twitter_card map<string,string>, meta_tags map<string,string>, text_content string, word_count int"
 )
+
+
+@dataclass(frozen=True)
+class Limits:
+    """How much of a page the bounded parser keeps; texts are cut in characters."""
+
+    links: int = 10_000
+    images: int = 5_000
+    headings: int = 500
+    title: int = 500
+    meta: int = 1_000
+    anchor: int = 500
+
+
+def _int(text: str) -> int:
+    found = re.match(r"\s*(\d{1,9})", text)
+    return int(found[1]) if found else 0
+
+
 _SKIPPED = ("javascript:", "mailto:", "tel:", "#")
 
 
@@ -52,7 +72,7 @@ class _Page(HTMLParser):
     def __init__(self, url: str) -> None:
         super().__init__(convert_charrefs=True)
         self.base, self.words, self.open, self.anchor, self.hidden = url, [], [], None, 0
-        self.row = {"title": "", "meta_description": "", "meta_robots": "", "canonical": "", "language": "", "base_url": url, "h1": [], "h2": [], "h3": [], "links": [], "images": [], "scripts": [], "stylesheets": [], "hreflangs": [], "meta_tags": {}}
+        self.row = {"title": "", "meta_description": "", "meta_keywords": "", "meta_robots": "", "canonical": "", "language": "", "base_url": url, "h1": [], "h2": [], "h3": [], "links": [], "images": [], "scripts": [], "stylesheets": [], "hreflangs": [], "open_graph": {}, "twitter_card": {}, "meta_tags": {}}
 
     def resolve(self, href: str) -> str:
         return resolve(self.base, href)
@@ -68,8 +88,12 @@ class _Page(HTMLParser):
                 self.open.append([tag, ""])
             case "meta":
                 name = (a.get("name") or a.get("property") or a.get("http-equiv") or "").lower()
-                if name in ("description", "robots"):
+                if name in ("description", "keywords", "robots"):
                     row[f"meta_{name}"] = a.get("content", "")
+                elif name.startswith("og:"):
+                    row["open_graph"][name[3:]] = a.get("content", "")
+                elif name.startswith("twitter:"):
+                    row["twitter_card"][name[8:]] = a.get("content", "")
                 elif name:
                     row["meta_tags"][name] = a.get("content", "")
             case "link":
@@ -87,7 +111,7 @@ class _Page(HTMLParser):
                     row["links"].append(self.anchor)
             case "img":
                 src = a.get("data-src") or a.get("src", "")
-                row["images"].append({"src": self.resolve(src) if src else "", "alt": a.get("alt", "")})
+                row["images"].append({"src": self.resolve(src) if src else "", "alt": a.get("alt", ""), "title": a.get("title", ""), "width": _int(a.get("width", "")), "height": _int(a.get("height", "")), "loading": a.get("loading", "")})
             case "script":
                 if a.get("src"):
                     row["scripts"].append({"url": self.resolve(a["src"]), "type": a.get("type", ""), "async": "async" in a, "defer": "defer" in a})
@@ -114,26 +138,38 @@ class _Page(HTMLParser):
                 self.anchor["text"] += data
 
 
-def parse(url: str | None, html: str | None) -> dict:
+def parse(url: str | None, html: str | None, limits: Limits | None = None) -> dict:
     page = _Page(url or "")
     page.feed(html or "")
     page.close()
     for link in page.row["links"]:
         link["text"] = re.sub(r"\s+", " ", link["text"]).strip()
-    return page.row | {"word_count": len(page.words)}
+    row = page.row | {"text_content": " ".join(page.words), "word_count": len(page.words)}
+    return bounded(row, limits) if limits else row
+
+
+def bounded(row: dict, limits: Limits) -> dict:
+    """A page's row within limits."""
+    out = row | {"title": row["title"][: limits.title], "links": [x | {"text": x["text"][: limits.anchor]} for x in row["links"][: limits.links]], "images": row["images"][: limits.images]}
+    out |= {h: row[h][: limits.headings] for h in ("h1", "h2", "h3")} | {k: row[k][: limits.meta] for k in ("meta_description", "meta_keywords", "meta_robots")}
+    return out | {k: {n: v[: limits.meta] for n, v in row[k].items()} for k in ("open_graph", "twitter_card", "meta_tags")}
 
 
-def _pages(url: pd.Series, html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse(u, h) for u, h in zip(url, html, strict=True)], columns=[c.split()[0] for c in re.split(r", (?=\w+ )", PAGE)])
+def _pages(url: pd.Series, html: pd.Series, limits: Limits | None = None) -> pd.DataFrame:
+    return pd.DataFrame([parse(u, h, limits) for u, h in zip(url, html, strict=True)], columns=[c.split()[0] for c in re.split(r", (?=\w+ )", PAGE)])
 
 
 def _resolved(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([resolve(b or "", h or "") for b, h in zip(base, href, strict=True)])
 
 
-def parsed_page(url: Column | str, html: Column | str) -> Column:
-    """The page's parsed row (PAGE) from its address and HTML."""
-    return F.pandas_udf(_pages, PAGE)(url, html)
+def parsed_page(url: Column | str, html: Column | str, limits: Limits | None = None) -> Column:
+    """The page's parsed row (PAGE) from its address and HTML, whole or within limits."""
+
+    def run(u: pd.Series, h: pd.Series) -> pd.DataFrame:
+        return _pages(u, h, limits)
+
+    return F.pandas_udf(run, PAGE)(url, html)
 
 
 def resolved_url(base: Column | str, href: Column | str) -> Column:

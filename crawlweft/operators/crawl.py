@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 Tables = Callable[[str], DataFrame]
 
@@ -40,20 +40,19 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, max_nodes: int | Non
 
 def bfs_subgraph(t: Tables, root: int = 0, depth: int = 3) -> DataFrame:
     """Nodes within `depth` edges of a page."""
-    _checkpoints(t)
+    ensure_checkpoints(t("urls").sparkSession)
     reached = bfs(t("G27_edges").select("source", "target"), t("urls").where(F.col("id") == root).select("id"), depth)
     return reached.join(t("urls").select("id", "url"), "id").select("id", F.col("depth").alias("d"), "url")
 
 
 def crawl_levels(t: Tables, max_depth: int = 4, max_urls: int = 120) -> DataFrame:
     """What a crawl from the pages of depth 0 takes up: every address once, up to a depth and a number."""
-    _checkpoints(t)
+    ensure_checkpoints(t("urls").sparkSession)
     return bfs(t("links").select(F.col("from_url_id").alias("source"), F.col("to_url_id").alias("target")), t("urls").where("depth = 0").select("id"), max_depth, max_urls)
 
 
-def _checkpoints(t: Tables) -> None:
+def ensure_checkpoints(spark: SparkSession) -> None:
     """The shared folder of spark.checkpoint.dir; one of our own only where executors are threads of the driver."""
-    spark = t("urls").sparkSession
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return

@@ -1 +1 @@
-
+"""Sources: crawl tables from fetched pages."""

@@ -94,7 +94,7 @@ def test_folds_keep_keys_and_order(spark):
 
 def test_walks(spark):
     edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (0, 3), (3, 4), (4, 5), (9, 0)], "source long, target long")
-    crawl._checkpoints(lambda _: edges)
+    crawl.ensure_checkpoints(spark)
     walk = lambda *a: sorted((r.depth, r.id) for r in crawl.bfs(edges, spark.createDataFrame([(0,)], "id long"), *a).collect())
     assert walk(2) == [(0, 0), (1, 1), (1, 3), (2, 2), (2, 4)] and walk(9) == [*walk(2), (3, 5)] and walk(2, 4) == [(0, 0), (1, 1), (1, 3), (2, 2)]
     xy = crawl.positions(3, [(0, 1)])
