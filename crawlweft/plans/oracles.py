@@ -98,6 +98,10 @@ DUCK = {
     "D01_parsed_pages": r"""SELECT page_id, trim(ents(regexp_extract(html, '<title>([^<]*)</title>', 1))) AS title, regexp_extract(html, '<html[^>]* lang="([^"]*)"', 1) AS language, trim(ents(regexp_extract(html, '<h1>([^<]*)</h1>', 1))) AS h1, len(regexp_extract_all(html, '<h1>')) AS h1_count,
         len(list_filter(regexp_extract_all(bare, '<a [^>]*href="([^"]*)"', 1), lambda h: NOT regexp_matches(h, '^(#|javascript:|mailto:|tel:|$)'))) AS links, len(regexp_extract_all(html, '<script[^>]* src=')) AS scripts, len(list_filter(string_split(regexp_replace(regexp_replace(bare, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'), ' '), lambda w: w <> '')) AS word_count
         FROM (SELECT *, regexp_replace(regexp_replace(html, '<script[^>]*>[\s\S]*?</script>|<style[^>]*>[\s\S]*?</style>', ' ', 'g'), '<!--[\s\S]*?-->', '', 'g') AS bare FROM {site_pages}) p""",
+    "D06_bounded_pages": "SELECT p.page_id, p.title[1:12] AS title, least(p.links, 3) AS links, (SELECT coalesce(string_agg(l.anchor_text[1:4], '|' ORDER BY l.position), '') FROM {D04_parsed_links} l WHERE l.page_id = p.page_id AND l.position < 3) AS anchors FROM {D01_parsed_pages} p",
+    "K12_issue_export": """SELECT url_id AS "URL ID", issue_code AS "Issue Code", issue_type AS "Type", severity AS "Severity", category AS "Category", array_to_string(list_transform(string_split(issue_code, '_'), lambda w: upper(w[1]) || w[2:]), ' ') AS "Message" FROM {issues}""",
+    "K10_shown_titles": """SELECT url AS "Address", title AS "Title", length AS "Length", pixel_width AS "Pixel Width", status AS "Status", occurrences AS "Occurrences" FROM {page_titles}""",
+    "K17_cells": "SELECT " + ", ".join(f"cast({c} AS varchar) AS {c}" for c in ("url_id", "url", "score", "status")) + ", " + ", ".join(f"printf('%.2f', {c}) AS {c}" for c in ("lcp_ms", "cls", "inp_ms", "fcp_ms", "ttfb_ms")) + " FROM {pagespeed_result}",
     "D04_parsed_links": r"""SELECT page_id, k - 1 AS position, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || href ELSE href END AS to_url, trim(regexp_replace(ents(regexp_replace(text, '<[^>]*>', '', 'g')), '\s+', ' ', 'g')) AS anchor_text, false AS nofollow FROM (
         SELECT page_id, url, unnest(hrefs) AS href, unnest(texts) AS text, unnest(generate_series(1, len(hrefs))) AS k FROM (
         SELECT page_id, url, regexp_extract_all(html, '<a [^>]*href="([^"#][^"]*)"[^>]*>([\s\S]*?)</a>', 1) AS hrefs, regexp_extract_all(html, '<a [^>]*href="([^"#][^"]*)"[^>]*>([\s\S]*?)</a>', 2) AS texts FROM {site_pages}) x) y""",
