@@ -12,6 +12,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _OWN: list[str] = []
+#: Scratch paths of this session.
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 @contextlib.contextmanager
@@ -59,6 +62,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes everything that the operators have written for themselves in this session. Results not yet written are lost: call it at the end of a job."""
+    while _MADE:
+        remove(spark, _MADE.pop())
+
+
 def drop_tables(*frames: DataFrame) -> None:
     """Deletes tables made by materialize() that no later result reads."""
     for df in frames:
