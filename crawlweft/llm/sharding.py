@@ -19,6 +19,7 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from .runtime import scratch_path
 
@@ -26,6 +27,12 @@ SMALL, TARGET, FANOUT, GRACE = 4 << 20, 64 << 20, 4, 24 * 3600
 MANIFEST = "shard string, tier int, rows long, bytes long"
 
 
+def _none(spark: SparkSession, schema: str | StructType) -> DataFrame:
+    """No rows of a schema; a local list would pass a Python worker."""
+    fields = schema.fields if isinstance(schema, StructType) else StructType.fromDDL(schema).fields
+    return spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
+
+
 class Store:
     """A folder of shards and manifests: {root}/shards/<batch>/part-*.parquet and {root}/manifests/v%08d."""
 
@@ -44,7 +51,7 @@ class Store:
     def manifest(self, version: int | None = None) -> DataFrame:
         version = version if version is not None else max(self.versions(), default=None)
         if version is None:
-            return self.spark.createDataFrame([], MANIFEST)
+            return _none(self.spark, MANIFEST)
         return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/v{version:08d}")
 
     def _commit(self, shards: DataFrame, version: int) -> int:
@@ -92,7 +99,7 @@ class Store:
         """All rows of a version, then _shard and _shard_bytes."""
         shards = self.manifest(version)
         names = [r.shard for r in shards.where("rows > 0").select("shard").toLocalIterator()]
-        rows = self.spark.read.parquet(*(f"{self.root}/shards/{s}" for s in names)) if names else self.spark.createDataFrame([], schema or "doc_id long")
+        rows = self.spark.read.parquet(*(f"{self.root}/shards/{s}" for s in names)) if names else _none(self.spark, schema or "doc_id long")
         mark = "_shard"
         while {mark, f"{mark}_bytes"} & set(rows.columns):
             mark = f"_{mark}"
