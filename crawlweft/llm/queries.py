@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, minhash, mixing, pii, quality, sharding, suffix, tokens
+from . import chat, decontaminate, merkle, minhash, mixing, pii, quality, repair, sharding, suffix, tokens
+from .oracles import ORACLES
 from .runtime import load
 
 
@@ -67,9 +68,26 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(version, docs.schema).select("doc_id", F.col("_shard").alias("shard"), F.col("_shard_bytes").alias("shard_bytes"), F.lit(version).alias("version"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    whole, turns = repair.repair(repair.damage(rows))
+    of = lambda df, x: df.withColumnRenamed("conv_id", x)
+    out = rows.select("conv_id").distinct().join(of(whole, "w"), F.col("conv_id").eqNullSafe(F.col("w")), "left").join(of(repair.digest(turns), "d"), F.col("conv_id").eqNullSafe(F.col("d")), "left")
+    counts = (F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    altered = merkle.digest_of([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in fields])
+    other = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, altered)
+    out = merkle.manifest(load(spark, sf_dir, "documents", *fields), fields, other=other)
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2("path", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
