@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .runtime import materialize, shuffle_partitions
 
-#: Children of a node, and nodes of a block: a power of FAN.
+#: Children of a node, and consecutive nodes of a block: a power of FAN.
 FAN, SPAN = 2, 1024
 _NODES = "tree long, n long, pos long, digest string"
 
@@ -42,23 +42,23 @@ def joined(digests: Iterable[str]) -> str:
     return hashlib.sha256("".join(digests).encode()).hexdigest()
 
 
-def climbed(block: list[str], n: int) -> list[list[str]]:
+def climbed(block: list[str], n: int, fan: int, span: int) -> list[list[str]]:
     """Levels of a block of consecutive nodes, from its nodes to its top. n: nodes of the whole level; a small one climbs to the root."""
-    levels, left, width = [block], n, SPAN
+    levels, left, width = [block], n, span
     while width > 1 and left > 1:
         last = levels[-1]
-        levels.append([joined(last[i : i + FAN]) for i in range(0, len(last), FAN)])
-        left, width = -(-left // FAN), width // FAN
+        levels.append([joined(last[i : i + fan]) for i in range(0, len(last), fan)])
+        left, width = -(-left // fan), width // fan
     return levels
 
 
-def siblings(levels: list[list[str]], k: int) -> list[str]:
+def siblings(levels: list[list[str]], k: int, fan: int) -> list[str]:
     """The others of node k's runs from level to level, left to right."""
     path = []
     for level in levels[:-1]:
-        first = k - k % FAN
-        path += [d for i, d in enumerate(level[first : first + FAN], first) if i != k]
-        k //= FAN
+        first = k - k % fan
+        path += [d for i, d in enumerate(level[first : first + fan], first) if i != k]
+        k //= fan
     return path
 
 
@@ -73,46 +73,46 @@ def _dealt(nodes: RDD, parts: int) -> RDD:
     return nodes.repartitionAndSortWithinPartitions(parts, lambda key: hash(key[:2])).map(lambda x: (x[0][:2], (x[0][2], x[1])))
 
 
-def _up(rows: Iterable[tuple]) -> Iterator[tuple]:
-    """A superstep: the top of every block, as a node of the level SPAN times smaller."""
+def _up(rows: Iterable[tuple], fan: int, span: int) -> Iterator[tuple]:
+    """A superstep: the top of every block, as a node of the level `span` times smaller."""
     for (tree, block), got in _blocks(rows):
         n = got[0][1][0]
-        yield tree, -(-n // SPAN), block, climbed([d for _, (_, d) in got], n)[-1][0]
+        yield tree, -(-n // span), block, climbed([d for _, (_, d) in got], n, fan, span)[-1][0]
 
 
-def _down(rows: Iterable[tuple]) -> Iterator[tuple]:
+def _down(rows: Iterable[tuple], fan: int, span: int) -> Iterator[tuple]:
     """A reverse superstep: the path of every node of a block, from the path of its top."""
     for (tree, _), got in _blocks(rows):
         (path, said), *nodes = (v for _, v in got)
-        levels = climbed([x[2] for x in nodes], nodes[0][0])
+        levels = climbed([x[2] for x in nodes], nodes[0][0], fan, span)
         for k, (n, pos, digest, *own) in enumerate(nodes):
-            yield tree, n, pos, digest, own, "".join(siblings(levels, k)) + path, said
+            yield tree, n, pos, digest, own, "".join(siblings(levels, k, fan)) + path, said
 
 
-def _levels(nodes: DataFrame) -> list[DataFrame]:
+def _levels(nodes: DataFrame, fan: int, span: int) -> list[DataFrame]:
     """The nodes of every superstep, the leaves first; the last has one node a tree. nodes: _NODES, n the nodes of its tree."""
     spark, levels = nodes.sparkSession, [nodes]
     while (levels[-1].agg(F.max("n")).first()[0] or 0) > 1:
-        keyed = levels[-1].rdd.map(lambda r: ((r.tree, r.pos // SPAN, r.pos), (r.n, r.digest)))
-        tops = _dealt(keyed, shuffle_partitions(spark)).mapPartitions(_up)
-        levels.append(materialize(spark.createDataFrame(tops, _NODES), "nodes"))
+        keyed = levels[-1].rdd.map(lambda r: ((r.tree, r.pos // span, r.pos), (r.n, r.digest)))
+        tops = _dealt(keyed, shuffle_partitions(spark)).mapPartitions(lambda rows: _up(rows, fan, span))
+        levels.append(materialize(spark.createDataFrame(tops, _NODES, verifySchema=False), "nodes"))
     return levels
 
 
-def _paths(levels: list[DataFrame], top: RDD) -> RDD:
+def _paths(levels: list[DataFrame], top: RDD, fan: int, span: int) -> RDD:
     """(tree, n, pos, digest, other columns, path, said) of every leaf. top: (tree, (path above the tree's root, what to hand down))."""
     parts = shuffle_partitions(levels[0].sparkSession)
     paths = top.map(lambda x: ((x[0], 0, -1), x[1]))
     for level in reversed(levels[:-1] or levels):
-        nodes = level.rdd.map(lambda r: ((r[0], r[2] // SPAN, r[2]), tuple(r[1:])))
-        found = _dealt(nodes.union(paths), parts).mapPartitions(_down)
+        nodes = level.rdd.map(lambda r: ((r[0], r[2] // span, r[2]), tuple(r[1:])))
+        found = _dealt(nodes.union(paths), parts).mapPartitions(lambda rows: _down(rows, fan, span))
         paths = found.map(lambda x: ((x[0], x[2], -1), x[5:]))
     return found
 
 
 def _numbered(df: DataFrame, schema: str) -> DataFrame:
     """Rows of a sorted table with their numbers (at)."""
-    return materialize(df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema), "numbered")
+    return materialize(df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema, verifySchema=False), "numbered")
 
 
 def _groups(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -126,17 +126,17 @@ def _groups(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ranked.join(own, F.col("grp").eqNullSafe(F.col("g"))).select("tree", "n", (F.col("at") - F.col("first")).alias("pos"), F.col("leaf").alias("digest"), "id", "other"), groups
 
 
-def folded(leaf: str, pos: int, n: int, path: list[str]) -> tuple[str, list[str]]:
+def folded(leaf: str, pos: int, n: int, path: list[str], fan: int = FAN) -> tuple[str, list[str]]:
     """The root of a tree of n leaves from a leaf at pos and its siblings; the siblings that are left."""
     while n > 1:
-        first = pos - pos % FAN
-        run = min(FAN, n - first)
+        first = pos - pos % fan
+        run = min(fan, n - first)
         leaf, path = joined([*path[: pos - first], leaf, *path[pos - first : run - 1]]), path[run - 1 :]
-        pos, n = pos // FAN, -(-n // FAN)
+        pos, n = pos // fan, -(-n // fan)
     return leaf, path
 
 
-def manifest(docs: DataFrame, columns: Sequence[str], *, id_column: str = "doc_id", group: str = "lang", other: Column | None = None) -> DataFrame:
+def manifest(docs: DataFrame, columns: Sequence[str], *, id_column: str = "doc_id", group: str = "lang", other: Column | None = None, fan: int = FAN, span: int = SPAN) -> DataFrame:
     """One row per row of docs: id_column, leaf, subroot, root, path (siblings' digests one after the other, leaf to root), folded_root, verified.
 
     columns: what a leaf hashes, in order. folded_root is recomputed by the path from `other` (a leaf as found now) where that isn't null, else from leaf.
@@ -146,18 +146,18 @@ def manifest(docs: DataFrame, columns: Sequence[str], *, id_column: str = "doc_i
     leaves = materialize(docs.select(F.col(group).alias("grp"), F.col(id_column).alias("id"), digest_of([F.col(c) for c in columns]).alias("leaf"), other.alias("other")), "leaves")
     nodes, groups = _groups(leaves)
     nodes = materialize(nodes, "nodes")
-    levels = _levels(nodes)
+    levels = _levels(nodes, fan, span)
     # the trees' roots are the leaves of the top tree
     total = groups.count()
-    over = _levels(materialize(levels[-1].select(F.lit(0).cast("long").alias("tree"), F.lit(total).cast("long").alias("n"), F.col("tree").alias("pos"), "digest"), "tops"))
-    known = _paths(over, over[-1].rdd.map(lambda r: (r.tree, ("", r.digest))))
-    found = _paths(levels, known.map(lambda x: (x[2], (x[5], (x[3], x[6], x[2])))))  # a tree's path to the root; its root, the root, its place
+    over = _levels(materialize(levels[-1].select(F.lit(0).cast("long").alias("tree"), F.lit(total).cast("long").alias("n"), F.col("tree").alias("pos"), "digest"), "tops"), fan, span)
+    known = _paths(over, over[-1].rdd.map(lambda r: (r.tree, ("", r.digest))), fan, span)
+    found = _paths(levels, known.map(lambda x: (x[2], (x[5], (x[3], x[6], x[2])))), fan, span)  # a tree's path to the root; its root, the root, its place
 
     def verified(rows: Iterable[tuple]) -> Iterator[tuple]:
         for _, n, pos, leaf, (name, now), path, (subroot, root, place) in rows:
-            at, rest = folded(now or leaf, pos, n, [path[i : i + 64] for i in range(0, len(path), 64)])
-            at, _ = folded(at, place, total, rest)
+            at, rest = folded(now or leaf, pos, n, [path[i : i + 64] for i in range(0, len(path), 64)], fan)
+            at, _ = folded(at, place, total, rest, fan)
             yield name, leaf, subroot, root, path, at, at == root
 
     kind = leaves.schema["id"].dataType.simpleString()
-    return spark.createDataFrame(found.mapPartitions(verified), f"{id_column} {kind}, leaf string, subroot string, root string, path string, folded_root string, verified boolean")
+    return spark.createDataFrame(found.mapPartitions(verified), f"{id_column} {kind}, leaf string, subroot string, root string, path string, folded_root string, verified boolean", verifySchema=False)
