@@ -11,11 +11,40 @@ from __future__ import annotations
 ROLES = "alert alertdialog application article banner button checkbox complementary contentinfo dialog document feed figure form grid gridcell group heading img link list listbox listitem main menu menubar menuitem navigation none note option presentation progressbar radio region row rowgroup scrollbar search searchbox separator slider spinbutton status switch tab table tablist tabpanel textbox timer toolbar tooltip tree treegrid treeitem".split()
 #: A language of two or three bytes and at most a region of two, or x-default.
 VALID_CODE = "coalesce(hreflang = 'x-default' OR (SIZE(PARTS(hreflang, '-')) <= 2 AND BLEN(ITEM(PARTS(hreflang, '-'), 1)) BETWEEN 2 AND 3 AND (SIZE(PARTS(hreflang, '-')) = 1 OR BLEN(ITEM(PARTS(hreflang, '-'), SIZE(PARTS(hreflang, '-')))) = 2)), false)"
+#: No date, or one of a day or of a second with its zone.
+LASTMOD_VALID = """lastmod IS NULL OR lastmod = '' OR RX(lastmod, '^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])(T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]([.,][0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2}))?$') AND try_cast(substr(lastmod, 1, 10) AS date) IS NOT NULL"""
 _TENTHS = "cast(floor({{0}} * 10 / {0}) + CASE WHEN {{0}} * 10 % {0} > {0} / 2 OR ({{0}} * 10 % {0} = {0} / 2 AND floor({{0}} * 10 / {0}) % 2 = 1) THEN 1 ELSE 0 END AS bigint)"
 _TENTHS_TEXT = "cast(cast(floor(" + _TENTHS + " / 10) AS bigint) AS TEXT) || '.' || cast(" + _TENTHS + " % 10 AS TEXT)"
 #: Bytes as B, KB or MB with one decimal, ties to even.
 SIZE_TEXT = f"CASE WHEN {{0}} < 1024 THEN cast({{0}} AS TEXT) || ' B' WHEN {{0}} < 1048576 THEN {_TENTHS_TEXT.format(1024)} || ' KB' ELSE {_TENTHS_TEXT.format(1048576)} || ' MB' END"
 
+
+def _amp(rows: str) -> str:
+    """rows (a table or a SELECT in parentheses) and the first href within 200 characters before and 50 after the mark of an AMP version."""
+    near = "substr(html, greatest(at - 200, 1), least(at, 201) + 49)"
+    return f"""SELECT *, CASE WHEN at > 0 THEN regexp_extract({near}, 'href="([^"]*)"', 1) ELSE '' END AS amp_url, at > 0 AND RX({near}, 'href="[^"]*"') AS has_amp
+        FROM (SELECT *, html LIKE '%<html amp%' OR html LIKE '%<html ⚡%' OR (html LIKE '%<html lang="%' AND html LIKE '%⚡%') AS is_amp_page,
+        cast(CASE WHEN html LIKE '%rel="amphtml"%' THEN FOUND(html, 'rel="amphtml"') ELSE FOUND(html, 'rel=' || chr(39) || 'amphtml' || chr(39)) END AS int) AS at FROM {rows} h) amp1"""
+
+
+def _mobile(rows: str) -> str:
+    """rows and what their html says to small screens."""
+    percent = "width:[ \t\n\f\r]*[0-9]+%"
+    return f"""SELECT *, CASE WHEN has_viewport THEN 0 ELSE 1 END + CASE WHEN fixed_width THEN 1 ELSE 0 END + CASE WHEN zoom_disabled THEN 1 ELSE 0 END + CASE WHEN is_responsive THEN 0 ELSE 1 END AS problems FROM (
+        SELECT *, viewport_content <> '' AS has_viewport, RX(lower(viewport_content), 'width=[0-9]') AND lower(viewport_content) NOT LIKE '%device-width%' AS fixed_width, lower(viewport_content) LIKE '%user-scalable=no%' OR lower(viewport_content) LIKE '%user-scalable=0%' OR lower(viewport_content) LIKE '%maximum-scale=1%' AS zoom_disabled,
+        html LIKE '%@media%' AS has_media_queries, html LIKE '%max-width%' OR RX(html, '{percent}') AS has_fluid_layout, RX(html, '@media|max-width|container-fluid|col-xs|col-sm|col-md|col-lg|grid|flex|responsive|mobile|{percent}') AS is_responsive, true AS touch_friendly FROM (
+        SELECT *, CASE WHEN named <> '' THEN named ELSE regexp_extract(html, '<meta[^>]*content=["'']([^"'']+)["''][^>]*name=["'']viewport["''][^>]*>', 1) END AS viewport_content FROM (
+        SELECT *, regexp_extract(html, '<meta[^>]*name=["'']viewport["''][^>]*content=["'']([^"'']+)["''][^>]*>', 1) AS named FROM {rows} h) mob1) mob2) mob3"""
+
+
+def _accessibility(rows: str) -> str:
+    """rows and counts over the tags of their html."""
+    return f"""SELECT *, cast(SIZE(KEPT(imgs, i -> (i NOT LIKE '%alt=%'))) AS bigint) AS images_without_alt, cast(SIZE(boxes) + SIZE(areas) AS bigint) AS inputs, cast(greatest(SIZE(boxes) + SIZE(areas) - SIZE(labels), 0) AS bigint) AS unlabelled,
+        cast(SIZE(KEPT(levels, (h, i) -> (i > FIRST_INDEX AND h > ITEM(levels, cast(i + BEFORE AS int)) + 1))) + CASE WHEN SIZE(levels) > 0 AND ITEM(levels, 1) <> 1 THEN 1 ELSE 0 END AS bigint) AS heading_skips, cast(SIZE(KEPT(roles, r -> (r NOT IN ({', '.join(map(repr, ROLES))})))) AS bigint) AS aria_issues FROM (
+        SELECT *, ALL_OF(html, '<img[^>]*>', 0) AS imgs, ALL_OF(html, '<input[^>]*type=["'']?(text|email|password|tel|number|search|url|date|time)["'']?[^>]*>', 0) AS boxes, ALL_OF(html, '<textarea|<select', 0) AS areas, ALL_OF(html, '<label|aria-label=|aria-labelledby=', 0) AS labels,
+        MAPPED(ALL_OF(html, '<h([1-6])[^>]*>', 1), h -> (cast(h AS int))) AS levels, MAPPED(ALL_OF(html, 'role=["'']([^"'']+)["'']', 1), r -> (lower(r))) AS roles, RX(html, '<html[^>]*lang=["''][^"'']+["'']') AS has_lang, RX(html, 'skip-to-content|skip-link|skip to content|skip to main|<a[^>]*href=["'']#(main|content|maincontent)["'']') AS has_skip_link FROM {rows} h) acc1"""
+
+
 ANALYZERS = {
     # an aggregate, so that each task sends one fetch of a URL
     "latest_fetch": """SELECT newest.id AS id, url_id, newest.status_code AS status_code, newest.content_type AS content_type, newest.response_time_ms AS response_time_ms, newest.fetched_at AS fetched_at, newest.x_robots AS x_robots
@@ -65,34 +94,19 @@ ANALYZERS = {
         FROM {url_flags} f LEFT JOIN (SELECT normalized_url, count(*) AS n FROM {urls} GROUP BY normalized_url HAVING count(*) > 1) g ON g.normalized_url = f.normalized_url""",
     "javascript": """SELECT r.id AS resource_id, u.id AS url_id, r.url, r.status_code, r.size, CASE WHEN r.is_async THEN 'Yes' ELSE 'No' END AS async_, CASE WHEN r.is_defer THEN 'Yes' ELSE 'No' END AS defer_, r.is_async, r.is_defer, CASE WHEN r.mime_type = '' THEN 'application/javascript' ELSE r.mime_type END AS type, u.url AS found_on,
         regexp_extract(r.url, '^https?://([^/?:]+)', 1) <> regexp_extract(u.url, '^https?://([^/?:]+)', 1) AS is_external FROM {resources} r JOIN {page_resources} p ON p.resource_id = r.id JOIN {urls} u ON u.id = p.url_id WHERE r.resource_type = 'script'""",
-    # the first href within 200 characters before and 50 after the mark; its page's latest status and canonical
-    "amp_links": """SELECT url_id, url, is_amp_page, CASE WHEN at > 0 THEN regexp_extract(substr(html, greatest(at - 200, 1), least(at, 201) + 49), 'href="([^"]*)"', 1) ELSE '' END AS amp_url, at > 0 AND RX(substr(html, greatest(at - 200, 1), least(at, 201) + 49), 'href="[^"]*"') AS has_amp
-        FROM (SELECT url_id, url, html, html LIKE '%<html amp%' OR html LIKE '%<html ⚡%' OR (html LIKE '%<html lang="%' AND html LIKE '%⚡%') AS is_amp_page,
-        cast(CASE WHEN html LIKE '%rel="amphtml"%' THEN FOUND(html, 'rel="amphtml"') ELSE FOUND(html, 'rel=' || chr(39) || 'amphtml' || chr(39)) END AS int) AS at FROM {page_html}) h""",
+    "amp_links": f"SELECT url_id, url, is_amp_page, amp_url, has_amp FROM ({_amp('{page_html}')}) h",
     "amp": """SELECT a.url_id, a.url, a.is_amp_page, a.amp_url, a.has_amp, t.status_code AS amp_status_code, CASE WHEN t.url_id IS NULL THEN 'Unknown' ELSE coalesce(cast(t.status_code AS TEXT), 'Unknown') END AS amp_status, CASE WHEN t.has_html THEN t.canonical = a.url END AS canonical_match, t.url_id AS amp_url_id
         FROM {amp_links} a LEFT JOIN {wide} t ON t.url = a.amp_url AND a.has_amp""",
     "microdata": """SELECT p.url_id, p.url, coalesce(s.n, 0) AS schema_count, coalesce(s.type, '') AS type, coalesce(s.format, '') AS format, coalesce(s.valid, true) AS valid, coalesce(s.has_json_ld, false) AS has_json_ld, coalesce(s.has_microdata, false) AS has_microdata, coalesce(s.errors, 0) AS errors, coalesce(s.warnings, 0) AS warnings
         FROM {page_html} p LEFT JOIN (SELECT url_id, count(*) AS n, min_by(type, position) AS type, min_by(format, position) AS format, min_by(valid, position) AS valid, count_if(format = 'JSON-LD') > 0 AS has_json_ld, count_if(format = 'Microdata') > 0 AS has_microdata, cast(sum(n_errors) AS bigint) AS errors, cast(sum(n_warnings) AS bigint) AS warnings FROM {structured_items} GROUP BY url_id) s ON s.url_id = p.url_id""",
-    "sitemaps": """SELECT u.id AS url_id, coalesce(s.url, u.url) AS url, s.url IS NOT NULL AS in_sitemap, u.id IS NOT NULL AS in_crawl, s.lastmod, s.changefreq, s.priority,
-        s.lastmod IS NULL OR s.lastmod = '' OR RX(s.lastmod, '^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])(T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]([.,][0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2}))?$') AND try_cast(substr(s.lastmod, 1, 10) AS date) IS NOT NULL AS lastmod_valid FROM {urls} u FULL OUTER JOIN {sitemap_urls} s ON s.url_id = u.id""",
-    "mobile": """SELECT *, problems = 0 AS mobile_friendly, CASE WHEN problems = 0 THEN 'Mobile Friendly' WHEN problems <= 2 THEN 'Needs Work' ELSE 'Not Mobile Friendly' END AS status FROM (
-        SELECT url_id, url, has_viewport, viewport_content, fixed_width, zoom_disabled, has_media_queries, has_fluid_layout, is_responsive, touch_friendly, CASE WHEN has_viewport THEN 0 ELSE 1 END + CASE WHEN fixed_width THEN 1 ELSE 0 END + CASE WHEN zoom_disabled THEN 1 ELSE 0 END + CASE WHEN is_responsive THEN 0 ELSE 1 END AS problems FROM (
-        SELECT url_id, url, viewport <> '' AS has_viewport, viewport AS viewport_content, RX(lower(viewport), 'width=[0-9]') AND lower(viewport) NOT LIKE '%device-width%' AS fixed_width, lower(viewport) LIKE '%user-scalable=no%' OR lower(viewport) LIKE '%user-scalable=0%' OR lower(viewport) LIKE '%maximum-scale=1%' AS zoom_disabled,
-        html LIKE '%@media%' AS has_media_queries, html LIKE '%max-width%' OR RX(html, 'width:[ 	
-
-]*[0-9]+%') AS has_fluid_layout,
-        RX(html, '@media|max-width|container-fluid|col-xs|col-sm|col-md|col-lg|grid|flex|responsive|mobile|width:[ 	
-
-]*[0-9]+%') AS is_responsive, true AS touch_friendly FROM (
-        SELECT url_id, url, html, CASE WHEN named <> '' THEN named ELSE regexp_extract(html, '<meta[^>]*content=["'']([^"'']+)["''][^>]*name=["'']viewport["''][^>]*>', 1) END AS viewport FROM (
-        SELECT url_id, url, html, regexp_extract(html, '<meta[^>]*name=["'']viewport["''][^>]*content=["'']([^"'']+)["''][^>]*>', 1) AS named FROM {page_html}) n) v) m) s""",
-    # one look at a page's text: tags of interest as lists
-    "a11y_tags": """SELECT url_id, url, ALL_OF(html, '<img[^>]*>', 0) AS imgs, ALL_OF(html, '<input[^>]*type=["'']?(text|email|password|tel|number|search|url|date|time)["'']?[^>]*>', 0) AS boxes, ALL_OF(html, '<textarea|<select', 0) AS areas, ALL_OF(html, '<label|aria-label=|aria-labelledby=', 0) AS labels,
-        MAPPED(ALL_OF(html, '<h([1-6])[^>]*>', 1), h -> (cast(h AS int))) AS levels, MAPPED(ALL_OF(html, 'role=["'']([^"'']+)["'']', 1), r -> (lower(r))) AS roles, RX(html, '<html[^>]*lang=["''][^"'']+["'']') AS has_lang, RX(html, 'skip-to-content|skip-link|skip to content|skip to main|<a[^>]*href=["'']#(main|content|maincontent)["'']') AS has_skip_link FROM {page_html}""",
-    "accessibility": f"""SELECT *, CASE WHEN inputs = 0 THEN 'N/A' WHEN unlabelled = 0 THEN 'OK' ELSE cast(unlabelled AS TEXT) || ' missing' END AS form_labels_status, CASE WHEN heading_skips = 0 THEN 'OK' ELSE cast(heading_skips AS TEXT) || ' skips' END AS heading_status,
-        images_without_alt + unlabelled + heading_skips + aria_issues + CASE WHEN has_lang THEN 0 ELSE 1 END AS total_issues, greatest(0, 100 - 5 * images_without_alt - 10 * unlabelled - 5 * heading_skips - 5 * aria_issues - CASE WHEN has_lang THEN 0 ELSE 10 END) AS score FROM (
-        SELECT url_id, url, cast(SIZE(KEPT(imgs, i -> (i NOT LIKE '%alt=%'))) AS bigint) AS images_without_alt, cast(SIZE(boxes) + SIZE(areas) AS bigint) AS inputs, cast(greatest(SIZE(boxes) + SIZE(areas) - SIZE(labels), 0) AS bigint) AS unlabelled, has_lang, has_skip_link,
-        cast(SIZE(KEPT(levels, (h, i) -> (i > FIRST_INDEX AND h > ITEM(levels, cast(i + BEFORE AS int)) + 1))) + CASE WHEN SIZE(levels) > 0 AND ITEM(levels, 1) <> 1 THEN 1 ELSE 0 END AS bigint) AS heading_skips, cast(SIZE(KEPT(roles, r -> (r NOT IN ({', '.join(map(repr, ROLES))})))) AS bigint) AS aria_issues FROM {{a11y_tags}}) a""",
+    "sitemaps": f"""SELECT u.id AS url_id, coalesce(s.url, u.url) AS url, s.url IS NOT NULL AS in_sitemap, u.id IS NOT NULL AS in_crawl, s.lastmod, s.changefreq, s.priority,
+        {LASTMOD_VALID.replace("lastmod", "s.lastmod")} AS lastmod_valid FROM {{urls}} u FULL OUTER JOIN {{sitemap_urls}} s ON s.url_id = u.id""",
+    "mobile": f"""SELECT url_id, url, has_viewport, viewport_content, fixed_width, zoom_disabled, has_media_queries, has_fluid_layout, is_responsive, touch_friendly, problems, problems = 0 AS mobile_friendly,
+        CASE WHEN problems = 0 THEN 'Mobile Friendly' WHEN problems <= 2 THEN 'Needs Work' ELSE 'Not Mobile Friendly' END AS status FROM ({_mobile('{page_html}')}) m""",
+    "accessibility": f"""SELECT url_id, url, images_without_alt, inputs, unlabelled, has_lang, has_skip_link, heading_skips, aria_issues, CASE WHEN inputs = 0 THEN 'N/A' WHEN unlabelled = 0 THEN 'OK' ELSE cast(unlabelled AS TEXT) || ' missing' END AS form_labels_status, CASE WHEN heading_skips = 0 THEN 'OK' ELSE cast(heading_skips AS TEXT) || ' skips' END AS heading_status,
+        images_without_alt + unlabelled + heading_skips + aria_issues + CASE WHEN has_lang THEN 0 ELSE 1 END AS total_issues, greatest(0, 100 - 5 * images_without_alt - 10 * unlabelled - 5 * heading_skips - 5 * aria_issues - CASE WHEN has_lang THEN 0 ELSE 10 END) AS score FROM ({_accessibility('{page_html}')}) a""",
+    # all that is looked for in a page's text, in one pass
+    "page_texts": f"SELECT * FROM ({_accessibility(f'({_mobile(f"({_amp('{page_html}')})")})')}) p",
     "pagespeed_result": """SELECT url_id, url, score, lcp_ms, cls, inp_ms, fcp_ms, ttfb_ms, CASE WHEN score >= 90 THEN 'Good' WHEN score >= 50 THEN 'Needs Improvement' ELSE 'Poor' END AS status FROM {pagespeed}""",
 }
 
@@ -148,12 +162,15 @@ COLUMNS = {
 }
 
 
+def filter_plan(analyzer: str, predicate: str, default: bool) -> str:
+    return f"SELECT * FROM {{{analyzer}}} WHERE coalesce({predicate}, {str(default).lower()})"
+
+
 def filtered(analyzer: str, name: str) -> str:
     """The analyzer's rows that the named filter keeps; an unknown name keeps all."""
     if name not in FILTERS.get(analyzer, {}):
         return f"SELECT * FROM {{{analyzer}}}"
-    predicate, default = FILTERS[analyzer][name]
-    return f"SELECT * FROM {{{analyzer}}} WHERE coalesce({predicate}, {str(default).lower()})"
+    return filter_plan(analyzer, *FILTERS[analyzer][name])
 
 
 FILTER_PLANS = {f"{a}__{f}": filtered(a, f) for a, filters in FILTERS.items() for f in filters}
@@ -173,42 +190,9 @@ CODES = {
     "a11y_missing_alt": ("warning", "medium", "accessibility"), "a11y_missing_form_labels": ("warning", "medium", "accessibility"), "a11y_heading_skip": ("warning", "low", "accessibility"), "a11y_missing_lang": ("warning", "medium", "accessibility"),
     "pagespeed_poor_lcp": ("error", "high", "pagespeed"), "pagespeed_needs_improvement_lcp": ("warning", "medium", "pagespeed"), "pagespeed_poor_cls": ("error", "high", "pagespeed"), "pagespeed_needs_improvement_cls": ("warning", "medium", "pagespeed"), "pagespeed_poor_inp": ("error", "high", "pagespeed"),
 }
-#: What a row of a plan says: plan -> (column of the page, {issue code: predicate}).
-RULES = {
-    "page_state": ("url_id", {
-        "client_error": "status_code BETWEEN 400 AND 499", "server_error": "status_code >= 500", "slow_response": "response_time_ms > 500", "missing_title": "title = ''", "title_too_long": "BLEN(title) > 60", "title_too_short": "BLEN(title) BETWEEN 1 AND 29",
-        "missing_meta_description": "meta_description = ''", "meta_description_too_long": "BLEN(meta_description) > 155", "meta_description_too_short": "BLEN(meta_description) BETWEEN 1 AND 69", "missing_h1": "h1_count = 0", "multiple_h1": "h1_count > 1",
-        "thin_content": "word_count > 0 AND word_count < 200", "missing_canonical": "canonical = ''", "noindex": "noindex", "canonical_noindex_conflict": "noindex AND canonical <> '' AND canonical <> url", "url_too_long": "BLEN(url) > 115"}),
-    "redirect_chain": ("url_id", {"redirect_loop": "has_loop", "redirect_chain": "length > 2"}),
-    "images": ("url_id", {"missing_alt": "alt = ''", "broken_image": "status_code >= 400", "large_image": "size > 102400"}),
-    "links_summary": ("url_id", {"no_internal_links": "internal = 0 AND is_internal AND total > 0"}),
-    "links_detail": ("from_url_id", {"redirect_link": "target_status BETWEEN 300 AND 399", "broken_link": "target_status >= 400"}),
-    "hreflang": ("url_id", {"hreflang_missing_self": "count_ > 0 AND NOT has_self_ref", "hreflang_invalid_code": "invalid_codes > 0"}),
-    "javascript": ("url_id", {"broken_script": "status_code >= 400", "render_blocking_script": "NOT is_async AND NOT is_defer"}),
-    "amp": ("amp_url_id", {"amp_canonical_mismatch": "NOT canonical_match"}),
-    "structured_items": ("url_id", {"structured_data_error": "n_errors > 0"}),
-    "sitemaps": ("url_id", {"sitemap_invalid_lastmod": "in_sitemap AND NOT lastmod_valid"}),
-    "mobile": ("url_id", {"mobile_missing_viewport": "NOT has_viewport", "mobile_fixed_width": "fixed_width", "mobile_zoom_disabled": "zoom_disabled"}),
-    "accessibility": ("url_id", {"a11y_missing_alt": "images_without_alt > 0", "a11y_missing_form_labels": "unlabelled > 0", "a11y_missing_lang": "NOT has_lang"}),
-    "pagespeed_result": ("url_id", {"pagespeed_poor_lcp": "lcp_ms >= 4000", "pagespeed_needs_improvement_lcp": "lcp_ms >= 2500 AND lcp_ms < 4000", "pagespeed_poor_cls": "cls >= 0.25", "pagespeed_needs_improvement_cls": "cls >= 0.1 AND cls < 0.25", "pagespeed_poor_inp": "inp_ms >= 500"}),
-}
-
-
-def _found(plan: str) -> str:
-    """(url_id, issue_code): one pass over the plan, its issues as an array that is exploded."""
-    at, rules = RULES[plan]
-    cases = ", ".join(f"CASE WHEN {predicate} THEN '{code}' END" for code, predicate in rules.items())
-    return f"SELECT {at} AS url_id, EACH(KEPT(PAIR({cases}), c -> (c IS NOT NULL))) AS issue_code FROM {{{plan}}}"
-
-
-def _said(k: int) -> str:
-    return f"CASE issue_code {' '.join(f"WHEN '{code}' THEN '{v[k]}'" for code, v in CODES.items())} END"
-
-
 #: Per-page issues, and those of groups of pages with one value.
 ISSUE_PLANS = {
     "page_state": """SELECT *, lower(coalesce(meta_robots, '')) LIKE '%noindex%' OR lower(coalesce(meta_robots, '')) = 'none' OR lower(coalesce(x_robots, '')) LIKE '%noindex%' AS noindex FROM {wide}""",
-    "issues": f"SELECT url_id, issue_code, {_said(0)} AS issue_type, {_said(1)} AS severity, {_said(2)} AS category FROM (" + " UNION ALL ".join(map(_found, RULES)) + " UNION ALL SELECT url_id, 'a11y_heading_skip' AS issue_code FROM (SELECT url_id, EACH(SEQ(1, heading_skips)) AS k FROM {accessibility} WHERE heading_skips > 0) h) i",
     **{
         f"{code}_issues": f"SELECT a.url_id, '{code}' AS issue_code, g.n AS group_size, substr(md5(a.{col}), 1, 8) AS hash8 FROM {{{a}}} a JOIN (SELECT {col} AS v, count(*) AS n FROM {{{a}}} WHERE {col} <> '' GROUP BY {col} HAVING count(*) > 1) g ON g.v = a.{col}"
         for code, a, col in (("duplicate_title", "page_titles", "title"), ("duplicate_meta_description", "meta_description", "meta_description"), ("duplicate_h1", "h1", "h1"), ("duplicate_content", "content", "content_hash"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..functions.url import normalized
+from collections.abc import Callable
+
+from ..functions.url import normalized, normalized_by_steps
 from .analyzers import SIZE_TEXT
 
 _SEVERITY = "CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END"
@@ -26,6 +28,11 @@ def _duplicates(column: str, shown: str = "") -> str:
     return f"SELECT {shown or column} AS value, count(*) AS n, JOINED(url; chr(10); url) AS urls FROM {{wide}} WHERE is_internal AND {column} <> '' GROUP BY {column} HAVING count(*) > 1"
 
 
+def _looked_up(form: Callable[[str, str], str]) -> str:
+    """Links by the normal forms of their targets, each distinct target normalised once."""
+    return f"SELECT l.id AS link_id, u.id AS url_id FROM {{links}} l JOIN ({form('SELECT DISTINCT to_url FROM {links}', 'to_url')}) t ON t.to_url = l.to_url JOIN {{urls}} u ON u.normalized_url = t.normalized_url"
+
+
 REPORTS = {
     # scans and look-ups
     "S03_all_urls": "SELECT * FROM {urls}",
@@ -33,7 +40,7 @@ REPORTS = {
     "S05_all_resources": "SELECT * FROM {resources}",
     "S06_all_issues": "SELECT * FROM {issues}",
     "S07_redirect_chains": "SELECT c.id, s.id AS start_id, c.start_url, t.id AS final_id, c.final_url, c.length, c.has_loop FROM {redirect_chains} c LEFT JOIN {urls} s ON s.url = c.start_url LEFT JOIN {urls} t ON t.url = c.final_url",
-    "S08_lookup_urls": f"SELECT l.link_id, u.id AS url_id FROM ({normalized('SELECT id AS link_id, to_url FROM {links}', 'to_url')}) l JOIN {{urls}} u ON u.normalized_url = l.normalized_url",
+    "S08_lookup_urls": _looked_up(normalized),
     "S08_lookup_address": "SELECT l.id AS link_id, u.id AS url_id FROM {links} l JOIN {urls} u ON u.url = l.to_url",
     "S09_features_of": "SELECT u.id, h.title, h.word_count FROM {urls} u LEFT JOIN {html_features} h ON h.url_id = u.id",
     "S10_latest_fetch": "SELECT * FROM {latest_fetch}",
@@ -82,7 +89,7 @@ REPORTS = {
     "G30_cache_stats": "SELECT count(*) AS entries, sum(size) AS bytes, min(r.id) AS oldest, max(r.id) AS newest, sum(coalesce(p.hits, 0)) AS hits FROM {resources} r LEFT JOIN (SELECT resource_id, count(*) AS hits FROM {page_resources} GROUP BY resource_id) p ON p.resource_id = r.id",
     "G31_error_rate": "SELECT url_id, cast(count_if(status_code >= 400) AS double) / count(*) AS error_rate FROM {fetches} GROUP BY url_id",
     # exact order statistics over the distinct times and their counts: the window sees no more rows than there are milliseconds
-    "G28_benchmark_stats": "SELECT min(v) AS lo, max(v) AS hi, cast(sum(v * c) AS double) / max(n) AS mean, min(CASE WHEN upto > floor(n / 2) THEN v END) AS median, min(CASE WHEN upto > floor(n * 0.95e0) THEN v END) AS p95, min(CASE WHEN upto > floor(n * 0.99e0) THEN v END) AS p99, max(sd) AS stddev, 1000.0e0 * max(n) / sum(v * c) AS ops_per_sec FROM (SELECT v, c, cast(sum(c) OVER (ORDER BY v) AS bigint) AS upto, cast(sum(c) OVER () AS bigint) AS n FROM (SELECT response_time_ms AS v, count(*) AS c FROM {latest_fetch} GROUP BY response_time_ms) d) x CROSS JOIN (SELECT stddev_samp(response_time_ms) AS sd FROM {latest_fetch}) s",
+    "G28_benchmark_stats": "SELECT min(v) AS lo, max(v) AS hi, cast(sum(v * c) AS double) / max(n) AS mean, min(CASE WHEN upto > floor(n / 2) THEN v END) AS median, min(CASE WHEN upto > floor(n * 0.95e0) THEN v END) AS p95, min(CASE WHEN upto > floor(n * 0.99e0) THEN v END) AS p99, (SELECT stddev_samp(response_time_ms) FROM {latest_fetch}) AS stddev, 1000.0e0 * max(n) / sum(v * c) AS ops_per_sec FROM (SELECT v, c, cast(sum(c) OVER (ORDER BY v) AS bigint) AS upto, cast(sum(c) OVER () AS bigint) AS n FROM (SELECT response_time_ms AS v, count(*) AS c FROM {latest_fetch} GROUP BY response_time_ms) d) x",
     # windows, sorts, limits, sets
     "W01_occurrences": "SELECT url_id, cast(row_number() OVER (PARTITION BY title ORDER BY url_id) AS bigint) AS occurrence_index, count(*) OVER (PARTITION BY title) AS occurrences FROM {html_features} WHERE title <> ''",
     "W03_first_inlink": "SELECT * FROM {first_inlink}",
@@ -129,6 +136,9 @@ REPORTS = {
     "P05_finalised_issues": " UNION ALL ".join(f"SELECT url_id, issue_code FROM {{{x}_issues}}" for x in ("duplicate_title", "duplicate_meta_description", "duplicate_h1", "duplicate_content", "duplicate_url")) + " UNION ALL SELECT cast(url_id AS bigint), issue_code FROM {P03_hreflang_issues}",
 }
 
+#: Reports whose text DuckDB reads in another form.
+BY_STEPS = {"S08_lookup_urls": _looked_up(normalized_by_steps)}
+
 _METRICS = "count(*) AS n, cast(sum(coalesce(response_time_ms, 0)) AS double) / count(*) AS avg_response_ms, cast(sum(coalesce(word_count, 0)) AS double) / count(*) AS avg_words, cast(sum(depth) AS double) / count(*) AS avg_depth, count_if(coalesce(is_indexable, false)) AS indexable, count_if(status_code BETWEEN 200 AND 299) AS ok, count_if(status_code BETWEEN 300 AND 399) AS redirects, count_if(status_code BETWEEN 400 AND 499) AS client_errors, count_if(status_code >= 500) AS server_errors"
 _KEYS = {
     "G12_by_content_type": "CASE WHEN coalesce(content_type, '') = '' THEN 'unknown' ELSE trim(regexp_extract(content_type, '^([^;]*)', 1)) END",
@@ -160,7 +170,7 @@ GRAPH = {
     "F08_tree_filter": "SELECT p.prefix, count(*) AS n FROM {prefixes} p LEFT JOIN {latest_fetch} f ON f.url_id = p.id WHERE p.k <= 2 AND (f.status_code IS NULL OR f.status_code BETWEEN 200 AND 299) GROUP BY p.prefix",
     "node_ids": "SELECT id FROM {urls} WHERE is_internal",
     "G27_edges": "SELECT l.from_url_id AS source, l.to_url_id AS target, count(*) AS weight, min_by(l.anchor_text, l.id) AS label FROM {links} l WHERE l.to_url_id IN (SELECT id FROM {node_ids}) AND l.from_url_id IN (SELECT id FROM {node_ids}) GROUP BY l.from_url_id, l.to_url_id",
-    "G25_density": "SELECT n, e, CASE WHEN n > 1 THEN cast(e AS double) / (cast(n AS double) * (n - 1)) ELSE 0 END AS density, CASE WHEN n > 0 THEN 2.0e0 * e / n ELSE 0 END AS avg_degree FROM (SELECT count(*) AS n FROM {N01_nodes}) a CROSS JOIN (SELECT count(*) AS e FROM {G27_edges}) b",
+    "G25_density": "SELECT n, e, CASE WHEN n > 1 THEN cast(e AS double) / (cast(n AS double) * (n - 1)) ELSE 0 END AS density, CASE WHEN n > 0 THEN 2.0e0 * e / n ELSE 0 END AS avg_degree FROM (SELECT count(*) AS n, (SELECT count(*) FROM {G27_edges}) AS e FROM {N01_nodes}) a",
     "G26_node_stats": "SELECT count(*) AS n, count_if(is_internal) AS internal, count_if(NOT is_internal) AS external_, count_if(in_links = 0) AS orphans, count_if(out_links = 0) AS dead_ends, avg(in_links) AS avg_in, max(in_links) AS max_in, avg(out_links) AS avg_out, max(out_links) AS max_out FROM {N01_nodes}",
 }
 
@@ -189,7 +199,7 @@ SCALARS = {
     "X01_normalize": "SELECT id, url, normalized_url FROM {urls}",
     "X06_resolve": "SELECT l.id, CASE WHEN RX(ref, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN ref WHEN ref LIKE '//%' THEN regexp_extract(base, '^([a-z]+:)', 1) || ref WHEN ref LIKE '/%' THEN regexp_extract(base, '^([a-z]+://[^/?#]*)', 1) || ref WHEN ref LIKE '?%' THEN regexp_extract(base, '^([^?#]*)', 1) || ref ELSE regexp_extract(base, '^([^#]*)', 1) || ref END AS resolved FROM (SELECT id, CASE id % 5 WHEN 0 THEN '/a/b' WHEN 1 THEN '//other.example/x' WHEN 2 THEN '?q=1' WHEN 3 THEN '#top' ELSE to_url END AS ref, 'https://h' || cast(from_url_id AS TEXT) || '.example/p/q?z=1#f' AS base FROM {links}) l",
     # percent done, rate over the time from the first fetch to the last, and seconds left at that rate
-    "X25_progress": "SELECT total, done, percent, rate, CASE WHEN rate = 0 OR done >= total THEN 0.0e0 ELSE (total - done) / rate END AS eta_s FROM (SELECT total, done, CASE WHEN total = 0 THEN 0.0e0 ELSE 100.0e0 * done / total END AS percent, CASE WHEN secs > 0 THEN done / secs ELSE 0.0e0 END AS rate FROM (SELECT count(*) AS total, count_if(crawl_status <> 'pending') AS done FROM {urls}) u CROSS JOIN (SELECT cast(count(*) AS double) AS secs FROM {fetches}) f) x",
+    "X25_progress": "SELECT total, done, percent, rate, CASE WHEN rate = 0 OR done >= total THEN 0.0e0 ELSE (total - done) / rate END AS eta_s FROM (SELECT total, done, CASE WHEN total = 0 THEN 0.0e0 ELSE 100.0e0 * done / total END AS percent, CASE WHEN secs > 0 THEN done / secs ELSE 0.0e0 END AS rate FROM (SELECT count(*) AS total, count_if(crawl_status <> 'pending') AS done, (SELECT (UNIX(cast(max(fetched_at) AS timestamp)) - UNIX(cast(min(fetched_at) AS timestamp))) / 1000000.0e0 FROM {fetches}) AS secs FROM {urls}) u) x",
     "F03_text_search": "SELECT url_id, url, title FROM {wide} WHERE lower(coalesce(title, '') || ' ' || url) LIKE '%the%'",
     "F05_include_exclude": "SELECT id, url FROM {urls} WHERE NOT RX(url, '[?]utm_') AND (RX(url, '/[a-z]') OR RX(url, '^https'))",
     "F06_extensions": f"SELECT id, url FROM {{urls}} WHERE lower(regexp_extract(path, '[.]([A-Za-z0-9]+)$', 1)) NOT IN ({', '.join(map(repr, _EXTENSIONS))})",

@@ -17,7 +17,7 @@ _NAME = re.compile(r"(?<!\\[px])\{([A-Za-z_]\w*)\}")
 DIALECT = {"RX(": ("regexp_like(", "regexp_matches("), "BLEN(": ("octet_length(", "strlen("), "RXALL(": ("regexp_replace(", "regexp_replace("), "EACH(": ("explode(", "unnest("), "TEXT": ("string", "varchar"), "PARTS(": ("split(", "string_split("), "SIZE(": ("size(", "len("), "SEQ(": ("sequence(", "generate_series("), "CHARS(": ("char_length(", "length("),
            "KEPT(": ("filter(", "list_filter("), "MAPPED(": ("transform(", "list_transform("), "SORTED(": ("array_sort(", "list_sort("), "GLUED(": ("array_join(", "array_to_string("), "PAIR(": ("array(", "list_value("), "FIRST_OF(": ("slice(", "list_slice("), "ITEM(": ("element_at(", "list_extract("),
            # FOLDED(list FROM_EMPTY lambda) starts from the empty string
-           "FOLDED(": ("aggregate(", "list_reduce(list_concat([''], "), "FROM_EMPTY": (", '',", "),"), "UNESCAPED(": ("try_url_decode(", "url_decode("), "DISTINCT_OF(": ("array_distinct(", "list_distinct("), "ALL_OF(": ("regexp_extract_all(", "regexp_extract_all("), "FOUND(": ("instr(", "instr("),
+           "FOLDED(": ("aggregate(", "list_reduce(list_concat([''], "), "FROM_EMPTY": (", '',", "),"), "UNESCAPED(": ("try_url_decode(", "url_decode("), "DISTINCT_OF(": ("array_distinct(", "list_distinct("), "ALL_OF(": ("regexp_extract_all(", "regexp_extract_all("), "FOUND(": ("instr(", "instr("), "UNIX(": ("unix_micros(", "epoch_us("),
            # lambdas with an index count from 0 in one engine and from 1 in the other
            "FIRST_INDEX": ("0", "1"), "BEFORE": ("0", "-1"), "UPPER_CLASS": (r"'\\p{Lu}'", r"'\p{Lu}'")}
 
@@ -31,7 +31,7 @@ def spelled(sql: str, spark: bool) -> str:
     inner = re.compile(r"GALL\(((?:(?!GALL\()[^;])*?);([^;]*?);([^;)]*?)\)")
     while (new := inner.sub(r"regexp_replace(\1,\2,\3)" if spark else r"regexp_replace(\1,\2,\3,'g')", sql)) != sql:
         sql = new
-    return sql if spark else _counted(re.sub(r"\(?\b([a-z](?:, [a-z])*)\)? -> ", r"lambda \1: ", sql))
+    return sql if spark else _counted(re.sub(r"(?:\(([a-z], [a-z])\)|\b([a-z]\w*)) -> ", lambda m: f"lambda {m[1] or m[2]}: ", sql))
 
 
 def _counted(sql: str) -> str:
@@ -46,10 +46,10 @@ def _counted(sql: str) -> str:
 
 
 class Catalog:
-    """Plans by name. A plan's SQL names what it reads in braces. other: statements written for the other engine alone."""
+    """Plans by name. A plan's SQL names what it reads in braces. other: statements written for the other engine alone; forms: plans that it reads in another form."""
 
-    def __init__(self, plans: Mapping[str, str], other: Mapping[str, str] | None = None) -> None:
-        self.plans, self.other = dict(plans), dict(other or {})
+    def __init__(self, plans: Mapping[str, str], other: Mapping[str, str] | None = None, forms: Mapping[str, str] | None = None) -> None:
+        self.plans, self.other = dict(plans), {k: spelled(v, False) for k, v in (forms or {}).items()} | dict(other or {})
 
     def _needs(self, name: str, given: Iterable[str], spark: bool = True) -> list[str]:
         order: list[str] = []

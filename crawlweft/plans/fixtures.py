@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from ..functions.url import normalized
+from collections.abc import Callable
 
-FIXTURES = {
-    "n_pages": "SELECT count(*) AS n FROM {pages}",
-    # addresses that the given ones lack: upper case, underscores, spaces, doubled slashes, long ones, other scripts, repeated parameters, the neighbour's page under another fragment
-    "site_pages": """SELECT p.page_id, p.html, CASE p.page_id % 40 WHEN 11 THEN p.bare || '/Some_Path/With%20Space' WHEN 12 THEN p.bare || '//x/é' WHEN 13 THEN p.bare || '/' || repeat('long-segment-', 10) WHEN 14 THEN p.bare || '/list?b=2&a=1&b=3&next=//y' WHEN 16 THEN q.bare || '#again' WHEN 15 THEN p.bare ELSE p.url END AS url
-        FROM (SELECT *, regexp_replace(url, '[?#].*', '') AS bare FROM {pages}) p CROSS JOIN {n_pages} c JOIN (SELECT page_id, regexp_replace(url, '[?#].*', '') AS bare FROM {pages}) q ON q.page_id = (p.page_id + c.n - 1) % c.n""",
-    "urls": f"""SELECT page_id AS id, url, normalized_url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path,
+from ..functions.url import normalized, normalized_by_steps
+
+
+def _urls(form: Callable[[str], str]) -> str:
+    return f"""SELECT page_id AS id, url, normalized_url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path,
         CASE WHEN page_id = 0 THEN NULL ELSE cast(floor(page_id / 7) AS bigint) END AS discovered_from,
         CASE WHEN page_id = 0 THEN 0 WHEN page_id < 6 THEN 1 WHEN page_id < 40 THEN 2 ELSE 3 END AS depth,
         CASE WHEN page_id % 25 = 24 THEN 'failed' WHEN page_id % 25 = 23 THEN 'pending' ELSE 'crawled' END AS crawl_status,
-        page_id % 10 <> 9 AS is_internal, page_id % 3 = 0 AS in_sitemap FROM ({normalized("SELECT page_id, url FROM {site_pages}")}) p""",
+        page_id % 10 <> 9 AS is_internal, page_id % 3 = 0 AS in_sitemap FROM ({form("SELECT page_id, url FROM {site_pages}")}) p"""
+
+
+FIXTURES = {
+    "n_pages": "SELECT count(*) AS n FROM {pages}",
+    # addresses that the given ones lack: upper case, underscores, spaces, doubled slashes, long ones, other scripts, repeated parameters, the neighbour's page under another fragment
+    "site_pages": """SELECT p.page_id, p.html, p.before_id, p.after_id, p.back_id, CASE p.page_id % 40 WHEN 11 THEN p.bare || '/Some_Path/With%20Space' WHEN 12 THEN p.bare || '//x/é' WHEN 13 THEN p.bare || '/' || repeat('long-segment-', 10) WHEN 14 THEN p.bare || '/list?b=2&a=1&b=3&next=//y' WHEN 16 THEN q.bare || '#again' WHEN 15 THEN p.bare ELSE p.url END AS url
+        FROM {numbered_pages} p JOIN {numbered_pages} q ON q.page_id = p.before_id""",
+    # the neighbours' ids are columns, so that every look-up of a neighbour is a join on equal ids
+    "numbered_pages": "SELECT page_id, url, html, regexp_replace(url, '[?#].*', '') AS bare, (page_id + n - 1) % n AS before_id, (page_id + 1) % n AS after_id, (page_id * 3 + 1) % n AS other_id, (page_id + n - 9) % n AS back_id, n FROM (SELECT *, (SELECT n FROM {n_pages}) AS n FROM {pages}) p",
+    "urls": _urls(normalized),
     "fetches": """SELECT event_id AS id, user_id AS url_id, CASE event_type WHEN 'view' THEN 200 WHEN 'click' THEN 200 WHEN 'signup' THEN 301 WHEN 'purchase' THEN 404 WHEN 'error' THEN 500 END AS status_code,
         CASE event_id % 4 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'text/html' WHEN 2 THEN 'application/pdf' ELSE '' END AS content_type,
         cast(floor(value * 10) AS bigint) AS response_time_ms, ts AS fetched_at, CASE WHEN event_id % 13 = 0 THEN 'noindex' ELSE '' END AS x_robots
@@ -25,9 +34,9 @@ FIXTURES = {
         cast(p.page_id % 4 AS int) AS h1_count, CASE WHEN p.page_id % 4 = 0 THEN '' ELSE regexp_extract(p.html, '<h1>([^<]*)</h1>', 1) || CASE WHEN p.page_id % 23 = 9 THEN ' followed by more words than a heading of a page should ever have in it' ELSE '' END END AS h1_first,
         cast(p.page_id % 3 AS int) AS h2_count, CASE WHEN p.page_id % 3 = 0 THEN '' ELSE 'Section ' || cast(p.page_id % 7 AS TEXT) END AS h2_first,
         CASE WHEN p.page_id % 20 = 7 THEN md5('the same text') ELSE md5(d.text) END AS content_hash, cast(CHARS(d.text) % 500 AS int) AS word_count, p.page_id % 8 NOT IN (0, 2) AS is_indexable
-        FROM {site_pages} p JOIN {documents} d ON d.doc_id = p.page_id CROSS JOIN {n_pages} c JOIN {site_pages} q ON q.page_id = (p.page_id + 1) % c.n JOIN {site_pages} r ON r.page_id = (p.page_id + c.n - 1) % c.n WHERE p.page_id % 20 <> 19""",
-    "candidates": """SELECT p.page_id, k, CASE WHEN k = 4 THEN NULL WHEN k = 3 AND p.page_id % 34 = 5 THEN p.page_id WHEN k = 5 THEN (p.page_id * 7 + 1) % c.n ELSE (p.page_id * 7 + k * 13 + 1) % c.n END AS target
-        FROM {pages} p CROSS JOIN {n_pages} c CROSS JOIN (SELECT EACH(SEQ(0, 5)) AS k) ks""",
+        FROM {site_pages} p JOIN {documents} d ON d.doc_id = p.page_id JOIN {site_pages} q ON q.page_id = p.after_id JOIN {site_pages} r ON r.page_id = p.before_id WHERE p.page_id % 20 <> 19""",
+    "candidates": """SELECT page_id, k, CASE WHEN k = 4 THEN NULL WHEN k = 3 AND page_id % 34 = 5 THEN page_id WHEN k = 5 THEN (page_id * 7 + 1) % n ELSE (page_id * 7 + k * 13 + 1) % n END AS target
+        FROM (SELECT page_id, n, EACH(SEQ(0, 5)) AS k FROM {numbered_pages}) p""",
     "links": """SELECT x.page_id * 6 + x.k AS id, x.page_id AS from_url_id, x.target AS to_url_id, coalesce(t.url, 'https://elsewhere.example/' || cast(x.page_id AS TEXT)) AS to_url, 'link ' || cast(x.k AS TEXT) AS anchor_text,
         x.target IS NOT NULL AS is_internal, (x.page_id + x.k) % 6 <> 0 AS is_follow, CASE WHEN (x.page_id + x.k) % 6 = 0 THEN 'nofollow' ELSE '' END AS rel
         FROM {candidates} x LEFT JOIN {site_pages} t ON t.page_id = x.target WHERE x.target IS NULL OR x.target % 17 <> 5 OR x.target = x.page_id""",
@@ -35,13 +44,17 @@ FIXTURES = {
         CASE WHEN k = 0 THEN 'image' ELSE 'script' END AS resource_type, cast(CASE WHEN (p.page_id + k) % 11 = 3 THEN 404 ELSE 200 END AS int) AS status_code, (p.page_id * 7919 + k * 104729) % 260000 AS size,
         CASE WHEN k = 0 AND p.page_id % 4 <> 1 THEN 'picture ' || cast(p.page_id AS TEXT) ELSE '' END AS alt, cast(CASE WHEN p.page_id % 5 = 0 THEN 0 ELSE 640 END AS int) AS width, cast(480 AS int) AS height,
         p.page_id % 3 = 0 AS is_async, p.page_id % 4 = 0 AS is_defer, CASE WHEN p.page_id % 2 = 0 THEN '' ELSE 'module' END AS mime_type
-        FROM {pages} p CROSS JOIN (SELECT EACH(SEQ(0, 2)) AS k) ks""",
+        FROM (SELECT page_id, url, EACH(SEQ(0, 2)) AS k FROM {pages}) p""",
     "page_resources": "SELECT id AS resource_id, cast(floor(id / 3) AS bigint) AS url_id FROM {resources} UNION ALL SELECT id AS resource_id, cast(floor(id / 3) AS bigint) + 1 AS url_id FROM {resources} WHERE id % 12 = 0",
     "redirect_chains": """SELECT id, url AS start_url, CASE WHEN id % 14 = 0 THEN url ELSE 'https://elsewhere.example/end' END AS final_url, cast(1 + id % 4 AS int) AS length, id % 14 = 0 AS has_loop FROM {urls} WHERE id % 7 = 0""",
+    # where pages say they have moved to: up to nine steps on, half of them in rings, one to itself, some by relative addresses
+    "locations": """SELECT page_id AS url_id, url, cast(CASE WHEN location = '' THEN 200 WHEN page_id % 2 = 0 THEN 301 ELSE 302 END AS int) AS status_code, location FROM (
+        SELECT p.page_id, p.url, CASE WHEN p.page_id % 48 = 34 THEN p.url WHEN p.page_id % 12 = 9 THEN CASE WHEN p.page_id % 24 < 12 THEN r.url ELSE '' END WHEN p.page_id % 12 = 10 THEN '/moved/here?x=1' WHEN p.page_id % 12 = 11 THEN '?again=1' ELSE q.url END AS location
+        FROM {site_pages} p JOIN {site_pages} q ON q.page_id = p.after_id JOIN {site_pages} r ON r.page_id = p.back_id) m""",
     "sitemap_urls": """SELECT id AS url_id, url, CASE id % 5 WHEN 0 THEN '2024-01-15' WHEN 1 THEN '2024-01-15T10:00:00Z' WHEN 2 THEN 'yesterday' WHEN 3 THEN '2024-13-45' ELSE '' END AS lastmod, 'weekly' AS changefreq, cast(id % 10 AS double) / 10 AS priority FROM {urls} WHERE in_sitemap
         UNION ALL SELECT NULL, 'https://elsewhere.example/s' || cast(id AS TEXT), '', 'daily', 0.5 FROM {urls} WHERE id % 50 = 1""",
-    "hreflangs": """SELECT u.id AS url_id, u.url, l.lang AS hreflang, CASE l.k WHEN 0 THEN u.url WHEN 1 THEN t.url ELSE 'https://elsewhere.example/x' END AS href FROM {urls} u CROSS JOIN {n_pages} c
-        JOIN (SELECT 0 AS k, 'en' AS lang UNION ALL SELECT 1, 'de-AT' UNION ALL SELECT 2, 'x-default' UNION ALL SELECT 3, 'e' UNION ALL SELECT 4, 'en-GBR') l ON (u.id + l.k) % 6 < 3 JOIN {urls} t ON t.id = (CASE WHEN u.id % 2 = 0 THEN u.id + 1 ELSE u.id - 1 END + CASE WHEN u.id % 10 = 4 THEN 2 ELSE 0 END) % c.n WHERE u.id % 2 < 2""",
+    "hreflangs": """SELECT u.id AS url_id, u.url, CASE u.k WHEN 0 THEN 'en' WHEN 1 THEN 'de-AT' WHEN 2 THEN 'x-default' WHEN 3 THEN 'e' ELSE 'en-GBR' END AS hreflang, CASE u.k WHEN 0 THEN u.url WHEN 1 THEN t.url ELSE 'https://elsewhere.example/x' END AS href
+        FROM (SELECT id, url, EACH(SEQ(0, 4)) AS k, (CASE WHEN id % 2 = 0 THEN id + 1 ELSE id - 1 END + CASE WHEN id % 10 = 4 THEN 2 ELSE 0 END) % (SELECT n FROM {n_pages}) AS partner FROM {urls}) u JOIN {urls} t ON t.id = u.partner WHERE (u.id + u.k) % 6 < 3""",
     # markup that the given pages lack: viewports, images, forms, headings, roles, AMP, microdata, JSON-LD, robots, style, classes
     "page_html": """SELECT u.id AS url_id, u.url, CASE u.id % 9 WHEN 1 THEN replace(p.html, '<html ', '<html amp ') WHEN 2 THEN replace(p.html, ' lang=', ' data-lang=') WHEN 4 THEN replace(replace(replace(replace(p.html, '<h1>', '<p>'), '</h1>', '</p>'), '<h2>', '<p>'), '</h2>', '</p>') ELSE p.html END
         || CASE u.id % 4 WHEN 0 THEN '<meta name="viewport" content="width=device-width, initial-scale=1">' WHEN 1 THEN '<meta name="viewport" content="width=320, user-scalable=no">' WHEN 2 THEN '<meta content="width=device-width, maximum-scale=1" name="viewport"><div class="container-fluid">' ELSE '' END
@@ -51,7 +64,7 @@ FIXTURES = {
         || CASE WHEN u.id % 6 = 0 THEN '<link rel="amphtml" href="https://amp.example/' || cast(u.id AS TEXT) || '">' WHEN u.id % 6 = 4 THEN '<link href="' || t.url || '" rel="amphtml">' ELSE '' END
         || CASE WHEN u.id % 7 = 0 THEN '<div itemscope itemtype="https://schema.org/Product"></div><div itemtype="https://schema.org/Offer"></div><div itemtype="https://schema.org/Product"></div><div itemtype="urn:x:Own"></div>' ELSE '' END
         || CASE u.id % 8 WHEN 0 THEN '<script type="application/ld+json">{"@type": "Article", "headline": "h ' || cast(u.id AS TEXT) || '"}</script>' WHEN 1 THEN '<script type="application/ld+json">{"@type": "BreadcrumbList", "name": [1, 2]}</script><script type="application/ld+json">{"@type": ["Product", "Thing"]}</script>' WHEN 2 THEN '<script type="application/ld+json">{broken</script>' WHEN 3 THEN '<script type="application/ld+json">{"@graph": [{"@type": "WebSite"}, {"@type": "Organization"}]}</script><script type="application/ld+json">{"@type": "WebSite", "name": "n"}</script>' WHEN 4 THEN '<script type="application/ld+json">[{"@type": "FAQPage"}, "x"]</script><script type="application/ld+json">{"@type": "Product", "name": "p", "price": 9.5, "tags": ["a", "b"], "offers": {"seller": "s"}}</script>' ELSE '' END AS html
-        FROM {urls} u JOIN {pages} p ON p.page_id = u.id JOIN {n_pages} c ON true JOIN {site_pages} t ON t.page_id = (u.id * 3 + 1) % c.n""",
+        FROM {urls} u JOIN {numbered_pages} p ON p.page_id = u.id JOIN {site_pages} t ON t.page_id = p.other_id""",
     "pagespeed": """SELECT id AS url_id, url, cast((id * 37) % 101 AS int) AS score, cast((id * 911) % 6000 AS double) AS lcp_ms, cast((id * 17) % 40 AS double) / 100 AS cls, cast((id * 131) % 700 AS double) AS inp_ms, cast((id * 77) % 3000 AS double) AS fcp_ms, cast((id * 13) % 900 AS double) AS ttfb_ms FROM {urls}""",
     "robots_files": """SELECT host, CASE n % 4 WHEN 0 THEN replace('User-agent: *|Disallow: /a|Allow: /a/b|Crawl-delay: 2|Sitemap: https://' || host || '/sitemap.xml', '|', chr(10)) WHEN 1 THEN replace('# all|User-Agent: *|Disallow: /|User-agent: goodbot|User-agent: other|Allow: /*.html$|Disallow: /*e', '|', chr(10))
         WHEN 2 THEN replace('User-agent: good|Disallow: /*?|Disallow:|User-agent: *|Allow: /|crawl-delay: 0.5', '|', chr(10)) ELSE '' END AS body FROM (SELECT host, cast(CHARS(host) AS int) AS n FROM {urls} GROUP BY host) h""",
@@ -61,3 +74,6 @@ FIXTURES = {
         SELECT u.host, '<url><loc> ' || replace(s.url, '&', '&amp;') || '</loc><lastmod>' || s.lastmod || '</lastmod>' || CASE WHEN s.url_id % 2 = 0 THEN '<priority>' || cast(s.priority AS TEXT) || '</priority>' ELSE '' END || '</url>' AS entry FROM {sitemap_urls} s JOIN {urls} u ON u.id = s.url_id) e GROUP BY host
         UNION ALL SELECT 'https://index.example/s' || cast(id AS TEXT), CASE WHEN id % 3 = 0 THEN 404 ELSE 200 END, CASE id % 3 WHEN 1 THEN '<sitemapindex><sitemap><loc>https://a.example/1.xml</loc></sitemap></sitemapindex>' ELSE '<html></html>' END FROM {urls} WHERE id < 6""",
 }
+
+#: Fixtures whose text DuckDB reads in another form.
+BY_STEPS = {"urls": _urls(normalized_by_steps)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..operators.analyzers import CODES
+
 _ROLES = "('alert','alertdialog','application','article','banner','button','checkbox','complementary','contentinfo','dialog','document','feed','figure','form','grid','gridcell','group','heading','img','link','list','listbox','listitem','main','menu','menubar','menuitem','navigation','none','note','option','presentation','progressbar','radio','region','row','rowgroup','scrollbar','search','searchbox','separator','slider','spinbutton','status','switch','tab','table','tablist','tabpanel','textbox','timer','toolbar','tooltip','tree','treegrid','treeitem')"
 
 
@@ -21,7 +23,45 @@ def _ents(text: str) -> str:
     return text
 
 
+#: The issues, an arm for each analyzer's rows: what a row of a plan says: plan -> (column of the page, {issue code: predicate}).
+_RULES = {
+    "page_state": ("url_id", {
+        "client_error": "status_code BETWEEN 400 AND 499", "server_error": "status_code >= 500", "slow_response": "response_time_ms > 500", "missing_title": "title = ''", "title_too_long": "strlen(title) > 60", "title_too_short": "strlen(title) BETWEEN 1 AND 29",
+        "missing_meta_description": "meta_description = ''", "meta_description_too_long": "strlen(meta_description) > 155", "meta_description_too_short": "strlen(meta_description) BETWEEN 1 AND 69", "missing_h1": "h1_count = 0", "multiple_h1": "h1_count > 1",
+        "thin_content": "word_count > 0 AND word_count < 200", "missing_canonical": "canonical = ''", "noindex": "noindex", "canonical_noindex_conflict": "noindex AND canonical <> '' AND canonical <> url", "url_too_long": "strlen(url) > 115"}),
+    "redirect_chain": ("url_id", {"redirect_loop": "has_loop", "redirect_chain": "length > 2"}),
+    "images": ("url_id", {"missing_alt": "alt = ''", "broken_image": "status_code >= 400", "large_image": "size > 102400"}),
+    "links_summary": ("url_id", {"no_internal_links": "internal = 0 AND is_internal AND total > 0"}),
+    "links_detail": ("from_url_id", {"redirect_link": "target_status BETWEEN 300 AND 399", "broken_link": "target_status >= 400"}),
+    "hreflang": ("url_id", {"hreflang_missing_self": "count_ > 0 AND NOT has_self_ref", "hreflang_invalid_code": "invalid_codes > 0"}),
+    "javascript": ("url_id", {"broken_script": "status_code >= 400", "render_blocking_script": "NOT is_async AND NOT is_defer"}),
+    "amp": ("amp_url_id", {"amp_canonical_mismatch": "NOT canonical_match"}),
+    "structured_items": ("url_id", {"structured_data_error": "n_errors > 0"}),
+    "sitemaps": ("url_id", {"sitemap_invalid_lastmod": "in_sitemap AND NOT lastmod_valid"}),
+    "mobile": ("url_id", {"mobile_missing_viewport": "NOT has_viewport", "mobile_fixed_width": "fixed_width", "mobile_zoom_disabled": "zoom_disabled"}),
+    "accessibility": ("url_id", {"a11y_missing_alt": "images_without_alt > 0", "a11y_missing_form_labels": "unlabelled > 0", "a11y_missing_lang": "NOT has_lang"}),
+    "pagespeed_result": ("url_id", {"pagespeed_poor_lcp": "lcp_ms >= 4000", "pagespeed_needs_improvement_lcp": "lcp_ms >= 2500 AND lcp_ms < 4000", "pagespeed_poor_cls": "cls >= 0.25", "pagespeed_needs_improvement_cls": "cls >= 0.1 AND cls < 0.25", "pagespeed_poor_inp": "inp_ms >= 500"}),
+}
+
+
+def _arm(plan: str) -> str:
+    at, rules = _RULES[plan]
+    return " UNION ALL ".join(f"SELECT {at} AS url_id, '{code}' AS issue_code FROM {{{plan}}} WHERE {when}" for code, when in rules.items())
+
+
+def _said(k: int) -> str:
+    return f"CASE issue_code {' '.join(f"WHEN '{code}' THEN '{v[k]}'" for code, v in CODES.items())} END"
+
+
+def _walked(edges: str) -> str:
+    """(start, place, n, looped, hops) of the last step of every walk over edges (source, target, hop), one after the other."""
+    return f"""(WITH RECURSIVE edges AS ({edges}), walk AS (SELECT source AS start, target AS place, 1 AS n, [source] AS seen, [hop] AS hops FROM edges
+        UNION ALL SELECT w.start, e.target, n + 1, list_append(seen, w.place), list_append(hops, e.hop) FROM walk w JOIN edges e ON e.source = w.place WHERE NOT list_contains(w.seen, w.place))
+        SELECT start, place, n, list_contains(seen, place) AS looped, hops FROM walk QUALIFY row_number() OVER (PARTITION BY start ORDER BY n DESC) = 1)"""
+
+
 DUCK = {
+    "issues": f"SELECT url_id, issue_code, {_said(0)} AS issue_type, {_said(1)} AS severity, {_said(2)} AS category FROM (" + " UNION ALL ".join(map(_arm, _RULES)) + " UNION ALL SELECT url_id, 'a11y_heading_skip' FROM (SELECT url_id, unnest(generate_series(1, heading_skips)) AS k FROM {accessibility}) h) i",
     "latest_fetch": "SELECT id, url_id, status_code, content_type, response_time_ms, fetched_at, x_robots FROM {fetches} QUALIFY row_number() OVER (PARTITION BY url_id ORDER BY fetched_at DESC, id DESC) = 1",
     "response_codes": """SELECT u.id AS url_id, u.url, f.status_code, f.response_time_ms, concat(f.response_time_ms, 'ms') AS response_time, if(f.status_code // 100 = 3, coalesce(c.final_url, ''), '') AS redirect_url,
         CASE f.status_code // 100 WHEN 2 THEN 'Success' WHEN 3 THEN 'Redirect' WHEN 4 THEN 'Client Error' ELSE if(f.status_code >= 500, 'Server Error', 'Unknown') END AS status,
@@ -84,6 +124,9 @@ DUCK = {
             SELECT url_id, len(regexp_extract_all(html, 'application/ld\\+json')) AS n, list_transform(list_filter(list_transform(ts, lambda t, i: struct_pack(t := t, i := i)), lambda s: list_position(ts, s.t) = s.i), lambda s: s.t) AS types FROM (
             SELECT url_id, html, list_transform(regexp_extract_all(html, 'itemtype=["'']([^"'']+)["'']', 1), lambda t: if(contains(t, 'schema.org/'), string_split(t, '/')[-1], t)) AS ts FROM {page_html} WHERE contains(html, 'itemscope') AND contains(html, 'itemtype')) q) r) s) i""",
 
+    "A02_redirect_walks": "SELECT start AS start_url, place AS final_url, n::int AS length, looped AS has_loop, array_to_string(hops[1:10], ' > ') AS hops FROM " + _walked("""SELECT url AS source, CASE WHEN location LIKE '/%' THEN regexp_extract(url, '^https?://[^/?#]*') || location WHEN location LIKE '?%' THEN regexp_extract(url, '^[^?#]*') || location ELSE location END AS target,
+        concat_ws(' ', status_code, url, location) AS hop FROM {locations} WHERE location <> '' QUALIFY row_number() OVER (PARTITION BY url ORDER BY status_code, location) = 1""") + " x",
+    "P01_canonical_walks": "SELECT start AS url, hops[1] AS canonical, place AS final, n::bigint AS length, looped AS has_loop, if(looped OR n > 2, 'canonical_chain', NULL) AS issue_code, if(looped, 'error', if(n > 2, 'warning', NULL)) AS issue_type, if(looped, 'high', if(n > 2, 'medium', NULL)) AS severity, if(looped, 'Canonical chain contains a loop', if(n > 2, 'Canonical chain detected (length: ' || n || ')', NULL)) AS message FROM " + _walked("SELECT u.url AS source, min(h.canonical) AS target, min(h.canonical) AS hop FROM {urls} u JOIN {html_features} h ON h.url_id = u.id WHERE h.canonical <> '' AND h.canonical <> u.url GROUP BY u.url") + " x",
     "N02_bfs_subgraph": "SELECT * FROM (WITH RECURSIVE walk(id, d) AS (SELECT 0::bigint, 0 UNION SELECT e.target, d + 1 FROM walk JOIN {G27_edges} e ON e.source = walk.id WHERE d < 3) SELECT w.id, min(w.d) AS d, any_value(u.url) AS url FROM walk w JOIN {urls} u ON u.id = w.id GROUP BY w.id) r",
     "Z01_crawl_levels": "SELECT * FROM (WITH RECURSIVE walk(id, d) AS (SELECT id, 0 FROM {urls} WHERE depth = 0 UNION SELECT l.to_url_id, d + 1 FROM walk JOIN {links} l ON l.from_url_id = walk.id WHERE d < 4 AND l.to_url_id IS NOT NULL) SELECT id, min(d) AS depth FROM walk GROUP BY id ORDER BY min(d), id LIMIT 120) r",
     "Z06_token_bucket": """SELECT unnest(ids) AS id, unnest((list_reduce(steps, lambda s, x: struct_pack(t := x.t, tokens := least(s.tokens + 0.5 * (x.t - s.t), 3.0) - if(least(s.tokens + 0.5 * (x.t - s.t), 3.0) >= 1, 1.0, 0.0), flags := list_append(s.flags, least(s.tokens + 0.5 * (x.t - s.t), 3.0) >= 1)))).flags) AS allowed FROM (
@@ -136,6 +179,7 @@ DUCK = {
     "X19_strip_tags": "SELECT url_id AS page_id, text FROM {page_plain}",
     "G21_depth_distribution": "SELECT d.depth::int AS depth, count(u.id) AS n, coalesce(100.0 * count(u.id) / nullif((SELECT count(*) FROM {urls} WHERE is_internal), 0), 0)::double AS percent FROM (SELECT unnest(generate_series(0, coalesce((SELECT max(depth) FROM {urls} WHERE is_internal), 0))) AS depth) d LEFT JOIN {urls} u ON u.depth = d.depth AND u.is_internal GROUP BY d.depth",
     "G28_benchmark_stats": "SELECT min(v) AS lo, max(v) AS hi, avg(v) AS mean, list(v ORDER BY v)[1 + count(*) // 2] AS median, list(v ORDER BY v)[1 + floor(count(*) * 0.95)::int] AS p95, list(v ORDER BY v)[1 + floor(count(*) * 0.99)::int] AS p99, stddev_samp(v) AS stddev, 1000.0 * count(*) / sum(v) AS ops_per_sec FROM (SELECT response_time_ms AS v FROM {latest_fetch}) x",
+    "X25_progress": "SELECT n AS total, done, if(n = 0, 0, 100 * done / n)::double AS percent, if(took > 0, done / took, 0)::double AS rate, if(took > 0 AND done > 0 AND done < n, (n - done) * took / done, 0)::double AS eta_s FROM (SELECT count(*) AS n, sum((crawl_status <> 'pending')::int)::bigint AS done, (SELECT date_diff('microsecond', min(fetched_at), max(fetched_at)) / 1e6 FROM {fetches}) AS took FROM {urls}) x",
     "W05_lru_eviction": "SELECT id, sum(size) OVER (ORDER BY id DESC ROWS UNBOUNDED PRECEDING) > 5000000 AS evicted FROM {resources}",
     "G20_all_segments": " UNION ALL ".join(f"SELECT '{k}' AS kind, segment, n FROM {{{k}}}" for k in ("G12_by_content_type", "G13_by_status", "G14_by_indexability", "G15_by_template", "G16_by_depth", "G17_by_folder", "G19_by_rule")),
 }

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .operators.analyzers import ANALYZERS, COLUMNS, FILTER_PLANS, ISSUE_PLANS, filtered
+from .operators.analyzers import ANALYZERS, COLUMNS, FILTER_PLANS, ISSUE_PLANS, LASTMOD_VALID, filtered
 from .operators.crawl import STATEFUL
 from .operators.documents import FUNCTIONS
-from .operators.reports import GRAPH, REPORTS, SCALARS, SEGMENTS
+from .operators.passes import Analyzer, plans_of, shared_issues
+from .operators.reports import BY_STEPS, GRAPH, REPORTS, SCALARS, SEGMENTS
+from .operators.walks import WALKS
 from .plans import CRAWL, Catalog
 from .plans.oracles import DUCK
 
-PLANS = ANALYZERS | FILTER_PLANS | ISSUE_PLANS | REPORTS | SEGMENTS | GRAPH | SCALARS
-COMPUTED = FUNCTIONS | STATEFUL
-CATALOG = Catalog(PLANS, DUCK)
+PLANS = ANALYZERS | FILTER_PLANS | shared_issues(LASTMOD_VALID) | ISSUE_PLANS | REPORTS | SEGMENTS | GRAPH | SCALARS
+COMPUTED = FUNCTIONS | STATEFUL | WALKS
+CATALOG = Catalog(PLANS, DUCK, BY_STEPS)
 #: Plans and computed tables that stand for an operator; the others are their parts.
-PARTS = ("wide", "url_parts", "url_flags", "amp_links", "a11y_tags", "page_state", "overview", "first_inlink", "prefixes", "node_ids", "structured_items", "templates", "hops")
+PARTS = ("wide", "url_parts", "url_flags", "amp_links", "page_texts", "page_facts", "page_state", "overview", "first_inlink", "prefixes", "node_ids", "structured_items", "templates", "hops")
 OPERATORS = [k for k in (*PLANS, *COMPUTED) if k not in PARTS]
 
 
@@ -42,15 +44,17 @@ class Folder(Mapping):
 
 
 class Site:
-    """Named operators over one crawl. tables: crawl tables by name (urls, fetches, html_features, links, ...)."""
+    """Named operators over one crawl. tables: crawl tables by name (urls, fetches, html_features, links, ...). analyzers: a user's, whose issues are found in the same pass as all others."""
 
-    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], catalog: Catalog = CATALOG) -> None:
-        self.spark, self.tables, self.catalog = spark, tables, catalog
+    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], catalog: Catalog = CATALOG, analyzers: Iterable[Analyzer] = ()) -> None:
+        own = list(analyzers)
+        self.spark, self.tables, self.titles = spark, tables, COLUMNS | {a.name: dict(a.titles) for a in own}
+        self.catalog = Catalog(catalog.plans | plans_of(own, LASTMOD_VALID, {*catalog.plans, *COMPUTED, *tables}), catalog.other) if own else catalog
 
     @classmethod
-    def open(cls, spark: SparkSession, folder: str, names: tuple[str, ...] = CRAWL, catalog: Catalog = CATALOG) -> Site:
+    def open(cls, spark: SparkSession, folder: str, names: tuple[str, ...] = CRAWL, catalog: Catalog = CATALOG, analyzers: Iterable[Analyzer] = ()) -> Site:
         """A folder with {table}.parquet for the crawl tables; only those that an operator needs have to be there."""
-        return cls(spark, Folder(spark, folder, names), catalog)
+        return cls(spark, Folder(spark, folder, names), catalog, analyzers)
 
     def table(self, name: str) -> DataFrame:
         """A given table, or an operator's rows."""
@@ -71,7 +75,7 @@ class Site:
     def shown(self, analyzer: str, filter_id: str | None = None) -> DataFrame:
         """An analyzer's rows under its display titles."""
         rows = self.analyze(analyzer, filter_id)
-        return rows.select(*((F.col(key) if key in rows.columns else F.lit(None).cast("string")).alias(title) for title, key in COLUMNS[analyzer].items()))
+        return rows.select(*(F.col(key).alias(title) for title, key in self.titles[analyzer].items()))
 
     def where(self, name: str, column: str, value: object) -> DataFrame:
         return self.run(name).where(F.col(column) == value)
@@ -85,4 +89,4 @@ class Site:
         return df.where(F.exists(F.array(*(F.lower(F.col(c).cast("string")) for c in df.columns)), lambda c: F.coalesce(F.contains(c, F.lit(needle.lower())), F.lit(False))))
 
 
-__all__ = ["CATALOG", "OPERATORS", "Site", "filtered"]
+__all__ = ["CATALOG", "OPERATORS", "Analyzer", "Site", "filtered"]

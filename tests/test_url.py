@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from crawlweft.functions.url import IGNORED, normalized
+from crawlweft.functions.url import IGNORED, normalized, normalized_by_steps
 from crawlweft.plans import BASE, spelled
 from crawlweft.site import Site
 
@@ -24,7 +24,7 @@ URLS = [
 
 @pytest.mark.parametrize("engine", ["spark", "duckdb"])
 def test_normal_forms(spark, engine):
-    sql = spelled(normalized("SELECT id, url FROM addresses"), engine == "spark")
+    sql = spelled((normalized if engine == "spark" else normalized_by_steps)("SELECT id, url FROM addresses"), engine == "spark")
     rows = [(i, u) for i, (u, _) in enumerate(URLS)]
     if engine == "spark":
         spark.createDataFrame(rows, "id long, url string").createOrReplaceTempView("addresses")
