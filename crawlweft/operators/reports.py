@@ -49,10 +49,7 @@ REPORTS = {
     "S13_issues_of_url": "SELECT u.url, i.issue_code, i.severity, i.category FROM {urls} u JOIN {issues} i ON i.url_id = u.id",
     "S14_pending": "SELECT id, url, depth FROM {urls} WHERE crawl_status = 'pending' AND is_internal ORDER BY depth, id LIMIT 5",
     # upserts
-    "K01_upsert_urls": "SELECT normalized_url, min(depth) AS depth, min(id) AS first_id, max(id) AS last_seen FROM (SELECT id, normalized_url, depth FROM {urls} UNION ALL SELECT id + 1000000, normalized_url, depth FROM {urls} WHERE id % 2 = 0) x GROUP BY normalized_url",
     "K02_update_status": "SELECT u.id, CASE WHEN f.url_id IS NOT NULL THEN 'crawled' ELSE u.crawl_status END AS crawl_status FROM {urls} u LEFT JOIN {latest_fetch} f ON f.url_id = u.id",
-    # every column of the later row wins, nulls too
-    "K04_upsert_features": "SELECT url_id, title, word_count FROM (SELECT *, row_number() OVER (PARTITION BY url_id ORDER BY v DESC) AS rn FROM (SELECT url_id, title, word_count, 0 AS v FROM {html_features} UNION ALL SELECT url_id, title || ' (new)', NULL, 1 FROM {html_features} WHERE url_id % 3 = 0 UNION ALL SELECT id, 'first', 1, 1 FROM {urls} WHERE id % 20 = 19) x) y WHERE rn = 1",
     "K07_upsert_resources": "SELECT url, min(id) AS first_id, max_by(status_code, id) AS status_code, max_by(size, id) AS size, min_by(alt, id) AS alt FROM {resources} GROUP BY url",
     "K08_page_resources": "SELECT DISTINCT url_id, resource_id FROM (SELECT * FROM {page_resources} UNION ALL SELECT * FROM {page_resources}) x",
     # views and joins

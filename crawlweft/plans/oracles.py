@@ -127,6 +127,13 @@ DUCK = {
     "A02_redirect_walks": "SELECT start AS start_url, place AS final_url, n::int AS length, looped AS has_loop, array_to_string(hops[1:10], ' > ') AS hops FROM " + _walked("""SELECT url AS source, CASE WHEN location LIKE '/%' THEN regexp_extract(url, '^https?://[^/?#]*') || location WHEN location LIKE '?%' THEN regexp_extract(url, '^[^?#]*') || location ELSE location END AS target,
         concat_ws(' ', status_code, url, location) AS hop FROM {locations} WHERE location <> '' QUALIFY row_number() OVER (PARTITION BY url ORDER BY status_code, location) = 1""") + " x",
     "P01_canonical_walks": "SELECT start AS url, hops[1] AS canonical, place AS final, n::bigint AS length, looped AS has_loop, if(looped OR n > 2, 'canonical_chain', NULL) AS issue_code, if(looped, 'error', if(n > 2, 'warning', NULL)) AS issue_type, if(looped, 'high', if(n > 2, 'medium', NULL)) AS severity, if(looped, 'Canonical chain contains a loop', if(n > 2, 'Canonical chain detected (length: ' || n || ')', NULL)) AS message FROM " + _walked("SELECT u.url AS source, min(h.canonical) AS target, min(h.canonical) AS hop FROM {urls} u JOIN {html_features} h ON h.url_id = u.id WHERE h.canonical <> '' AND h.canonical <> u.url GROUP BY u.url") + " x",
+    "K01_upsert_urls": """SELECT id, url, normalized_url, depth, crawl_status, '2024-01-0' || day AS first_seen, '2024-01-0' || last_day AS last_seen FROM (SELECT *, max(day) OVER (PARTITION BY normalized_url) AS last_day, row_number() OVER (PARTITION BY normalized_url ORDER BY day, id) AS nth
+        FROM (SELECT id, url, normalized_url, depth, crawl_status, 1 AS day FROM {urls} WHERE id % 2 = 0 UNION ALL SELECT id, url, normalized_url, depth + 1, crawl_status, 2 FROM {urls} WHERE id % 3 = 0) a) b WHERE nth = 1""",
+    "K03_append_fetches": """SELECT id, url_id, status_code, '{' || array_to_string(list_filter([CASE WHEN content_type <> '' THEN '"Content-Type":["' || content_type || '"]' END, CASE WHEN x_robots <> '' THEN '"X-Robots-Tag":["' || x_robots || '"]' END], lambda e: e IS NOT NULL), ',') || '}' AS headers_json FROM {fetches}""",
+    "K04_upsert_features": "SELECT url_id, if(url_id % 3 = 0, title || ' (new)', title) AS title, if(url_id % 3 = 0, NULL, word_count) AS word_count, is_indexable FROM {html_features} UNION ALL SELECT id, 'first', 1, NULL FROM {urls} WHERE id % 20 = 19",
+    "K05_append_links": "SELECT v AS version, id, from_url_id, to_url FROM {links} JOIN (SELECT unnest([1, 2, 3])::bigint AS v) x ON from_url_id % 3 < v",
+    "K06_append_issues": "SELECT url_id, issue_code, count(*) AS n FROM {issues} GROUP BY ALL",
+    "K09_sessions": "SELECT host AS id, min(url) AS start_url, if(bool_or(crawl_status = 'pending'), 'running', 'completed') AS status, count(*) FILTER (crawl_status = 'crawled') AS crawled_urls, count(*) FILTER (crawl_status = 'failed') AS failed_urls, '2024-01-02' AS last_checkpoint, if(bool_or(crawl_status = 'pending'), NULL, '2024-01-03') AS completed_at FROM {urls} GROUP BY host",
     "N02_bfs_subgraph": "SELECT * FROM (WITH RECURSIVE walk(id, d) AS (SELECT 0::bigint, 0 UNION SELECT e.target, d + 1 FROM walk JOIN {G27_edges} e ON e.source = walk.id WHERE d < 3) SELECT w.id, min(w.d) AS d, any_value(u.url) AS url FROM walk w JOIN {urls} u ON u.id = w.id GROUP BY w.id) r",
     "Z01_crawl_levels": "SELECT * FROM (WITH RECURSIVE walk(id, d) AS (SELECT id, 0 FROM {urls} WHERE depth = 0 UNION SELECT l.to_url_id, d + 1 FROM walk JOIN {links} l ON l.from_url_id = walk.id WHERE d < 4 AND l.to_url_id IS NOT NULL) SELECT id, min(d) AS depth FROM walk GROUP BY id ORDER BY min(d), id LIMIT 120) r",
     "Z06_token_bucket": """SELECT unnest(ids) AS id, unnest((list_reduce(steps, lambda s, x: struct_pack(t := x.t, tokens := least(s.tokens + 0.5 * (x.t - s.t), 3.0) - if(least(s.tokens + 0.5 * (x.t - s.t), 3.0) >= 1, 1.0, 0.0), flags := list_append(s.flags, least(s.tokens + 0.5 * (x.t - s.t), 3.0) >= 1)))).flags) AS allowed FROM (

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator, Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .operators.analyzers import ANALYZERS, COLUMNS, FILTER_PLANS, ISSUE_PLANS, LASTMOD_VALID, filtered
+from .operators.arrivals import ARRIVALS
 from .operators.crawl import STATEFUL
 from .operators.documents import FUNCTIONS
 from .operators.passes import Analyzer, plans_of, shared_issues
@@ -16,7 +17,7 @@ from .plans import CRAWL, Catalog
 from .plans.oracles import DUCK
 
 PLANS = ANALYZERS | FILTER_PLANS | shared_issues(LASTMOD_VALID) | ISSUE_PLANS | REPORTS | SEGMENTS | GRAPH | SCALARS
-COMPUTED = FUNCTIONS | STATEFUL | WALKS
+COMPUTED = FUNCTIONS | STATEFUL | WALKS | ARRIVALS
 CATALOG = Catalog(PLANS, DUCK, BY_STEPS)
 #: Plans and computed tables that stand for an operator; the others are their parts.
 PARTS = ("wide", "url_parts", "url_flags", "amp_links", "page_texts", "page_facts", "page_state", "overview", "first_inlink", "prefixes", "node_ids", "structured_items", "templates", "hops")
