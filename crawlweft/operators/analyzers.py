@@ -107,6 +107,10 @@ ANALYZERS = {
         images_without_alt + unlabelled + heading_skips + aria_issues + CASE WHEN has_lang THEN 0 ELSE 1 END AS total_issues, greatest(0, 100 - 5 * images_without_alt - 10 * unlabelled - 5 * heading_skips - 5 * aria_issues - CASE WHEN has_lang THEN 0 ELSE 10 END) AS score FROM ({_accessibility('{page_html}')}) a""",
     # all that is looked for in a page's text, in one pass
     "page_texts": f"SELECT * FROM ({_accessibility(f'({_mobile(f"({_amp('{page_html}')})")})')}) p",
+    # with the columns that only displays have
+    "pagespeed_shown": """SELECT *, format_number(lcp_ms / 1000, '0.0') || 's' AS lcp, format_number(inp_ms, '0') || 'ms' AS inp, CASE WHEN cls = 0 THEN '0' ELSE regexp_replace(cast(cast(cls AS decimal(30, 17)) AS string), '[.]?0+$', '') END AS cls_text, format_number(fcp_ms / 1000, '0.0') || 's' AS fcp, format_number(ttfb_ms, '0') || 'ms' AS ttfb FROM {pagespeed_result}""",
+    "sitemaps_shown": "SELECT *, CASE WHEN in_sitemap THEN 'sitemap_entry' ELSE '' END AS type, CASE WHEN in_sitemap AND in_crawl THEN 'OK' WHEN in_sitemap THEN 'Orphan' ELSE 'Not In Sitemap' END AS status FROM {sitemaps}",
+    "hreflang_shown": "SELECT h.*, CASE WHEN h.is_self THEN '' WHEN b.url IS NOT NULL THEN 'Yes' WHEN t.url IS NOT NULL THEN 'No' ELSE 'Unknown' END AS return_link FROM {hreflang_rows} h LEFT JOIN (SELECT DISTINCT url, href FROM {hreflangs}) b ON b.url = h.href AND b.href = h.url LEFT JOIN (SELECT DISTINCT url FROM {urls}) t ON t.url = h.href",
     "pagespeed_result": """SELECT url_id, url, score, lcp_ms, cls, inp_ms, fcp_ms, ttfb_ms, CASE WHEN score >= 90 THEN 'Good' WHEN score >= 50 THEN 'Needs Improvement' ELSE 'Poor' END AS status FROM {pagespeed}""",
 }
 
@@ -136,6 +140,8 @@ FILTERS = {
 }
 
 
+#: Analyzers whose displays have columns of their own.
+SHOWN = {"pagespeed_result": "pagespeed_shown", "sitemaps": "sitemaps_shown", "hreflang_rows": "hreflang_shown"}
 #: Display title -> column, in order, by analyzer.
 COLUMNS = {
     "response_codes": {"Address": "url", "Status Code": "status_code", "Status": "status", "Redirect URL": "redirect_url", "Redirect Type": "redirect_type", "Chain Length": "chain_length", "Response Time": "response_time"},

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import html, robots, rules, sitemap, structured
 from ..functions.cells import cells
-from .analyzers import COLUMNS
 
 Tables = Callable[[str], DataFrame]
 
@@ -112,11 +111,7 @@ def issue_export(t: Tables) -> DataFrame:
     return t("issues").select(*(F.col(c).alias(name) for c, name in titles), F.initcap(F.translate("issue_code", "_", " ")).alias("Message"))
 
 
-def shown_titles(t: Tables) -> DataFrame:
-    return t("page_titles").select(*(F.col(key).alias(title) for title, key in COLUMNS["page_titles"].items()))
-
-
 FUNCTIONS: dict[str, Callable[[Tables], DataFrame]] = {
     "structured_items": structured_items, "D01_parsed_pages": parsed_pages, "D04_parsed_links": parsed_links, "D05_parsed_images": parsed_images, "S17_robots_rules": robots_rules, "S17_robots_sources": robots_sources, "D07_robots_allowed": robots_allowed,
-    "D08_meta_robots": meta_robots, "D09_x_robots": x_robots, "S16_sitemap_entries": sitemap_entries, "custom_search": custom_search, "Q07_search_rows": search_rows, "custom_extraction": custom_extraction, "D06_bounded_pages": bounded_pages, "K12_issue_export": issue_export, "K10_shown_titles": shown_titles, "K17_cells": lambda t: cells(t("pagespeed_result")), "Q12_extraction_rows": extraction_rows,
+    "D08_meta_robots": meta_robots, "D09_x_robots": x_robots, "S16_sitemap_entries": sitemap_entries, "custom_search": custom_search, "Q07_search_rows": search_rows, "custom_extraction": custom_extraction, "D06_bounded_pages": bounded_pages, "K12_issue_export": issue_export, "K17_cells": lambda t: cells(t("pagespeed_result")), "Q12_extraction_rows": extraction_rows,
 }

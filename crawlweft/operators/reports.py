@@ -201,7 +201,8 @@ SCALARS = {
     "F05_include_exclude": "SELECT id, url FROM {urls} WHERE NOT RX(url, '[?]utm_') AND (RX(url, '/[a-z]') OR RX(url, '^https'))",
     "F06_extensions": f"SELECT id, url FROM {{urls}} WHERE lower(regexp_extract(path, '[.]([A-Za-z0-9]+)$', 1)) NOT IN ({', '.join(map(repr, _EXTENSIONS))})",
     # what an open tab shows: kinds of content, links and pages
-    "F09_quick_filters": "SELECT w.url_id, CASE WHEN content_type LIKE '%html%' THEN 'HTML' WHEN content_type LIKE '%javascript%' THEN 'JavaScript' WHEN content_type LIKE '%css%' THEN 'CSS' WHEN content_type LIKE 'image/%' THEN 'Images' WHEN content_type LIKE '%pdf%' THEN 'PDF' ELSE 'Other' END AS kind, CASE WHEN coalesce(meta_description, '') = '' THEN 'Missing' ELSE 'Present' END AS meta FROM {wide} w",
+    "F09_quick_filters": "SELECT u.id AS url_id, CASE WHEN f.content_type LIKE '%html%' THEN 'HTML' WHEN f.content_type LIKE '%javascript%' THEN 'JavaScript' WHEN f.content_type LIKE '%css%' THEN 'CSS' WHEN f.content_type LIKE 'image/%' THEN 'Images' WHEN f.content_type LIKE '%pdf%' THEN 'PDF' ELSE 'Other' END AS kind, CASE WHEN coalesce(h.meta_keywords, '') = '' THEN 'Missing' ELSE 'Present' END AS keywords, CASE WHEN d.noindex THEN 'Noindex' ELSE 'Index' END AS indexed, CASE WHEN d.nofollow THEN 'Nofollow' ELSE 'Follow' END AS followed FROM {urls} u LEFT JOIN {latest_fetch} f ON f.url_id = u.id LEFT JOIN {html_features} h ON h.url_id = u.id LEFT JOIN {directives} d ON d.url_id = u.id",
+    "F09_link_filters": "SELECT id, CASE WHEN is_internal THEN 'Internal' ELSE 'External' END AS place, CASE WHEN is_follow THEN 'Follow' ELSE 'Nofollow' END AS followed FROM {links}",
     "F10_response_classes": "SELECT id, status_code BETWEEN 200 AND 299 AS ok, status_code BETWEEN 300 AND 399 AS redirect, status_code BETWEEN 400 AND 499 AS client_error, status_code >= 500 AS server_error, content_type LIKE 'text/html%' OR content_type LIKE 'application/xhtml%' AS is_html FROM {fetches}",
     # a hop is followed if the policy says so: none, to the same host, any
     "redirect_policy": "SELECT id, RX(start_url, '^https?://') AND false AS no_follow, regexp_extract(start_url, '^https?://([^/?#]+)', 1) = regexp_extract(final_url, '^https?://([^/?#]+)', 1) AS follow_same, true AS follow FROM {redirect_chains}",

