@@ -11,7 +11,7 @@ _SEVERITY = "CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'mediu
 _TEXTS = {200: "OK", 201: "Created", 204: "No Content", 301: "Moved Permanently", 302: "Found", 304: "Not Modified", 307: "Temporary Redirect", 308: "Permanent Redirect", 400: "Bad Request", 401: "Unauthorized", 403: "Forbidden", 404: "Not Found", 410: "Gone", 500: "Internal Server Error", 502: "Bad Gateway", 503: "Service Unavailable"}
 _STATUS_TEXT = f"CASE {' '.join(f"WHEN status_code = {k} THEN '{v}'" for k, v in _TEXTS.items())} WHEN status_code BETWEEN 200 AND 299 THEN 'Success' WHEN status_code BETWEEN 300 AND 399 THEN 'Redirect' WHEN status_code BETWEEN 400 AND 499 THEN 'Client Error' WHEN status_code >= 500 THEN 'Server Error' ELSE 'Unknown' END"
 #: Extensions that a crawl leaves out by default.
-_EXTENSIONS = "pdf doc docx xls xlsx ppt pptx zip rar tar gz 7z mp3 mp4 avi mov wmv flv jpg jpeg png gif bmp ico svg webp css js woff woff2 ttf eot".split()
+EXTENSIONS = "pdf doc docx xls xlsx ppt pptx zip rar tar gz 7z mp3 mp4 avi mov wmv flv jpg jpeg png gif bmp ico svg webp css js woff woff2 ttf eot".split()
 
 
 #: Digits only, or 32 bytes and more of which over nine in ten are hexadecimal digits or dashes.
@@ -199,7 +199,7 @@ SCALARS = {
     "X25_progress": "SELECT total, done, percent, rate, CASE WHEN rate = 0 OR done >= total THEN 0.0e0 ELSE (total - done) / rate END AS eta_s FROM (SELECT total, done, CASE WHEN total = 0 THEN 0.0e0 ELSE 100.0e0 * done / total END AS percent, CASE WHEN secs > 0 THEN done / secs ELSE 0.0e0 END AS rate FROM (SELECT count(*) AS total, count_if(crawl_status <> 'pending') AS done, (SELECT (UNIX(cast(max(fetched_at) AS timestamp)) - UNIX(cast(min(fetched_at) AS timestamp))) / 1000000.0e0 FROM {fetches}) AS secs FROM {urls}) u) x",
     "F03_text_search": "SELECT url_id, url, title FROM {wide} WHERE lower(coalesce(title, '') || ' ' || url) LIKE '%the%'",
     "F05_include_exclude": "SELECT id, url FROM {urls} WHERE NOT RX(url, '[?]utm_') AND (RX(url, '/[a-z]') OR RX(url, '^https'))",
-    "F06_extensions": f"SELECT id, url FROM {{urls}} WHERE lower(regexp_extract(path, '[.]([A-Za-z0-9]+)$', 1)) NOT IN ({', '.join(map(repr, _EXTENSIONS))})",
+    "F06_extensions": f"SELECT id, url FROM {{urls}} WHERE lower(regexp_extract(path, '[.]([A-Za-z0-9]+)$', 1)) NOT IN ({', '.join(map(repr, EXTENSIONS))})",
     # what an open tab shows: kinds of content, links and pages
     "F09_quick_filters": "SELECT u.id AS url_id, CASE WHEN f.content_type LIKE '%html%' THEN 'HTML' WHEN f.content_type LIKE '%javascript%' THEN 'JavaScript' WHEN f.content_type LIKE '%css%' THEN 'CSS' WHEN f.content_type LIKE 'image/%' THEN 'Images' WHEN f.content_type LIKE '%pdf%' THEN 'PDF' ELSE 'Other' END AS kind, CASE WHEN coalesce(h.meta_keywords, '') = '' THEN 'Missing' ELSE 'Present' END AS keywords, CASE WHEN d.noindex THEN 'Noindex' ELSE 'Index' END AS indexed, CASE WHEN d.nofollow THEN 'Nofollow' ELSE 'Follow' END AS followed FROM {urls} u LEFT JOIN {latest_fetch} f ON f.url_id = u.id LEFT JOIN {html_features} h ON h.url_id = u.id LEFT JOIN {directives} d ON d.url_id = u.id",
     "F09_link_filters": "SELECT id, CASE WHEN is_internal THEN 'Internal' ELSE 'External' END AS place, CASE WHEN is_follow THEN 'Follow' ELSE 'Nofollow' END AS followed FROM {links}",

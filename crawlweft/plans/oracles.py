@@ -135,6 +135,19 @@ DUCK = {
     "K05_append_links": "SELECT v AS version, id, from_url_id, to_url FROM {links} JOIN (SELECT unnest([1, 2, 3])::bigint AS v) x ON from_url_id % 3 < v",
     "K06_append_issues": "SELECT url_id, issue_code, count(*) AS n FROM {issues} GROUP BY ALL",
     "K09_sessions": "SELECT host AS id, min(url) AS start_url, if(bool_or(crawl_status = 'pending'), 'running', 'completed') AS status, count(*) FILTER (crawl_status = 'crawled') AS crawled_urls, count(*) FILTER (crawl_status = 'failed') AS failed_urls, '2024-01-02' AS last_checkpoint, if(bool_or(crawl_status = 'pending'), NULL, '2024-01-03') AS completed_at FROM {urls} GROUP BY host",
+    "F05_url_rules": r"""SELECT id, url FROM {urls} WHERE depth <= 3 AND NOT regexp_matches(url, '[?]utm_|/t1') AND regexp_matches(url, '/[a-z]+[-/]|[.]html$') AND NOT regexp_matches(split_part(split_part(url, '#', 1), '?', 1), '(?i)[^/]/.*\.(pdf|docx?|xlsx?|pptx?|zip|rar|tar|gz|7z|mp3|mp4|avi|mov|wmv|flv|jpe?g|png|gif|bmp|ico|svg|webp|css|js|woff2?|ttf|eot)$')
+        AND len(string_split(if(contains(split_part(url, '#', 1), '?'), substr(split_part(url, '#', 1), strpos(url, '?') + 1), ''), '&')) <= 3""",
+    "S14_pending_list": "SELECT id, url, depth FROM {urls} WHERE crawl_status = 'pending' AND id % 10 <> 9 ORDER BY depth, id LIMIT 100",
+    "F07_graph_nodes": "SELECT * FROM (SELECT w.url_id, w.url, w.depth, w.status_code, (SELECT count(*) FROM {links} l WHERE l.to_url_id = w.url_id) AS in_links FROM {wide} w WHERE w.is_internal AND w.depth <= 2 AND w.is_indexable AND (w.status_code IS NULL OR (w.status_code BETWEEN 200 AND 399 AND w.content_type LIKE 'text/html%'))) x WHERE in_links >= 2 ORDER BY url_id LIMIT 1000",
+    "O05_first_nodes": "SELECT w.url_id, w.url, w.depth, w.status_code, (SELECT count(*) FROM {links} l WHERE l.to_url_id = w.url_id) AS in_links FROM {wide} w WHERE w.is_internal AND coalesce(w.status_code, 0) <= 599 ORDER BY w.url_id LIMIT 1000",
+    "F07_graph_edges": "SELECT l.from_url_id AS source, l.to_url_id AS target, count(*) AS weight FROM {links} l JOIN {urls} a ON a.id = l.from_url_id JOIN {urls} b ON b.id = l.to_url_id WHERE a.is_internal AND b.is_internal AND a.depth <= 2 AND b.depth <= 2 GROUP BY ALL",
+    "tree_status": "SELECT p.prefix AS full_path, max(p.k)::bigint AS level, coalesce(arg_max(f.status_code, p.id) FILTER (p.is_page AND f.status_code IS NOT NULL), 0) AS status_code FROM {prefixes} p LEFT JOIN {latest_fetch} f ON f.url_id = p.id WHERE p.prefix <> '' GROUP BY p.prefix",
+    "F08_tree_by_status": "SELECT * FROM {tree_status} WHERE status_code // 100 = 2",
+    "F08_tree_by_depth": "SELECT * FROM {tree_status} WHERE level = 2",
+    "G19_user_segments": r"""SELECT r.id, r.name AS segment, count(w.url_id) AS n, coalesce(sum(w.response_time_ms), 0)::double / greatest(count(w.url_id), 1) AS avg_response_ms, coalesce(sum(w.word_count), 0)::double / greatest(count(w.url_id), 1) AS avg_words, coalesce(sum(w.depth), 0)::double / greatest(count(w.url_id), 1) AS avg_depth,
+        count(*) FILTER (w.is_indexable) AS indexable, count(*) FILTER (w.status_code // 100 = 2) AS ok, count(*) FILTER (w.status_code // 100 = 3) AS redirects, count(*) FILTER (w.status_code // 100 = 4) AS client_errors
+        FROM (VALUES ('custom_blog___news', 'Blog / news'), ('custom_paged', 'Paged'), ('custom_no_such_page', 'No such page'), ('custom_documents', 'Documents'), ('custom_other', 'Other')) r(id, name)
+        LEFT JOIN (SELECT *, if(regexp_matches(url, '/blog|blog\.'), 'Blog / news', if(contains(url, '?page='), 'Paged', if(contains(url, '.html'), 'Documents', 'Other'))) AS name FROM {wide} WHERE is_internal) w ON w.name = r.name GROUP BY r.id, r.name""",
     "N02_bfs_subgraph": "SELECT * FROM (WITH RECURSIVE walk(id, d) AS (SELECT 0::bigint, 0 UNION SELECT e.target, d + 1 FROM walk JOIN {G27_edges} e ON e.source = walk.id WHERE d < 3) SELECT w.id, min(w.d) AS d, any_value(u.url) AS url FROM walk w JOIN {urls} u ON u.id = w.id GROUP BY w.id) r",
     "Z01_crawl_levels": "SELECT * FROM (WITH RECURSIVE walk(id, d) AS (SELECT id, 0 FROM {urls} WHERE depth = 0 UNION SELECT l.to_url_id, d + 1 FROM walk JOIN {links} l ON l.from_url_id = walk.id WHERE d < 4 AND l.to_url_id IS NOT NULL) SELECT id, min(d) AS depth FROM walk GROUP BY id ORDER BY min(d), id LIMIT 120) r",
     "Z06_token_bucket": """SELECT unnest(ids) AS id, unnest((list_reduce(steps, lambda s, x: struct_pack(t := x.t, tokens := least(s.tokens + 0.5 * (x.t - s.t), 3.0) - if(least(s.tokens + 0.5 * (x.t - s.t), 3.0) >= 1, 1.0, 0.0), flags := list_append(s.flags, least(s.tokens + 0.5 * (x.t - s.t), 3.0) >= 1)))).flags) AS allowed FROM (

@@ -11,6 +11,7 @@ from .operators.arrivals import ARRIVALS
 from .operators.crawl import STATEFUL
 from .operators.documents import FUNCTIONS
 from .operators.measured import MEASURED
+from .operators.options import OPTIONS
 from .operators.passes import Analyzer, plans_of, shared_issues
 from .operators.reports import BY_STEPS, GRAPH, REPORTS, SCALARS, SEGMENTS
 from .operators.walks import WALKS
@@ -18,7 +19,7 @@ from .plans import CRAWL, Catalog
 from .plans.oracles import DUCK
 
 PLANS = ANALYZERS | FILTER_PLANS | shared_issues(LASTMOD_VALID) | ISSUE_PLANS | REPORTS | SEGMENTS | GRAPH | SCALARS
-COMPUTED = FUNCTIONS | STATEFUL | WALKS | ARRIVALS | MEASURED
+COMPUTED = FUNCTIONS | STATEFUL | WALKS | ARRIVALS | MEASURED | OPTIONS
 CATALOG = Catalog(PLANS, DUCK, BY_STEPS)
 #: Plans and computed tables that stand for an operator; the others are their parts.
 PARTS = ("wide", "url_parts", "url_flags", "amp_links", "page_texts", "page_facts", *SHOWN.values(), "page_state", "overview", "first_inlink", "prefixes", "node_ids", "structured_items", "templates", "hops")

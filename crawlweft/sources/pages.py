@@ -1,6 +1,7 @@
 """From fetched pages to the tables of a crawl.
 
-Input: a row for each response with id, url, html and, where known, the columns of RESPONSE. Every page is parsed once, in
+Input: a row for each response with id, url, html and, where known, the columns of RESPONSE, or headers (a map of name to values) that
+tell x_robots and location. Responses with locations make redirect chains. Every page is parsed once, in
 Arrow batches; the parsed rows are checkpointed, and all tables are projections and joins of them.
 """
 
@@ -12,13 +13,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.html import Limits, parsed_page
 from ..functions.sitemap import parsed_sitemap
+from ..functions.speed import header
 from ..functions.url import normalized
 from ..operators.crawl import ensure_checkpoints
+from ..operators.walks import redirect_chains
 from ..plans import spelled
+from .store import headers_json
 
 #: Columns of a response, their types and what stands in for a missing one.
 RESPONSE = {
-    "status_code": ("int", 200), "content_type": ("string", "text/html"), "response_time_ms": ("long", 0), "fetched_at": ("timestamp", None), "x_robots": ("string", ""), "depth": ("int", 0),
+    "status_code": ("int", 200), "content_type": ("string", "text/html"), "response_time_ms": ("long", 0), "fetched_at": ("timestamp", None), "x_robots": ("string", ""), "location": ("string", ""), "depth": ("int", 0),
     "discovered_from": ("long", None), "in_sitemap": ("boolean", False), "crawl_status": ("string", "crawled"), "is_internal": ("boolean", True),
 }
 HOST = "^https?://([^/?#]+)"
@@ -37,7 +41,12 @@ def with_normal_form(df: DataFrame, column: str) -> DataFrame:
 def crawl_tables(responses: DataFrame, limits: Limits | None = None) -> dict[str, DataFrame]:
     """urls, fetches, html_features, links, resources, page_resources, hreflangs and page_html of the responses."""
     ensure_checkpoints(responses.sparkSession)
-    given = responses.select("id", "url", "html", *((F.col(c) if c in responses.columns else F.lit(v)).cast(t).alias(c) for c, (t, v) in RESPONSE.items()))
+    moved = "location" in responses.columns or "headers" in responses.columns
+    if "headers" in responses.columns:
+        told = {c: header(F.col("headers"), name) for c, name in (("x_robots", "X-Robots-Tag"), ("location", "Location"), ("content_type", "Content-Type")) if c not in responses.columns}
+        responses = responses.withColumns(told | {"headers_json": headers_json("headers")})
+    kept = [F.col("headers_json")] if "headers_json" in responses.columns else [F.lit(None).cast("string").alias("headers_json")]
+    given = responses.select("id", "url", "html", *((F.col(c) if c in responses.columns else F.lit(v)).cast(t).alias(c) for c, (t, v) in RESPONSE.items()), *kept)
     parsed = given.withColumn("p", F.when(F.col("html").isNotNull(), parsed_page("url", "html", limits))).checkpoint()
     host = lambda c: F.lower(F.regexp_extract(c, HOST, 1))
     urls = with_normal_form(parsed.select("id", "url", host(F.col("url")).alias("host"), F.regexp_extract("url", "^https?://[^/?#]+([^?#]*)", 1).alias("path"), "discovered_from", "depth", "crawl_status", "is_internal", "in_sitemap"), "url").checkpoint()
@@ -62,9 +71,9 @@ def crawl_tables(responses: DataFrame, limits: Limits | None = None) -> dict[str
     first = F.min_by(F.struct("resource_type", "alt", "width", "height", "is_async", "is_defer", "mime_type"), F.struct("url_id", "alt")).alias("f")
     resources = shown.groupBy("resource_id", "url").agg(first).join(fetched, "url", "left").select(F.col("resource_id").alias("id"), "url", "f.resource_type", F.coalesce("status_code", F.lit(0)).alias("status_code"), F.lit(0).cast("long").alias("size"), "f.alt", "f.width", "f.height", "f.is_async", "f.is_defer", "f.mime_type")
     return {
-        "urls": urls, "fetches": parsed.where("status_code > 0").select(F.col("id"), F.col("id").alias("url_id"), "status_code", "content_type", "response_time_ms", "fetched_at", "x_robots"), "html_features": features, "links": links, "resources": resources,
+        "urls": urls, "fetches": parsed.where("status_code > 0").select(F.col("id"), F.col("id").alias("url_id"), "status_code", "content_type", "response_time_ms", "fetched_at", "x_robots", "headers_json"), "html_features": features, "links": links, "resources": resources,
         "page_resources": shown.select("resource_id", "url_id").distinct(), "hreflangs": pages.select(F.col("id").alias("url_id"), "url", F.explode("p.hreflangs").alias("h")).select("url_id", "url", "h.hreflang", F.col("h.url").alias("href")), "page_html": pages.select(F.col("id").alias("url_id"), "url", "html"),
-    }
+    } | ({"redirect_chains": redirect_chains(parsed.select("url", "status_code", "location"))} if moved else {})
 
 
 def sitemap_urls(files: DataFrame, urls: DataFrame) -> DataFrame:
