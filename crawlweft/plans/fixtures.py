@@ -66,6 +66,10 @@ FIXTURES = {
         || CASE u.id % 8 WHEN 0 THEN '<script type="application/ld+json">{"@type": "Article", "headline": "h ' || cast(u.id AS TEXT) || '"}</script>' WHEN 1 THEN '<script type="application/ld+json">{"@type": "BreadcrumbList", "name": [1, 2]}</script><script type="application/ld+json">{"@type": ["Product", "Thing"]}</script>' WHEN 2 THEN '<script type="application/ld+json">{broken</script>' WHEN 3 THEN '<script type="application/ld+json">{"@graph": [{"@type": "WebSite"}, {"@type": "Organization"}]}</script><script type="application/ld+json">{"@type": "WebSite", "name": "n"}</script>' WHEN 4 THEN '<script type="application/ld+json">[{"@type": "FAQPage"}, "x"]</script><script type="application/ld+json">{"@type": "Product", "name": "p", "price": 9.5, "tags": ["a", "b"], "offers": {"seller": "s"}}</script>' ELSE '' END AS html
         FROM {urls} u JOIN {numbered_pages} p ON p.page_id = u.id JOIN {site_pages} t ON t.page_id = p.other_id""",
     "pagespeed": """SELECT id AS url_id, url, cast((id * 37) % 101 AS int) AS score, cast((id * 911) % 6000 AS double) AS lcp_ms, cast((id * 17) % 40 AS double) / 100 AS cls, cast((id * 131) % 700 AS double) AS inp_ms, cast((id * 77) % 3000 AS double) AS fcp_ms, cast((id * 13) % 900 AS double) AS ttfb_ms FROM {urls}""",
+    # an index of indexes that lead back to it, and sitemaps of a page each, some of them missing
+    "sitemap_tree": """SELECT 'https://root.example/index.xml' AS url, cast(200 AS int) AS status_code, '<sitemapindex>' || JOINED('<sitemap><loc>https://root.example/g' || cast(k AS TEXT) || '.xml</loc></sitemap>'; ''; k) || '</sitemapindex>' AS body FROM (SELECT DISTINCT id % 5 AS k FROM {urls}) g
+        UNION ALL SELECT 'https://root.example/g' || cast(id % 5 AS TEXT) || '.xml', 200, '<sitemapindex><sitemap><loc>https://root.example/index.xml</loc></sitemap>' || JOINED('<sitemap><loc>https://root.example/s' || cast(id AS TEXT) || '.xml</loc></sitemap>'; ''; id) || '</sitemapindex>' FROM {urls} GROUP BY id % 5
+        UNION ALL SELECT 'https://root.example/s' || cast(id AS TEXT) || '.xml', CASE WHEN id % 7 = 3 THEN 404 ELSE 200 END, '<urlset><url><loc>' || replace(url, '&', '&amp;') || '</loc></url></urlset>' FROM {urls}""",
     # recorded answers of the speed API: whole ones, some that lack audits, broken ones, numbers that are none, other statuses
     "psi_answers": """SELECT id AS url_id, url, cast(CASE WHEN id % 11 = 7 THEN 429 ELSE 200 END AS int) AS status_code, CASE id % 9 WHEN 4 THEN '{"lighthouseResult": {"categories"' WHEN 5 THEN '{}' WHEN 6 THEN '{"lighthouseResult": {"categories": {"performance": {"score": "high"}}, "audits": {}}}' WHEN 7 THEN '[1]'
         ELSE '{"id": "x", "lighthouseResult": {"categories": {"performance": {"score": 0.' || lpad(cast((id * 37) % 100 AS TEXT), 2, '0') || '}}, "audits": {"largest-contentful-paint": {"numericValue": ' || cast((id * 911) % 6000 AS TEXT) || '.5, "displayValue": "x"}, "cumulative-layout-shift": {"numericValue": 0.' || lpad(cast((id * 17) % 40 AS TEXT), 2, '0') || '}, "first-contentful-paint": {"numericValue": ' || cast((id * 77) % 3000 AS TEXT) || '}, "server-response-time": {"numericValue": ' || cast((id * 13) % 900 AS TEXT) || '}'
@@ -80,4 +84,4 @@ FIXTURES = {
 }
 
 #: Fixtures whose text DuckDB reads in another form.
-BY_STEPS = {"urls": _urls(normalized_by_steps)}
+BY_STEPS = {"urls": _urls(normalized_by_steps), "listed": normalized_by_steps("SELECT id, to_url FROM {links}", "to_url")}

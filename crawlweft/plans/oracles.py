@@ -148,6 +148,8 @@ DUCK = {
         count(*) FILTER (w.is_indexable) AS indexable, count(*) FILTER (w.status_code // 100 = 2) AS ok, count(*) FILTER (w.status_code // 100 = 3) AS redirects, count(*) FILTER (w.status_code // 100 = 4) AS client_errors
         FROM (VALUES ('custom_blog___news', 'Blog / news'), ('custom_paged', 'Paged'), ('custom_no_such_page', 'No such page'), ('custom_documents', 'Documents'), ('custom_other', 'Other')) r(id, name)
         LEFT JOIN (SELECT *, if(regexp_matches(url, '/blog|blog\.'), 'Blog / news', if(contains(url, '?page='), 'Paged', if(contains(url, '.html'), 'Documents', 'Other'))) AS name FROM {wide} WHERE is_internal) w ON w.name = r.name GROUP BY r.id, r.name""",
+    "S23_sitemap_seeds": "SELECT url, min('https://root.example/s' || id || '.xml') AS sitemap, 2 AS depth FROM {urls} WHERE id % 7 <> 3 GROUP BY url",
+    "S23_list_seeds": "SELECT arg_min(to_url, id) AS url, normalized_url FROM {listed} GROUP BY normalized_url",
     "N02_bfs_subgraph": "SELECT * FROM (WITH RECURSIVE walk(id, d) AS (SELECT 0::bigint, 0 UNION SELECT e.target, d + 1 FROM walk JOIN {G27_edges} e ON e.source = walk.id WHERE d < 3) SELECT w.id, min(w.d) AS d, any_value(u.url) AS url FROM walk w JOIN {urls} u ON u.id = w.id GROUP BY w.id) r",
     "Z01_crawl_levels": "SELECT * FROM (WITH RECURSIVE walk(id, d) AS (SELECT id, 0 FROM {urls} WHERE depth = 0 UNION SELECT l.to_url_id, d + 1 FROM walk JOIN {links} l ON l.from_url_id = walk.id WHERE d < 4 AND l.to_url_id IS NOT NULL) SELECT id, min(d) AS depth FROM walk GROUP BY id ORDER BY min(d), id LIMIT 120) r",
     "Z06_token_bucket": """SELECT unnest(ids) AS id, unnest((list_reduce(steps, lambda s, x: struct_pack(t := x.t, tokens := least(s.tokens + 0.5 * (x.t - s.t), 3.0) - if(least(s.tokens + 0.5 * (x.t - s.t), 3.0) >= 1, 1.0, 0.0), flags := list_append(s.flags, least(s.tokens + 0.5 * (x.t - s.t), 3.0) >= 1)))).flags) AS allowed FROM (

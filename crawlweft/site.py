@@ -17,9 +17,10 @@ from .operators.reports import BY_STEPS, GRAPH, REPORTS, SCALARS, SEGMENTS
 from .operators.walks import WALKS
 from .plans import CRAWL, Catalog
 from .plans.oracles import DUCK
+from .sources.seeds import SEEDS
 
 PLANS = ANALYZERS | FILTER_PLANS | shared_issues(LASTMOD_VALID) | ISSUE_PLANS | REPORTS | SEGMENTS | GRAPH | SCALARS
-COMPUTED = FUNCTIONS | STATEFUL | WALKS | ARRIVALS | MEASURED | OPTIONS
+COMPUTED = FUNCTIONS | STATEFUL | WALKS | ARRIVALS | MEASURED | OPTIONS | SEEDS
 CATALOG = Catalog(PLANS, DUCK, BY_STEPS)
 #: Plans and computed tables that stand for an operator; the others are their parts.
 PARTS = ("wide", "url_parts", "url_flags", "amp_links", "page_texts", "page_facts", *SHOWN.values(), "page_state", "overview", "first_inlink", "prefixes", "node_ids", "structured_items", "templates", "hops")
