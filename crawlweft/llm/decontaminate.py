@@ -8,13 +8,14 @@ wide or more and each diagonal in two bands; bands at the bound are verified by
 q is chosen for each item as the largest of SIZES that leaves a bound of at least MINIMUM hits. Shorter items (normal form
 below LEAST bytes) are searched too, without edits and from word to word, by hashes of as many words as they have.
 Longer ones than twice LONG are searched by their pieces of LONG bytes or a little more, each with its own budget: by the pigeonhole
-principle one of them is within it wherever the whole is.
+principle one of them is within it wherever the whole is. Where a piece is found, the whole item is aligned around it, within the
+whole's budget; a piece alone is no occurrence.
 
 An index covers items of at most INDEX bytes. A larger benchmark has several, built one after the other in each task
 against HELD bytes of documents at a time, so the corpus is read once and a task's memory does not grow with the benchmark.
 
 Defined cases: null or empty texts and items match nothing; equal items each give rows; a document that holds an item
-twice gives one row with the best occurrence (of a long item, of its best piece; item_chars is the piece's); repeated documents give a row each, also without a doc_id; items and texts
+twice gives one row with the best occurrence; repeated documents give a row each, also without a doc_id; items and texts
 may be of any length; columns beside doc_id, text and item_id, text are not read (clean() passes them on).
 """
 
@@ -90,6 +91,40 @@ def aligned(item: np.ndarray, text: np.ndarray, band: int, k: int) -> tuple[int,
     return (int(cost[best]), int(start[best]), m + best) if cost[best] <= k else None
 
 
+def furthest(item: np.ndarray, text: np.ndarray, span: int, k: int) -> tuple[int, int, int] | None:
+    """aligned() for long items, by edits instead of rows: for each diagonal how far the item can be read with so many edits.
+
+    Text indices are item indices plus 0 to span - 1 diagonals. A near copy takes as many rounds as it has edits.
+    """
+    m, n = len(item), len(text)
+    # eight bytes at a time; what pads the ends equals nothing in a normal form
+    left, right = words_at(np.append(item, np.zeros(16, np.uint8))), words_at(np.append(text, np.full(span + m + 16, 255, np.uint8)))
+    d = np.arange(span)
+    most = np.minimum(m, n - d)
+
+    def slid(at: np.ndarray) -> np.ndarray:
+        go = np.flatnonzero((at >= 0) & (at < most))
+        while len(go):
+            apart = left[at[go]] ^ right[at[go] + d[go]]
+            step = np.where(apart == 0, 8, np.bitwise_count((apart & (~apart + U64(1))) - U64(1)).astype(np.int64) // 8)
+            at[go] = np.minimum(at[go] + step, most[go])
+            go = go[(step == 8) & (at[go] < most[go])]
+        return at
+
+    at, start = slid(np.where(most >= 0, 0, -1)), d.copy()
+    for edits in range(k + 1):
+        if (at >= m).any():
+            best = int(np.argmax(at >= m))
+            return edits, int(start[best]), m + best
+        # a byte of both, of the item, or of the text is passed over
+        ways = np.stack((at + 1, np.append(at[1:] + 1, -1), np.append(-1, at[:-1])))
+        ways[0][at < 0] = -1
+        which = np.argmax(ways, axis=0)
+        start = np.stack((start, np.append(start[1:], 0), np.append(0, start[:-1])))[which, d]
+        at = slid(np.where(most >= 0, np.minimum(ways[which, d], most), -1))
+    return None
+
+
 def _runs(data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, first bytes and ends of all runs of n words in data, which ends in a space."""
     first, end = word_spans(data)
@@ -105,13 +140,15 @@ class Index:
     """All q-grams of a set of items: for each q a sorted array, a bitmap for a first look, and where each occurs; short items by word counts."""
 
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
-        self.items, self.whole = [], []  # (item_id, piece), and which of the given items it is of
+        self.items, self.whole, self.offset = [], [], []  # (item_id, piece), which of the given items it is of, and where
         given = [(i, t, n) for i, t in items if (n := normal(t))]
+        self.ids, self.texts = [i for i, _, _ in given], [np.frombuffer(n, np.uint8) for _, _, n in given]
         for k, (i, _, n) in enumerate(given):
             cuts = [*range(0, len(n) - LONG + 1, LONG), len(n)] if len(n) >= 2 * LONG else [0, len(n)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 self.items.append((i, np.frombuffer(n[a:b], np.uint8)))
                 self.whole.append(k)
+                self.offset.append(a)
         self.sizes = np.array([len(n) for _, n in self.items], np.int64)
         self.budgets = np.array([budget(int(m)) for m in self.sizes], np.int64)
         self.tables, self.short = {}, {}
@@ -158,7 +195,26 @@ class Index:
                     for k, text in known[int(h[x])]:
                         if whole[a:b] == text:
                             low = a - int(starts[t]) - int(gaps[a] - gaps[starts[t]])
-                            yield t, k, 0, low, low + len(self.items[k][1])
+                            yield t, self.whole[k], 0, low, low + len(self.items[k][1])
+
+    def _whole_match(self, of: int, text: np.ndarray, at: int) -> tuple[int, int, int] | None:
+        """The best occurrence of a whole item whose start lies within its budget of `at`, twice: (edits, start, end)."""
+        item = self.texts[of]
+        k = budget(len(item))
+        # all diagonals that an occurrence may start on, and its budget on both sides
+        a, b = at - 3 * k, min(len(text), at + len(item) + 4 * k)
+        window = text[max(a, 0) : b]
+        if len(window) < len(item) - k:
+            return None
+        # the lemma for the whole item: most of what holds a piece only ends here
+        q = SIZES[0]
+        mine, there = (np.unique(grams(np.append(x, np.zeros(8, np.uint8)), q), return_counts=True) for x in (item, window))
+        _, i, j = np.intersect1d(mine[0], there[0], assume_unique=True, return_indices=True)
+        if np.minimum(mine[1][i], there[1][j]).sum() < len(item) + 1 - q - k * q:
+            return None
+        before = max(-a, 0)
+        got = furthest(item, np.append(np.zeros(before, np.uint8), window), 6 * k + 1, k)
+        return got and (got[0], max(a + got[1], 0), a + got[2])
 
     def _bands(self, data: np.ndarray, q: int) -> set[tuple[int, int, int]]:
         """(item, first diagonal, span) of the bands at the lemma's bound."""
@@ -195,8 +251,9 @@ class Index:
         return found
 
     def matches(self, texts: list[bytes | None]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text index, item index, edits, start, end in the normal form)."""
+        """(text index, index of the given item, edits, start, end in the normal form)."""
         yield from self._short_matches(texts)
+        tried: dict[tuple[int, int], list[int]] = {}
         plain = [normal(t) for t in texts]
         starts = np.concatenate(([0], np.cumsum([len(p) + 1 for p in plain])))
         data = np.frombuffer(b"\n".join([*plain, b"\0" * 8]), np.uint8)
@@ -213,8 +270,17 @@ class Index:
                     if b - a - before >= m - k:
                         # the band of the window that starts at a: all diagonals of the bucket and the budget on both sides
                         got = aligned(self.items[i][1], np.append(np.zeros(before, np.uint8), data[a + before : b]), span + 2 * k + 1, k)
-                        if got:
-                            yield t, i, got[0], max(a + got[1] - first, 0), a + got[2] - first
+                        of = self.whole[i]
+                        if got and m == len(self.texts[of]):
+                            yield t, of, got[0], max(a + got[1] - first, 0), a + got[2] - first
+                        elif got:
+                            # pieces of one occurrence point to starts within its budget: the whole is aligned once for them
+                            at, seen = a + got[1] - first - self.offset[i], tried.setdefault((t, of), [])
+                            if all(abs(at - x) > k for x in seen):
+                                seen.append(at)
+                                found = self._whole_match(of, np.frombuffer(plain[t], np.uint8), at)
+                                if found:
+                                    yield t, of, *found
 
 
 def _distinct(key: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +309,7 @@ def _scanned(batches: Iterator[pa.RecordBatch], sets: list[Broadcast]) -> Iterat
     def hits(index: Index, batch: pa.RecordBatch) -> list[tuple]:
         best: dict[tuple[int, int], tuple] = {}
         for t, i, e, a, b in index.matches(batch["text"].cast(pa.large_binary()).to_pylist()):
-            key, found = (t, index.whole[i]), (e, a, b, index.items[i][0], len(index.items[i][1]))
+            key, found = (t, i), (e, a, b, index.ids[i], len(index.texts[i]))
             best[key] = min(best.get(key, found), found)
         return [(t, item, e, m, a, b) for (t, _), (e, a, b, item, m) in best.items()]
 

@@ -157,7 +157,7 @@ def test_lemma_loses_no_occurrence_within_the_budget(spark):
         texts.append((letter(rng.integers(0, 300)) + "".join(chars) + letter(rng.integers(0, 300))).encode())
         if semi_global(t.encode(), texts[-1]) <= decontaminate.budget(len(t)):
             want.add((k, i))
-    got = {(k, index.items[i][0]) for k, i, *_ in index.matches(texts)}
+    got = {(k, index.ids[i]) for k, i, *_ in index.matches(texts)}
     assert got == want
     docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, texts[0].decode(), 0)], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -165,14 +165,56 @@ def test_lemma_loses_no_occurrence_within_the_budget(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).collect() == [] and decontaminate.clean(docs.limit(0), bench).collect() == []
 
 
+def test_long_items_are_found_whole_or_not_at_all(spark):
+    rng = np.random.default_rng(8)
+    letter = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+
+    def edited(text, edits, low, high):
+        chars = list(text)
+        for _ in range(edits):
+            at = int(rng.integers(low, min(high, len(chars))))
+            match rng.integers(0, 3):
+                case 0: chars[at] = letter(1)
+                case 1: del chars[at]
+                case _: chars.insert(at, letter(1))
+        return "".join(chars)
+
+    items, rest = [letter(2048), letter(2500), letter(3071), letter(10_240)], lambda: letter(int(rng.integers(0, 400)))
+    cases = [(i, part) for i, t in enumerate(items) for part in (t[1024:2048], t[: len(t) // 2], t[len(t) // 8 :], t[: -len(t) // 8], t, t[50:], t[:-50])]
+    # edits all over, at one place, within the budget and just beyond
+    cases += [(i, edited(t, int(n * decontaminate.budget(len(t))), low, high)) for i, t in enumerate(items) for n in (0.3, 0.9, 1.2) for low, high in ((0, len(t)), (1024, 1500))]
+    texts = [(rest() + part + rest()).encode() for _, part in cases] + [b"", b"x", (items[0] + items[1]).encode(), (items[0] + letter(90) + items[0]).encode()]
+    index = decontaminate.Index([(i, t.encode()) for i, t in enumerate(items)])
+    got = {}
+    for k, of, e, a, b in index.matches(texts):
+        got[k, of] = min(got.get((k, of), (e, a, b)), (e, a, b))
+    for k, text in enumerate(texts):
+        for i, t in enumerate(items[:3] if k >= len(cases) else [items[cases[k][0]]]):
+            i = i if k >= len(cases) else cases[k][0]
+            limit = decontaminate.budget(len(t))
+            # rows are whole-text alignments; the 10 kB item is only held against what its cases say
+            best = semi_global(t.encode(), text) if len(t) < 2100 else None
+            found = got.get((k, i))
+            if best is not None:
+                assert (found[0] if found else None) == (best if best <= limit else None), (k, i, best, limit)
+            if found:
+                assert found[0] <= limit and (best is None or semi_global(t.encode(), text[found[1] : found[2]]) == best)
+    tenth = next(k for k, (i, part) in enumerate(cases) if i == 3 and part == items[3][1024:2048])
+    assert (tenth, 3) not in got and got[cases.index((3, items[3])), 3][0] == 0 and 0 < got[cases.index((3, items[3][50:])), 3][0] <= 50
+    docs = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.edits) for r in decontaminate.contaminated(docs, bench).collect()} == {(k, i, v[0]) for (k, i), v in got.items()}
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == set(range(len(texts))) - {k for k, _ in got}
+
+
 def test_short_items_long_items_many_sets_and_rows_without_id(spark, monkeypatch):
     rng = np.random.default_rng(3)
     long = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(6_000))  # over 40,000 normalised bytes
     items = [(1, "What is the capital of Australia?"), (2, "yes."), (3, "What is the capital of Australia?"), (4, "..."), (5, long)]
     texts = ["he asked: what is the CAPITAL, of Australia? no", "eyes yesterday", "Yes", "what is the capital of Austria", "x " + long[:20_000] + long[20_008:] + " y", ""]
     index = decontaminate.Index([(i, t.encode()) for i, t in items])
-    found = lambda: {(t, index.items[i][0], e) for t, i, e, *_ in index.matches([x.encode() for x in texts])}
-    want = {(0, 1, 0), (0, 3, 0), (2, 2, 0), (4, 5, 0)}
+    found = lambda: {(t, index.ids[i], e) for t, i, e, *_ in index.matches([x.encode() for x in texts])}
+    want = {(0, 1, 0), (0, 3, 0), (2, 2, 0), (4, 5, len(long[20_000:20_008].replace(" ", "")))}
     assert {(t, i) for t, i, _ in found()} == {(t, i) for t, i, _ in want} and want <= found() and max(map(len, (n for _, n in index.items))) <= 2 * decontaminate.LONG
     at = next(m for m in index.matches([texts[0].encode()]))
     assert decontaminate.normal(texts[0].encode())[at[3] : at[4]] == decontaminate.normal(items[0][1].encode())
