@@ -128,14 +128,12 @@ def test_decontamination_finds_what_contains_finds_and_edited_passages(spark):
 
 
 def semi_global(item, text):
-    row = list(range(len(item) + 1))
-    best = row[-1]
+    """The least edits of item against any part of text, cell by cell of each row."""
+    item, at = np.frombuffer(item, np.uint8), np.arange(len(item) + 1)
+    row, best = at, len(item)
     for c in text:
-        new = [0]
-        for i, d in enumerate(item):
-            new.append(min(row[i] + (c != d), row[i + 1] + 1, new[i] + 1))
-        row = new
-        best = min(best, row[-1])
+        row = np.minimum.accumulate(np.concatenate(([0], np.minimum(row[:-1] + (item != c), row[1:] + 1))) - at) + at
+        best = min(best, int(row[-1]))
     return best
 
 
