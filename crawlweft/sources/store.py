@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 TABLES = {
     "urls": ("id long, url string, normalized_url string, host string, path string, discovered_from long, depth int, crawl_status string, is_internal boolean, in_sitemap boolean, first_seen timestamp, last_seen timestamp", ("normalized_url",), ("last_seen",)),
     "fetches": ("id long, url_id long, status_code int, content_type string, response_time_ms long, fetched_at timestamp, x_robots string, headers_json string", (), ()),
-    "html_features": ("url_id long, title string, meta_description string, meta_robots string, canonical string, h1_count int, h1_first string, h2_count int, h2_first string, content_hash string, word_count int, is_indexable boolean", ("url_id",), None),
+    "html_features": ("url_id long, title string, meta_description string, meta_keywords string, meta_robots string, canonical string, h1_count int, h1_first string, h2_count int, h2_first string, content_hash string, word_count int, language string, is_indexable boolean", ("url_id",), None),
     "links": ("id long, from_url_id long, to_url_id long, to_url string, anchor_text string, is_internal boolean, is_follow boolean, rel string", (), ()),
     "resources": ("id long, url string, resource_type string, status_code int, size long, alt string, width int, height int, is_async boolean, is_defer boolean, mime_type string", ("url",), ("status_code", "size")),
     "page_resources": ("resource_id long, url_id long", ("url_id", "resource_id"), ()),

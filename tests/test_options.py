@@ -2,12 +2,14 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from crawlweft.functions.speed import header, headers_of, psi_metrics
 from crawlweft.operators.options import PRESETS, CrawlOptions, GraphFilter, SegmentRule, Segments, crawlable, graph_edges, graph_nodes, pending
 from crawlweft.operators.sinks import csv_file
 from crawlweft.site import Site
 from crawlweft.sources.pages import crawl_tables
+from crawlweft.sources.store import TABLES
 
 ROOT = "http://a.e"
 
@@ -61,6 +63,8 @@ def test_responses_with_headers(spark, tmp_path):
     assert fetches[3].x_robots == "noindex, nofollow" and fetches[3].content_type == "text/html" and fetches[4].x_robots == "" and not t["html_features"].first().is_indexable
     back = t["fetches"].where("url_id = 3").select(headers_of(F.col("headers_json")).alias("h"))
     assert back.first().h == {"X-Robots-Tag": ["noindex", "nofollow"], "Content-Type": ["text/html"]} and back.select(header(F.col("h"), "x-robots-tag")).first()[0] == ""
+    stored = {n: set(StructType.fromDDL(TABLES[n][0]).names) for n in t if n in TABLES}
+    assert set(stored) >= {"urls", "fetches", "html_features", "links", "resources", "page_resources"} and all(set(t[n].columns) <= names for n, names in stored.items())
     shown = Site(spark, t).shown("response_codes")
     csv_file(shown, f"{tmp_path}/codes.csv")
     assert shown.where("`Redirect URL` <> ''").count() == 2 and "Redirect URL" in (tmp_path / "codes.csv").read_text()
