@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from crawlweft.operators import crawl, sinks
+from crawlweft.operators.reports import SEGMENTS
 from crawlweft.plans import BASE
 from crawlweft.site import Site
 from crawlweft.streaming.checkpoints import Checkpoints
+from tests.test_site import site as eight_pages
 
 SF = "/root/testdata/sf0.001"
 
@@ -102,3 +104,15 @@ def test_walks(spark):
     assert far(0, 1) < far(0, 2) and crawl.positions(0, []) == [] and len(crawl.positions(1, [])) == 1
     site = Site.open(spark, SF, BASE, entry.CATALOG)
     assert site.run("N03_layout").where(F.col("x").isNull()).count() == 0
+
+
+def test_bulk_export_goes_on_after_a_failure(spark, tmp_path, monkeypatch):
+    full = eight_pages(spark)
+    part = Site(spark, {n: df for n, df in full.tables.items() if n != "redirect_chains"})
+    monkeypatch.setattr(sinks, "REPORT_NAMES", {n: sinks.REPORT_NAMES[n] for n in ("R02_redirect_chains", "R06_missing_titles", "R16_broken_links")})
+    got = sinks.export_all(part, str(tmp_path))
+    assert got["R16_broken_links"] == 2 and got["R06_missing_titles"] == 2 and isinstance(got["R02_redirect_chains"], str)
+    assert sorted(p.name for p in tmp_path.glob("*.csv")) == sorted(f"{sinks.file_name(sinks.REPORT_NAMES[n])}.csv" for n in ("R06_missing_titles", "R16_broken_links"))
+    sinks.segment_json(part, f"{tmp_path}/segments.json")
+    segments = json.loads((tmp_path / "segments.json").read_text())
+    assert {k for k in segments} == {k for k in SEGMENTS if k != "G20_all_segments"} and [(r["segment"], r["n"]) for r in segments["G16_by_depth"]] == [("2", 5), ("1", 4), ("0", 1)]
