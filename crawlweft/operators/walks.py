@@ -103,12 +103,12 @@ def resolved(base: Column, ref: Column) -> Column:
 def redirect_chains(responses: DataFrame, max_hops: int = MAX_HOPS, follow: str = "any") -> DataFrame:
     """Chains of recorded responses: start_url, final_url, length, has_loop, hops (url, status_code, location), too_long (more hops than are followed).
 
-    responses: url, status_code, location, one row a URL (the least row of several counts). follow: any, same_host or none, which hops are followed.
+    responses: url, status_code, location. Of several redirects of a URL the least row counts; rows that lead nowhere hide none. follow: any, same_host or none, which hops are followed.
     """
     if follow not in ("any", "same_host", "none"):
         raise ValueError(f"follow is any, same_host or none, not {follow!r}")
-    row = responses.where("url is not null").groupBy("url").agg(F.min(F.struct("status_code", "location")).alias("r"))
-    moved = row.where("r.status_code between 300 and 399 and r.location <> ''").select(F.col("url").alias("source"), resolved(F.col("url"), F.col("r.location")).alias("target"), F.struct("url", "r.status_code", "r.location").alias("hop"))
+    row = responses.where("url is not null and status_code between 300 and 399 and location <> ''").groupBy("url").agg(F.min(F.struct("status_code", "location")).alias("r"))
+    moved = row.select(F.col("url").alias("source"), resolved(F.col("url"), F.col("r.location")).alias("target"), F.struct("url", "r.status_code", "r.location").alias("hop"))
     host = lambda c: F.lower(F.regexp_extract(c, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     kept = {"any": F.lit(True), "same_host": host("source") == host("target"), "none": F.lit(False)}[follow]
     found = walks(moved.where(kept), max_hops)

@@ -52,6 +52,12 @@ def test_redirects_from_recorded_responses(spark):
         redirect_chains(df, follow="some")
 
 
+def test_a_response_that_leads_nowhere_hides_no_redirect(spark):
+    rows = [("http://a.e/1", 200, ""), ("http://a.e/1", 301, "/2"), ("http://a.e/2", 301, None), ("http://a.e/2", 302, "/4"), ("http://a.e/2", 302, "/3"), ("http://a.e/3", 200, "/5")]
+    got = {r.start_url: (r.final_url, r.length) for r in redirect_chains(spark.createDataFrame(rows, "url string, status_code int, location string")).collect()}
+    assert got == {"http://a.e/1": ("http://a.e/3", 2), "http://a.e/2": ("http://a.e/3", 1)}
+
+
 def test_references(spark):
     base = "http://a.e/b/c/d?q#f"
     want = {"g": "/b/c/g", "./g": "/b/c/g", "g/": "/b/c/g/", "/g": "/g", "?y": "/b/c/d?y", "g?y": "/b/c/g?y", "#s": "/b/c/d?q#s", "g#s": "/b/c/g#s", "": "/b/c/d?q", ".": "/b/c/", "./": "/b/c/", "..": "/b/", "../": "/b/", "../g": "/b/g", "../..": "/", "../../../g": "/g", "/./g": "/g", "/../g": "/g", "g;x=1/../y": "/b/c/y", "g?y/./x": "/b/c/g?y/./x"}
