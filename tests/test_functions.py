@@ -20,6 +20,8 @@ def test_page(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", parsed_page("url", "html").alias("p"))
     assert pages.where(F.col("p.title") == "").count() == 0 and pages.where(F.size("p.h1") != 1).count() == 0
     assert parse(None, None)["word_count"] == 0
+    # HTML decodes some names without their semicolon too
+    assert parse("", "<title>a &amp;&amp;&amp</title><h1>&copy &am</h1>")["title"] == "a &&&" and parse("", "<h1>&copy &am</h1>")["h1"] == ["© &am"]
 
 
 def test_robots(spark):
