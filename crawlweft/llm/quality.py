@@ -1,7 +1,7 @@
 """Document statistics and the two operators on them: a quality classifier and quality rules.
 
-Both fit histogram gradient-boosted trees (gbt.py) to labels.quality on a bounded sample of labelled rows
-(SAMPLE rows, those of smallest hash; a documented bound) and score every whole text with the flattened node arrays.
+Both fit histogram gradient-boosted trees (gbt.py) to labels.quality on all labelled rows, which stay in blocks with Spark, and
+score every whole text with the flattened node arrays. Thresholds too are found over all rows.
 Labels are learnt only from rows whose crc32(doc_id as text) mod 3 is not 1. lang, source, doc_id and labels are no
 inputs of a score.
 
@@ -18,11 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .gbt import Forest, fit
+from .gbt import Forest, counted_margins, fit_rows
 from .kernels import U64, chunks, joined, lower, span_hashes, word_spans
 from .runtime import drop_tables, materialize
 
-SAMPLE = 20_000
+#: Rows of a block of statistics, and of a task that sums over blocks.
+BLOCK, TASK = 16_384, 50_000
 FEATURES = (
     "log_words", "mean_word", "upper", "digits", "punct", "symbols", "pipes", "bang", "line_words", "dup_lines", "repeat_words",
     "distinct_words", "space", "other_bytes", "one_letter", "long_words", "caps_words", "symbol_words", "stop_end", "short_lines",
@@ -116,32 +117,54 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, monotone: np.ndarray | None = None, threshold: bool = False) -> tuple[Forest, float]:
-    """A forest fitted to labels.quality of at most `sample` rows, and 0; with threshold, a forest of half of those rows and the score below which REJECT of the good ones of the other half fall by it."""
-    rows = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("q")).where(~held_out(F.col("id")))
-    rows = rows.orderBy(F.xxhash64("id"), "id", "q").limit(sample)
+def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches, "text"):
+        x = statistics(batch["text"])[1]
+        ends = pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch["id"], pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], ["id", "x"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch["q"], batch["id"], pa.array(list(statistics(batch["text"])[1]))], ["q", "id", "x"])
-
-    chosen = materialize(rows, "labelled")
-    # at most `sample` rows of two numbers: a proven bound
-    got = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id").select("id", "q", "text").mapInArrow(run, "q int, id long, x array<double>").orderBy("id", "q", "x").toArrow()
-    drop_tables(chosen)
-    y = np.asarray(got["q"]).astype(float)
-    x = np.array(got["x"].to_pylist(), float).reshape(-1, len(FEATURES))
-    if not threshold:
-        return fit(x, y, monotone=monotone), 0.0
-    half = np.arange(len(y)) % 2 == 0
-    forest = fit(x[half], y[half], monotone=monotone)
-    good = forest.score(x[~half])[y[~half] == 1]
-    return forest, float(min(np.quantile(good, REJECT), 0.5)) if len(good) else 0.0
-
-
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= BLOCK:
+            yield _block(held)
+            held, n = [], 0
+    if n:
+        yield _block(held)
+
+
+def _block(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    x, y, half = (np.concatenate([np.asarray(of(b)) for b in batches]) for of in (lambda b: b["x"].flatten(), lambda b: b["q"], lambda b: b["half"]))
+    return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (x.astype(np.float64), y.astype(np.int8), half.astype(np.int8))], ["x", "y", "half"])
+
+
+def learn(docs: DataFrame, labels: DataFrame, *, monotone: np.ndarray | None = None, threshold: bool = False) -> tuple[Forest, float]:
+    """A forest fitted to labels.quality of all labelled rows, and 0; with threshold, a forest of half of those rows and the score below which REJECT of the good ones of the other half fall by it."""
+    rows = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("q")).where(~held_out(F.col("id")))
+    read = docs.select(F.col("doc_id").alias("id"), "text").where(F.col("id").isNotNull() & ~held_out(F.col("id")))
+    # statistics meet the labels, texts are not shuffled; the halves are those of a hash of the id
+    met = read.mapInArrow(_statistics, "id long, x array<double>").join(rows, "id").repartition(max(1, -(-rows.count() // TASK)), "id")
+    table = materialize(met.withColumn("half", F.pmod(F.xxhash64("id"), F.lit(2)).cast("int")).mapInArrow(_blocks, "x binary, y binary, half binary"), "labelled")
+    blocks = table.rdd.map(lambda r: (np.frombuffer(r.x).reshape(-1, len(FEATURES)), np.frombuffer(r.y, np.int8), np.frombuffer(r.half, np.int8) == 0))
+    try:
+        if not threshold:
+            return fit_rows(blocks.map(lambda b: b[:2]), monotone=monotone), 0.0
+        forest = fit_rows(blocks.map(lambda b: (b[0][b[2]], b[1][b[2]])), monotone=monotone)
+        at, n = counted_margins(blocks.map(lambda b: b[0][~b[2] & (b[1] == 1)]), forest)
+        if not len(at):
+            return forest, 0.0
+        least = at[np.searchsorted(np.cumsum(n), REJECT * n.sum(), "right")]
+        return forest, float(min(1 / (1 + np.exp(-least)), 0.5))
+    finally:
+        drop_tables(table)
+
+
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
-    forest, _ = learn(docs, labels, sample=sample)
+    forest, _ = learn(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -151,12 +174,12 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, of: DataFrame | None = None) -> DataFrame:
+def rules(docs: DataFrame, labels: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """docs (any columns, of them text) with the counts of statistics(), score, base_failed and kept appended (existing columns of these names are replaced).
 
     The forest is learnt from `of` (doc_id, text), or docs. kept: base rules passed, and the monotone forest's score at or above the threshold that learn() found for this forest.
     """
-    forest, least = learn(docs if of is None else of, labels, sample=sample, monotone=MONOTONE, threshold=True)
+    forest, least = learn(docs if of is None else of, labels, monotone=MONOTONE, threshold=True)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     plain = docs.drop(*names, "score", "base_failed", "kept")
     schema = plain.schema.simpleString()[7:-1]

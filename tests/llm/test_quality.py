@@ -60,6 +60,31 @@ def test_held_out_accuracy(spark):
     assert got.where((F.col("score") < 0) | (F.col("score") > 1) | F.col("score").isNull()).isEmpty()
 
 
+def test_all_labelled_rows_are_learnt_from(spark):
+    """Bad rows come last by the order that a bounded sample was taken in."""
+    ids = spark.range(36000).where(~quality.held_out(F.col("id"))).orderBy(F.xxhash64("id")).toArrow()["id"].to_pylist()
+    assert len(ids) > 22_000
+    rows = [(i, *((1, "Plain words of a text.") if k < 20_000 else (0, "#### |||| $$$$ %%%%"))) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, quality int, text string")
+    forest, least = quality.learn(df, df, threshold=True, monotone=quality.MONOTONE)
+    good, bad = forest.score(quality.statistics(pa.array([rows[0][2], rows[-1][2]]))[1])
+    assert bad < 0.1 < 0.9 < good and bad < least <= 0.5
+
+
+def test_trees_over_blocks_do_not_depend_on_the_blocks(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate((np.floor(rng.normal(size=(2000, 3)) * 8), rng.normal(size=(2000, 1)) * 1e-6), axis=1)
+    y = (x[:, 0] - x[:, 1] + 4e6 * x[:, 3] + rng.normal(size=2000) > 0).astype(float)
+    whole = gbt.fit(x, y, trees=6)
+    dealt = []
+    for parts, order in ((1, np.arange(2000)), (40, rng.permutation(2000))):
+        blocks = [(x[order[k : k + 130]], y[order[k : k + 130]]) for k in range(0, 2000, 130)]
+        dealt.append(gbt.fit_rows(spark.sparkContext.parallelize(blocks, parts), trees=6))
+    assert all(np.array_equal(getattr(dealt[0], k), getattr(dealt[1], k)) for k in ("feature", "threshold", "left", "right", "value", "roots"))
+    assert np.abs(dealt[0].score(x) - whole.score(x)).mean() < 0.02 and ((dealt[0].score(x) > 0.5) == (y > 0.5)).mean() > 0.8
+    assert len(gbt.fit_rows(spark.sparkContext.parallelize([(x, y * 0)], 3)).roots) == len(gbt.fit_rows(spark.sparkContext.parallelize([], 3)).roots) == 0
+
+
 def test_trees_are_monotone_and_flat_arrays_agree():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 3))
