@@ -45,9 +45,10 @@ def appended_fetches(t: Tables) -> DataFrame:
 def upserted_features(t: Tables) -> DataFrame:
     """All pages' features, then new ones of every third page and first ones of pages that had none: every column of the later row counts, nulls too."""
     features, store = t("html_features"), scratch_store(t("urls").sparkSession)
-    store.merge("html_features", features)
-    again = features.where("url_id % 3 = 0").withColumns({"title": F.concat("title", F.lit(" (new)")), "word_count": F.lit(None).cast("int")})
-    store.merge("html_features", again.unionByName(t("urls").where("id % 20 = 19").select(F.col("id").alias("url_id"), F.lit("first").alias("title"), F.lit(1).alias("word_count")), allowMissingColumns=True))
+    with store.staged("html_features", features) as found:
+        store.merge("html_features", found)
+        again = found.where("url_id % 3 = 0").withColumns({"title": F.concat("title", F.lit(" (new)")), "word_count": F.lit(None).cast("int")})
+        store.merge("html_features", again.unionByName(t("urls").where("id % 20 = 19").select(F.col("id").alias("url_id"), F.lit("first").alias("title"), F.lit(1).alias("word_count")), allowMissingColumns=True))
     return store.read("html_features").select("url_id", "title", "word_count", "is_indexable")
 
 

@@ -1,6 +1,6 @@
 """A stored crawl that arrivals are appended to and merged into.
 
-A table is kept in hash buckets of its key. A merge rewrites the buckets that its rows fall into, and no others; an append adds files. What
+A table is kept in hash buckets of its key (tables without one: in buckets of the tasks that wrote them). A merge rewrites the buckets that its rows fall into, and no others; an append adds files. What
 a version of a table consists of is one small file that lists folders and buckets; it is written last, under a name that only
 one writer can create, so a reader sees a version whole or not at all, and of two writers that start from one version the second starts anew.
 Old versions can be read until expire() drops them. The driver handles bucket numbers, never rows.
@@ -12,12 +12,13 @@ table lacks are an error; an empty arrival makes a version like any other. Exclu
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 #: Tables of a stored crawl (fixed values): columns, key, and the columns in which a later row of a key counts; appended tables have no key.
@@ -96,20 +97,29 @@ class Store:
             raise ValueError(f"{table} has no columns {extra}")
         return rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
 
-    def _written(self, table: str, rows: DataFrame, keys: Sequence[str], buckets: int) -> tuple[str, list[int]]:
-        """The part that holds the rows, and its buckets."""
-        part, spread = uuid.uuid4().hex, F.xxhash64(*(keys or rows.columns))
-        placed = rows.withColumn("bucket", F.pmod(spread, F.lit(buckets)).cast("int"))
-        dealt = placed.repartition("bucket", F.pmod(F.shiftright(spread, 32), F.lit(self.files)))
+    @contextlib.contextmanager
+    def staged(self, table: str, rows: DataFrame) -> Iterator[DataFrame]:
+        """The rows, computed once and kept beside the table for what reads them several times inside."""
+        name = f"staged-{uuid.uuid4().hex}"
+        path, _ = self._path(f"{table}/data/{name}")
+        rows.write.parquet(path.toString())
+        try:
+            yield self.spark.read.schema(rows.schema).parquet(path.toString())
+        finally:
+            self._drop(table, name)
+
+    def _written(self, table: str, rows: DataFrame) -> tuple[str, list[int]]:
+        """The part that holds the rows (with their bucket), and its buckets."""
+        part = uuid.uuid4().hex
         path, fs = self._path(f"{table}/data/{part}")
-        dealt.write.partitionBy("bucket").parquet(path.toString())
+        rows.write.partitionBy("bucket").parquet(path.toString())
         names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
         return part, sorted(int(n.partition("=")[2]) for n in names if n.startswith("bucket="))
 
     def append(self, table: str, rows: DataFrame) -> int:
-        """Adds all rows in one version."""
-        shaped = self._shaped(table, rows)
-        part, filled = self._written(table, shaped, (), self._manifest(table)["buckets"])
+        """Adds all rows in one version. Appended rows are looked up by no key: every task's go into one bucket, unshuffled."""
+        bucket = F.spark_partition_id() % self._manifest(table)["buckets"]
+        part, filled = self._written(table, self._shaped(table, rows).withColumn("bucket", bucket))
         for _ in range(self.tries):
             old = self._manifest(table)
             try:
@@ -123,33 +133,51 @@ class Store:
         """Inserts rows of new keys (unless insert is False); of a key that is there, the columns that a later row counts in are taken.
 
         order: columns by which rows of one key come one after the other. take: other columns than the table's own rule.
+        Rows that are there and rows that arrive meet in one shuffle by bucket, in which they are written too. An arrival that meets none is
+        computed once; one that does is kept beside the table first, since its buckets have to be known.
         """
         ddl, keys, rule = TABLES[table]
         names = [f.name for f in StructType.fromDDL(ddl).fields]
         later = set(take if take is not None else rule if rule is not None else [c for c in names if c not in keys])
-        by = F.struct(*order) if order else F.lit(0)
-        shaped = self._shaped(table, rows.select(*dict.fromkeys((*rows.columns,))))
-        ends = shaped.groupBy(*keys).agg(F.min_by(F.struct(*names), by).alias("first"), F.max_by(F.struct(*names), by).alias("last"))
-        new = ends.select(*(F.col(f"{'last' if c in later else 'first'}.{c}").alias(c) for c in names))
-        for _ in range(self.tries):
-            old = self._manifest(table)
-            touched = sorted(r.b for r in new.select(F.pmod(F.xxhash64(*keys), F.lit(old["buckets"])).cast("int").alias("b")).distinct().collect())
-            was = self._rows(table, old, set(touched)).select(F.struct(*names).alias("old"))
-            now = new.select(F.struct(*names).alias("new"))
-            same = [F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in keys]
-            both = was.join(now, same, "full_outer" if insert else "left_outer")
-            pick = lambda c: F.when(F.col("old").isNull(), F.col(f"new.{c}")).when(F.col("new").isNull() | F.lit(c not in later), F.col(f"old.{c}")).otherwise(F.col(f"new.{c}")).alias(c)
-            part, filled = self._written(table, both.select(*map(pick, names)), keys, old["buckets"])
-            if not filled:
-                self._drop(table, part)
-            gone = set(touched)
-            kept = {p: left for p, of in old["parts"].items() if (left := [b for b in of if b not in gone])}
-            try:
-                return self._commit(table, {**old, "version": old["version"] + 1, "parts": kept | ({part: filled} if filled else {})})
-            except Conflict:
-                self._drop(table, part)
+        shaped = self._shaped(table, rows).withColumn("_by", F.struct(*order) if order else F.lit(0))
+        with contextlib.ExitStack() as kept_for:
+            known = None
+            for _ in range(self.tries):
+                old = self._manifest(table)
+                gone: set[int] = set()
+                if old["parts"]:
+                    known = known if known is not None else kept_for.enter_context(self.staged(table, shaped))
+                    gone = {r.b for r in known.select(self._bucket(keys, old).alias("b")).distinct().collect()}
+                arrived = (known if known is not None else shaped).withColumn("_new", F.lit(1))
+                met = arrived.unionByName(self._rows(table, old, gone).withColumns({"_new": F.lit(0), "_by": F.lit(None).cast(arrived.schema["_by"].dataType)}))
+                part, filled = self._written(table, self._merged(met, keys, later, names, old, insert))
+                if not filled:
+                    self._drop(table, part)
+                kept = {p: left for p, of in old["parts"].items() if (left := [b for b in of if b not in gone])}
+                try:
+                    return self._commit(table, {**old, "version": old["version"] + 1, "parts": kept | ({part: filled} if filled else {})})
+                except Conflict:
+                    self._drop(table, part)
         raise Conflict(f"{table}: {self.tries} other writers came first")
 
+    @staticmethod
+    def _bucket(keys: Sequence[str], manifest: dict) -> Column:
+        return F.pmod(F.xxhash64(*keys), F.lit(manifest["buckets"])).cast("int")
+
+    def _merged(self, met: DataFrame, keys: Sequence[str], later: set[str], names: Sequence[str], manifest: dict, insert: bool) -> DataFrame:
+        """Rows of the table (_new 0) and arrived ones (_new 1, in the order of _by) as one row a key, dealt by bucket."""
+        place = [self._bucket(keys, manifest).alias("bucket"), F.pmod(F.shiftright(F.xxhash64(*keys), 32), F.lit(self.files)).alias("_file")]
+        dealt = met.select("*", *place).repartition("bucket", "_file")
+        turn = F.struct("_new", "_by")
+        ends = {"first": (F.min_by, [c for c in names if c not in later and c not in keys]), "last": (F.max_by, [c for c in names if c in later])}
+        picked = [pick(F.struct(*of), turn).alias(end) for end, (pick, of) in ends.items() if of]
+        # dealt by two of the columns that it groups by, so nothing is shuffled again
+        one = dealt.groupBy("bucket", "_file", *keys).agg(F.min("_new").alias("_new"), *picked)
+        if not insert:
+            one = one.where("_new = 0")
+        end = lambda c: c if c in keys else F.col(f"{'last' if c in later else 'first'}.{c}").alias(c)
+        return one.select(*map(end, names), "bucket")
+
     def _drop(self, table: str, part: str) -> None:
         path, fs = self._path(f"{table}/data/{part}")
         fs.delete(path, True)

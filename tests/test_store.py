@@ -71,6 +71,25 @@ def test_appends_keep_equal_rows_and_headers(spark, tmp_path):
     assert sorted((r.id, str(r.headers_json)) for r in store.read("fetches").collect()) == sorted([(1, '{"A":["q\\""],"B":["x","y"]}'), (1, "{}"), (2, "None")] * 2)
 
 
+def counted(spark, rows, schema):
+    """The rows, and how many of them have been computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def see(row):
+        seen.add(1)
+        return row
+
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(see), schema), seen
+
+
+def test_merged_rows_are_computed_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=4, files=2)
+    for n in (1, 2):
+        rows, seen = counted(spark, [(k * n, f"t{k}") for k in range(20)], "url_id long, title string")
+        assert store.merge("html_features", rows) == n and seen.value == 20
+    assert store.read("html_features").count() == 30 and not list((tmp_path / "html_features" / "data").glob("staged-*"))
+
+
 def test_of_two_writers_the_second_starts_anew(spark, tmp_path, monkeypatch):
     one, two = (Store(spark, str(tmp_path), buckets=4) for _ in range(2))
     rows = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "id long, normalized_url string, depth int")
