@@ -37,8 +37,9 @@ def appended_fetches(t: Tables) -> DataFrame:
     header = lambda name, c: F.when(F.col(c) != "", F.struct(F.lit(name).alias("key"), F.array(c).alias("value")))
     entries = F.filter(F.array(header("X-Robots-Tag", "x_robots"), header("Content-Type", "content_type")), lambda e: e.isNotNull())
     rows = fetches.withColumn("headers", F.map_from_entries(entries)).withColumn("headers_json", headers_json("headers")).drop("headers")
-    store.append("fetches", rows.where("id % 2 = 1"))
-    store.append("fetches", rows.where("id % 2 = 0"))
+    with store.staged("fetches", rows) as found:
+        store.append("fetches", found.where("id % 2 = 1"))
+        store.append("fetches", found.where("id % 2 = 0"))
     return store.read("fetches").select("id", "url_id", "status_code", "headers_json")
 
 
@@ -55,16 +56,18 @@ def upserted_features(t: Tables) -> DataFrame:
 def appended_links(t: Tables) -> DataFrame:
     """Batches of links, each in one version: what a reader of each version sees."""
     links, store = t("links"), scratch_store(t("links").sparkSession)
-    versions = [store.append("links", links.where(F.col("from_url_id") % 3 == k)) for k in range(3)]
+    with store.staged("links", links) as found:
+        versions = [store.append("links", found.where(F.col("from_url_id") % 3 == k)) for k in range(3)]
     seen = [store.read("links", v).select(F.lit(v).cast("long").alias("version"), "id", "from_url_id", "to_url") for v in versions]
     return seen[0].unionByName(seen[1]).unionByName(seen[2])
 
 
 def appended_issues(t: Tables) -> DataFrame:
-    """Issues by category as analyzers find them; equal ones stay apart."""
+    """Issues by category as analyzers find them in one pass; equal ones stay apart."""
     issues, store = t("issues"), scratch_store(t("urls").sparkSession)
-    store.append("issues", issues.where("category <> 'response'"))
-    store.append("issues", issues.where("category = 'response'"))
+    with store.staged("issues", issues) as found:
+        store.append("issues", found.where("category <> 'response'"))
+        store.append("issues", found.where("category = 'response'"))
     return store.read("issues").groupBy("url_id", "issue_code").agg(F.count("*").alias("n"))
 
 

@@ -6,6 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from crawlweft.operators.arrivals import appended_issues
 from crawlweft.sources.store import Conflict, Store, headers_json
 
 URLS = "id long, url string, normalized_url string, depth int, last_seen timestamp"
@@ -90,6 +91,12 @@ def test_merged_rows_are_computed_once(spark, tmp_path):
     assert store.read("html_features").count() == 30 and not list((tmp_path / "html_features" / "data").glob("staged-*"))
 
 
+def test_issues_of_two_appends_are_computed_once(spark):
+    issues, seen = counted(spark, [(k // 2, "c", "t", "s", "response" if k % 3 else "content") for k in range(20)], "url_id long, issue_code string, issue_type string, severity string, category string")
+    got = appended_issues({"issues": issues, "urls": issues}.__getitem__)
+    assert seen.value == 20 and sorted(map(tuple, got.collect())) == [(k, "c", 2) for k in range(10)]
+
+
 def test_of_two_writers_the_second_starts_anew(spark, tmp_path, monkeypatch):
     one, two = (Store(spark, str(tmp_path), buckets=4) for _ in range(2))
     rows = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "id long, normalized_url string, depth int")
