@@ -5,11 +5,10 @@ Words are maximal runs of bytes other than space and 0x09-0x0D of the UTF-8 text
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+
+from ..functions.batches import chunks  # noqa: F401, the operators take it from here
 
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -40,18 +39,6 @@ def _powers() -> list[np.ndarray]:
     return _POWERS
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about `limit` bytes of text each; one longer text stands alone."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        size = np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0)).astype(np.int64) + 1
-        cut = np.flatnonzero(np.diff(np.cumsum(size) // limit)) + 1
-        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(size)], strict=True):
-            if b > a:
-                yield batch.slice(a, b - a)
-
-
 def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All texts as one byte array, a space after each; their first bytes and their lengths. Null counts as empty."""
     parts = [b"" if t is None else t for t in texts.cast(pa.large_binary()).to_pylist()]

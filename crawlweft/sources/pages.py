@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.html import Limits, parsed_page
+from ..functions.html import Limits, with_page
 from ..functions.sitemap import parsed_sitemap
 from ..functions.speed import header
 from ..functions.url import normalized
@@ -47,7 +47,7 @@ def crawl_tables(responses: DataFrame, limits: Limits | None = None) -> dict[str
         responses = responses.withColumns(told | {"headers_json": headers_json("headers")})
     kept = [F.col("headers_json")] if "headers_json" in responses.columns else [F.lit(None).cast("string").alias("headers_json")]
     given = responses.select("id", "url", "html", *((F.col(c) if c in responses.columns else F.lit(v)).cast(t).alias(c) for c, (t, v) in RESPONSE.items()), *kept)
-    parsed = given.withColumn("p", F.when(F.col("html").isNotNull(), parsed_page("url", "html", limits))).checkpoint()
+    parsed = with_page(given, limits=limits, keep=given.columns).withColumn("p", F.when(F.col("html").isNotNull(), F.col("p"))).checkpoint()
     host = lambda c: F.lower(F.regexp_extract(c, HOST, 1))
     urls = with_normal_form(parsed.select("id", "url", host(F.col("url")).alias("host"), F.regexp_extract("url", "^https?://[^/?#]+([^?#]*)", 1).alias("path"), "discovered_from", "depth", "crawl_status", "is_internal", "in_sitemap"), "url").checkpoint()
     robots = F.lower(F.concat_ws(",", "p.meta_robots", "x_robots"))

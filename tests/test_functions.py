@@ -1,7 +1,9 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from crawlweft.functions.html import parse, parsed_page
+from crawlweft.functions.batches import chunks
+from crawlweft.functions.html import parse, parsed_page, with_page
 from crawlweft.functions.robots import allowed, meta_robots, rules_of
 from crawlweft.operators.sinks import write_csv
 from crawlweft.plans import BASE
@@ -24,6 +26,18 @@ def test_page(spark):
     assert parse("", "<title>a &amp;&amp;&amp</title><h1>&copy &am</h1>")["title"] == "a &&&" and parse("", "<h1>&copy &am</h1>")["h1"] == ["© &am"]
 
 
+def test_pages_are_parsed_a_few_at_a_time_and_to_the_fields_asked_for(spark):
+    rows = [(k, f"http://a.e/{k}", f'<title>t{k}</title><meta property="og:x" content="{k}"><img src="{k}.png"><a href="/{k}">l</a>' + "w " * 2000) for k in range(600)] + [(None, None, None), (-1, "http://a.e/", ""), (-2, None, "<img src=x>")]
+    df = spark.createDataFrame(rows, "id long, url string, html string").coalesce(1)
+    want = {i: parse(u, h) for i, u, h in rows}
+    got = {r.id: r.p.asDict(True) for r in with_page(df, keep=["id"]).collect()}
+    assert got == want and {r.id: r.p.asDict(True) for r in with_page(df, "images", "word_count", keep=["id"]).collect()} == {i: {k: w[k] for k in ("images", "word_count")} for i, w in want.items()}
+    plan = lambda name: entry.queries()[name](spark, SF)._jdf.queryExecution().toString()
+    assert all("text_content" not in plan(name) for name in ("D01_parsed_pages", "D04_parsed_links", "D05_parsed_images", "D06_bounded_pages"))
+    table = pa.RecordBatch.from_pydict({"id": list(range(600)), "html": [h for _, _, h in rows[:600]]})
+    assert max(b.num_rows for b in chunks(iter([table]), "html")) < 200
+
+
 def test_robots(spark):
     rules = rules_of("User-agent: a\nUser-agent: *\nDisallow: /private/\nAllow: /private/open$\n\nUser-agent: b\nDisallow: /*.pdf$")
     assert [r[:3] for r in rules if r[0] == "b"] == [("b", "disallow", "/*.pdf$")]
