@@ -5,6 +5,7 @@ import __spark_entry__ as entry
 from crawlweft.functions.batches import chunks
 from crawlweft.functions.html import parse, parsed_page, with_page
 from crawlweft.functions.robots import allowed, meta_robots, rules_of
+from crawlweft.functions.structured import blocks, items, json_path, json_values, structured_items
 from crawlweft.operators.sinks import write_csv
 from crawlweft.plans import BASE
 from crawlweft.site import Site
@@ -38,6 +39,16 @@ def test_pages_are_parsed_a_few_at_a_time_and_to_the_fields_asked_for(spark):
     assert max(b.num_rows for b in chunks(iter([table]), "html")) < 200
 
 
+def test_python_is_handed_blocks_and_not_pages(spark):
+    ld = '<script type="application/ld+json">%s</script>'
+    pages = ["", None, "no", ld % '{"@type": "Product", "name": "a"}' + ld % "{broken" + ld % '\u00a0["x"]\n', "<script id=x type='application/ld+json' >\n[1, {\"@type\": \"Article\"}]</script>", '<p itemscope itemtype="https://schema.org/Offer"><p itemtype="u:v"><p itemtype="https://schema.org/Offer">', '<p itemtype="u:v">', ld % '{"name": "é|\u20ac"}' * 300]
+    df = spark.createDataFrame(list(enumerate(pages)), "id long, html string").select("id", structured_items("html").alias("i"), json_path("html", "$.name").alias("v"))
+    assert {r.id: [x.asDict() for x in r.i] for r in df.collect()} == {k: items(h) for k, h in enumerate(pages)}
+    assert {r.id: r.v for r in df.collect()} == {k: [v for good, data in blocks(h or "") if good for v in json_values(data, "$.name")] for k, h in enumerate(pages)}
+    for name in ("custom_extraction__has_extraction", "Q12_extraction_rows"):
+        assert "run(regexp_extract_all(" in entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_robots(spark):
     rules = rules_of("User-agent: a\nUser-agent: *\nDisallow: /private/\nAllow: /private/open$\n\nUser-agent: b\nDisallow: /*.pdf$")
     assert [r[:3] for r in rules if r[0] == "b"] == [("b", "disallow", "/*.pdf$")]
